@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import exact_dedup, extraction, hilbert, langid, mixing, packing, quality
+from weftgraph.llm import exact_dedup, extraction, hilbert, langid, media, mixing, packing, quality
 from weftgraph.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(media.encode_documents(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
