@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import exact_dedup, extraction, hilbert, langid, media, mixing, packing, quality
+from weftgraph.llm import exact_dedup, extraction, hilbert, langid, media, mixing, neardup, packing, quality, urlfilter
 from weftgraph.llm.common import table
 
 
@@ -32,10 +32,18 @@ def op4_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.encode_documents(table(spark, sf_dir, "documents")))
 
 
+def op5_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup.exact_dedup(docs, locator=exact_dedup.file_locator(docs)).drop("keep_at")
