@@ -51,6 +51,8 @@ def streaming_keepers(fingerprints: DataFrame, max_bytes_per_trigger: int = 4 <<
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+        # else each of the many small stores reserves megabytes for its logs
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
     ):
         query = (
             seen.writeStream.outputMode("update")
