@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers on the same file system find this package.
@@ -18,6 +20,8 @@ def attach(spark: SparkSession) -> SparkSession:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [root, *paths]))
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default, which holds tens of MB of whole texts a batch
+        spark.conf.set(BATCH_ROWS, "1000")
     return spark
 
 
