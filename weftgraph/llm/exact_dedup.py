@@ -49,7 +49,7 @@ def streaming_keepers(fingerprints: DataFrame, max_bytes_per_trigger: int = 4 <<
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
-        spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
+        spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="64",
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         # else each of the many small stores reserves megabytes for its logs
         spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
