@@ -17,7 +17,7 @@ from weftgraph.llm.common import cut
 
 MAX_TOKENS, END_ID, SALTS = 4096, 1, 64
 #: words whose ids a Python worker remembers; the rest go to the tokenizer each time
-CACHE_WORDS = 450_000
+CACHE_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
