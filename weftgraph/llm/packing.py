@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from weftgraph.llm.common import cut
 
 MAX_TOKENS, END_ID, SALTS = 4096, 1, 64
-#: words whose ids a Python worker remembers; the rest go to the tokenizer each time
+#: words whose ids a Python worker remembers (some 200 bytes each); the rest go to the tokenizer each time
 CACHE_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -28,12 +28,13 @@ class WordIds:
     parts between spaces and line feeds, one after the other; parts repeat, so they are kept.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.most = most
 
     def __call__(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
@@ -43,7 +44,7 @@ class WordIds:
             words = list(new)
             coded = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             found = dict(zip(words, coded, strict=True))
-            if len(known) < CACHE_WORDS:
+            if len(known) < self.most:
                 known.update(found)
             else:
                 return b"".join([known[p] if p in known else found[p] for p in parts])
@@ -53,18 +54,18 @@ class WordIds:
 _CODERS: dict[str, WordIds] = {}
 
 
-def coder(path: str) -> WordIds:
+def coder(path: str, most: int) -> WordIds:
     if path not in _CODERS:
-        _CODERS[path] = WordIds(path)
+        _CODERS[path] = WordIds(path, most)
     return _CODERS[path]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``; only texts over ``max_tokens`` are cut."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, wide = coder(tokenizer_path), 4 * max_tokens
+        code, wide = coder(tokenizer_path, cache_words), 4 * max_tokens
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -174,10 +175,10 @@ def pack(pieces: DataFrame, capacity: int = MAX_TOKENS, salts: int = SALTS) -> D
     )
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece of every document: where it stands in which sequence.
 
     A null text is empty and holds only the end id. Repeated documents are packed as often as
     they are there. Pieces are computed once and kept in the shared folder, as they are read twice.
     """
-    return pack(cut(token_pieces(docs, tokenizer_path, max_tokens)), max_tokens)
+    return pack(cut(token_pieces(docs, tokenizer_path, max_tokens, cache_words=cache_words)), max_tokens)
