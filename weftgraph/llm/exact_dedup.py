@@ -90,7 +90,8 @@ def exact_dedup(
     bodies = base.select("doc_id", "body", digest(F.col("body")).cast("string").alias("digest"))
     hit_rows = bodies.join(hits.select("digest", "keep_id"), "digest", "left_semi")
     stays = bodies.join(hits.select("digest", F.col("keep_id").alias("doc_id"), F.lit(True).alias("stays")), ["digest", "doc_id"], "left_semi")
-    stays = stays.groupBy("digest").agg(F.min("body").alias("keep_body"))
+    # cut, so that the join below has a shuffle of its own and a digest with very many rows is split there
+    stays = cut(stays.groupBy("digest").agg(F.min("body").alias("keep_body")))
     differing = cut(
         hit_rows.join(stays, "digest", "left")
         .where(~F.col("body").eqNullSafe(F.coalesce("keep_body", "body")))
