@@ -158,6 +158,7 @@ def near_links(reps: DataFrame, docs: DataFrame, percent: int, block: int = BLOC
     labels = crowd.where("n > 2 and doc_id <> leader").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
     labels = labels.select("key", "doc_id", F.coalesce("root", "doc_id").alias("label"))
     mixed = labels.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    mixed = broadcast_if_small(cut(mixed))
     # a member all of whose component in the bucket is settled still meets the others, so all of the bucket stay
     open_rows = cut(labels.join(mixed, "key"))
     if open_rows.isEmpty():
