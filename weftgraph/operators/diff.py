@@ -31,3 +31,21 @@ def recheck(base: DataFrame, head: DataFrame) -> DataFrame:
     same = nodes.where("status = 'same'").select(F.col("id").alias("src"))
     modified = nodes.where("status = 'modified'").select(F.col("id").alias("dst"))
     return head.join(same, "src").join(modified, "dst").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+
+
+def dangling(base: DataFrame, head: DataFrame, floor: int = 1) -> DataFrame:
+    """``caller, callee``: calls of the base, no mere guesses, to a node that is gone, from one that is still there."""
+    nodes = diff_nodes(base, head)
+    gone = nodes.where("status = 'removed'").select(F.col("id").alias("dst"))
+    there = nodes.where("status <> 'removed'").select(F.col("id").alias("src"))
+    return base.where(F.col("tier") >= floor).join(gone, "dst").join(there, "src").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+
+
+def focus(base: DataFrame, head: DataFrame) -> DataFrame:
+    """``id`` of changed nodes, ends of changed edges, and all one hop from these."""
+    edges, nodes = diff_edges(base, head), diff_nodes(base, head)
+    moved = edges.where("status <> 'same'")
+    core = nodes.where("status <> 'same'").select("id").union(moved.select("src")).union(moved.select("dst")).distinct()
+    out = edges.join(core.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"))
+    into = edges.join(core.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"))
+    return core.union(out).union(into).distinct()

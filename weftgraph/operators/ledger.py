@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.operators.ranking import smallest_k
+
+#: fixed values: share of each part in a seat's score of 100
+WEIGHTS = {"gate": 40.0, "tests": 20.0, "refusals": 15.0, "retries": 10.0, "cost": 10.0, "duration": 5.0}
+
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     """``key, started, ended, n``: events of a key without a silence of ``gap``."""
@@ -35,3 +40,70 @@ def precision_recall(got: DataFrame, want: DataFrame) -> DataFrame:
     both = got.select("id", F.lit(True).alias("g")).join(want.select("id", F.lit(True).alias("w")), "id", "full")
     n = both.agg(F.count_if(F.expr("g and w")).alias("tp"), F.count_if(F.expr("g and w is null")).alias("fp"), F.count_if(F.expr("w and g is null")).alias("fn"))
     return n.select("tp", "fp", "fn", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6).alias("recall"))
+
+
+def seat_scores(seats: DataFrame) -> DataFrame:
+    """``seats`` with ``score`` (0 to 100, one decimal).
+
+    Needs ``passed, tests`` (null: as the gate), ``refusals, attempts, tokens, cost`` (both 0: unknown), ``duration_ms``.
+    """
+    gate = F.when(F.col("passed"), 1.0).otherwise(0.0)
+    parts = {
+        "gate": gate,
+        "tests": F.when(F.col("tests"), 1.0).when(F.col("tests").isNull(), gate).otherwise(0.0),
+        "refusals": 1.0 / (1.0 + F.col("refusals")),
+        "retries": 1.0 / F.greatest(F.col("attempts"), F.lit(1)),
+        "cost": F.when((F.col("tokens") == 0) & (F.col("cost") == 0), 0.5).otherwise(1.0 / (1.0 + F.col("tokens") / 200_000.0 + F.col("cost"))),
+        "duration": 1.0 / (1.0 + F.col("duration_ms") / 1_800_000.0),
+    }
+    total = sum((F.lit(WEIGHTS[k]) * v for k, v in parts.items()), F.lit(0.0))
+    return seats.withColumn("score", F.round(total, 1))
+
+
+def run_summary(seats: DataFrame) -> DataFrame:
+    """``run, seats, passed, refusals, score, state`` of each run."""
+    rows = seats.groupBy("run").agg(F.count(F.lit(1)).alias("seats"), F.count_if("passed").alias("passed"), F.sum("refusals").alias("refusals"), F.round(F.avg("score"), 1).alias("score"))
+    state = F.when(F.col("passed") == F.col("seats"), "passed").when(F.col("passed") > 0, "partial").otherwise("failed")
+    return rows.withColumn("state", state)
+
+
+def trends(seats: DataFrame, key: str, last: int = 20) -> DataFrame:
+    """One row a key: runs, mean score, newest scores (oldest first), tokens, refusals and passes a run.
+
+    A key may hold most rows: sums combine before the shuffle, and the newest scores are found in hashed parts first.
+    """
+    n = F.count(F.lit(1))
+    sums = seats.groupBy(key).agg(
+        n.alias("runs"), F.round(F.avg("score"), 1).alias("score"), F.sum("tokens").alias("tokens"),
+        F.round(F.sum("refusals") / n, 2).alias("refusal_rate"), F.round(F.count_if("passed") / n, 2).alias("pass_rate"),
+    )
+    newest = smallest_k(seats.select(key, "started", "run", F.col("score").alias("s")), [key], [F.desc("started"), F.desc("run")], last)
+    ordered = F.sort_array(F.collect_list(F.struct("started", "run", "s")))
+    return sums.join(newest.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["s"].cast("string")), " ").alias("scores")), key)
+
+
+def changelog(seats: DataFrame, files: DataFrame, domains: DataFrame) -> DataFrame:
+    """``domain, files, runs`` of what passed seats touched; a path without a domain is ``outside``.
+
+    ``files``: ``run, seat, path``; ``domains``: ``path, domain``.
+    """
+    done = files.join(seats.where("passed").select("run", "seat"), ["run", "seat"]).join(domains, "path", "left")
+    return done.groupBy(F.coalesce("domain", F.lit("outside")).alias("domain")).agg(F.count_distinct("path").alias("files"), F.count_distinct("run").alias("runs"))
+
+
+def ready(slices: DataFrame, deps: DataFrame) -> DataFrame:
+    """``id`` of queued slices whose dependencies have all passed. ``slices``: ``id, state``; ``deps``: ``id, needs``."""
+    passed = slices.where("state = 'passed'").select(F.col("id").alias("needs"))
+    blocked = deps.join(passed, "needs", "left_anti").select("id").distinct()
+    return slices.where("state = 'queued'").join(blocked, "id", "left_anti").select("id")
+
+
+def trailing(events: DataFrame, at: str, span: str) -> DataFrame:
+    """Events later than a span before an instant, up to it; the start is not included."""
+    end = F.lit(at).cast("timestamp_ntz")
+    return events.where((F.col("ts") > end - F.expr(f"interval {span}")) & (F.col("ts") <= end))
+
+
+def tail(events: DataFrame, since: int, newest: int) -> DataFrame:
+    """The newest events after a position."""
+    return events.where(F.col("event_id") > since).orderBy(F.desc("event_id")).limit(newest)

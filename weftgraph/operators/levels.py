@@ -106,3 +106,18 @@ def strong_components(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
         before = now
     mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
     return mutual.groupBy(F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("component"))
+
+
+def fan_percentile(fans: DataFrame, share: float) -> DataFrame:
+    """One row: the interpolated percentile of ``fan`` and how many nodes are above it."""
+    p = fans.agg(F.expr(f"percentile(cast(fan as double), {share})").alias("p"))
+    return fans.join(F.broadcast(p)).groupBy("p").agg(F.count_if(F.col("fan") > F.col("p")).alias("above"))
+
+
+def export_top(edges: DataFrame, k: int) -> DataFrame:
+    """``src, dst, weight`` among the k best connected nodes, with whether any node was left out."""
+    d = degrees(edges)
+    top = d.orderBy(F.desc("degree"), "id").limit(k).select("id")
+    cut_off = d.agg((F.count(F.lit(1)) > k).alias("truncated"))
+    inner = edges.join(top.withColumnRenamed("id", "src"), "src").join(top.withColumnRenamed("id", "dst"), "dst")
+    return inner.select("src", "dst", "weight").join(F.broadcast(cut_off))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,3 +44,27 @@ def tfidf_names(docs: DataFrame, group: str, text: str, k: int = 2) -> DataFrame
     scored = counts.join(df, "term").join(F.broadcast(total), "group").join(F.broadcast(n)).withColumn("score", F.round(F.col("c") / F.col("total") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 9))
     first = Window.partitionBy("group").orderBy(F.desc("score"), "term")
     return scored.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("group", "term", "score")
+
+
+def identifier_words(name: Column) -> Column:
+    """Words of an identifier, lower-cased: breaks at case, ``_``, ``-`` and ``.``; a run of capitals stays together."""
+    broken = F.regexp_replace(name, r"(\p{Ll}|\p{N})(\p{Lu})", "$1 $2")
+    return F.lower(F.trim(F.regexp_replace(broken, r"[\s_.\-]+", " ")))
+
+
+def _begins(term: str) -> Callable[[Column], Column]:
+    return lambda word: F.startswith(word, F.lit(term))
+
+
+def prefix_match(rows: DataFrame, key: str, text: Column, query: str) -> DataFrame:
+    """``id`` of rows in which every term of the query begins a word; one pass, no join."""
+    words, terms = tokens(text), [t for t in re.split(r"[^\w]+", query.lower()) if t]
+    begins = [F.exists(words, _begins(t)) for t in terms]
+    return rows.where(reduce(Column.__and__, begins, F.lit(bool(terms)))).select(F.col(key).alias("id"))
+
+
+def search_or_contain(rows: DataFrame, key: str, text: Column, query: str) -> DataFrame:
+    """``id, exact`` by ``prefix_match``; only if that finds nothing, rows that contain the query anywhere."""
+    found = prefix_match(rows, key, text, query).select("id", F.lit(True).alias("exact"))
+    loose = rows.where(F.contains(F.lower(text), F.lit(query.lower()))).select(F.col(key).alias("id"), F.lit(False).alias("exact"))
+    return loose if found.isEmpty() else found

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import cut
+
 
 def state(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """``s, p, o`` of calls and containment and of every node's kind."""
@@ -35,5 +37,79 @@ def match(triples: DataFrame, *patterns: tuple[str, str, str]) -> DataFrame:
     for p in patterns[1:]:
         right = pattern(triples, *p)
         shared = [c for c in right.columns if c in out.columns]
-        out = out.join(right, shared) if shared else out.join(right)
+        if not shared:
+            raise ValueError(f"pattern {p} shares no variable with those before it")
+        out = out.join(right, shared)
     return out
+
+
+def optional(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right, _shared(left, right), "left")
+
+
+def exists(left: DataFrame, right: DataFrame, wanted: bool = True) -> DataFrame:
+    return left.join(right, _shared(left, right), "left_semi" if wanted else "left_anti")
+
+
+def minus(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Like ``exists(..., False)``, but solutions that share no variable are kept."""
+    return left.join(right, shared, "left_anti") if (shared := [c for c in left.columns if c in right.columns]) else left
+
+
+def either(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both bags; a variable that one side lacks is unbound there."""
+    return left.unionByName(right, allowMissingColumns=True)
+
+
+def ask(solutions: DataFrame) -> DataFrame:
+    """One row: is there a solution?"""
+    return solutions.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
+
+
+def construct(solutions: DataFrame, *template: tuple[str, str, str]) -> DataFrame:
+    """``s, p, o`` of a template for all solutions; triples with an unbound part go."""
+    term = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
+    rows = [solutions.select(term(s).alias("s"), term(p).alias("p"), term(o).alias("o")) for s, p, o in template]
+    return reduce(DataFrame.union, rows).dropna().distinct()
+
+
+def describe(triples: DataFrame, resource: str) -> DataFrame:
+    return triples.where((F.col("s") == resource) | (F.col("o") == resource))
+
+
+def path_plus(triples: DataFrame, predicate: str, starts: DataFrame, most_steps: int = 50) -> DataFrame:
+    """``start, end`` of one or more steps along a predicate; set semantics. ``starts`` has ``start``.
+
+    Each step joins what was new in the step before and is checkpointed.
+    """
+    arcs = cut(triples.where(F.col("p") == predicate).select(F.col("s").alias("at"), F.col("o").alias("end")).distinct())
+    front = cut(starts.join(arcs, F.col("start") == F.col("at")).select("start", "end").distinct())
+    seen = front
+    for _ in range(most_steps):
+        step = front.withColumnRenamed("end", "at").join(arcs, "at").select("start", "end").distinct()
+        front = cut(step.join(seen, ["start", "end"], "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = seen.union(front)
+    raise RuntimeError(f"paths longer than {most_steps} steps: raise most_steps")
+
+
+def percent(text: Column) -> Column:
+    """Percent-encoded UTF-8, with ``/ @ + $ ! - . _ ~`` kept."""
+    out = F.url_encode(text)  # keeps letters, digits and . _ - *; a space becomes +
+    for written, meant in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%40", "@"), ("%2B", "+"), ("%24", "$"), ("%21", "!"), ("%7E", "~")):
+        out = F.replace(out, F.lit(written), F.lit(meant))
+    return out
+
+
+def n_triples(triples: DataFrame, base: str) -> DataFrame:
+    """``line`` of each triple as N-Triples, all parts IRIs below ``base``."""
+    iri = lambda c: F.concat(F.lit(f"<{base}"), percent(F.col(c)), F.lit(">"))
+    return triples.select(F.concat(F.concat_ws(" ", iri("s"), iri("p"), iri("o")), F.lit(" .")).alias("line"))
+
+
+def _shared(left: DataFrame, right: DataFrame) -> list[str]:
+    shared = [c for c in left.columns if c in right.columns]
+    if not shared:
+        raise ValueError("no variable is shared")
+    return shared
