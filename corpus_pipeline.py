@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fewer remembered words than alone: the workers still hold what the stages before needed."""
     attach(spark)
-    return packing.packed_documents(docs, tokenizer_path(), cache_words=450_000)
+    return packing.packed_documents(docs, tokenizer_path(), cache_words=120_000)
 
 
 STAGES = [
