@@ -108,6 +108,25 @@ def n_triples(triples: DataFrame, base: str) -> DataFrame:
     return triples.select(F.concat(F.concat_ws(" ", iri("s"), iri("p"), iri("o")), F.lit(" .")).alias("line"))
 
 
+def turtle(triples: DataFrame, base: str) -> DataFrame:
+    """``line`` of each triple, relative to ``base``; a file starts with ``@base <base> .``."""
+    iri = lambda c: F.concat(F.lit("<"), percent(F.col(c)), F.lit(">"))
+    return triples.select(F.concat(F.concat_ws(" ", iri("s"), iri("p"), iri("o")), F.lit(" .")).alias("line"))
+
+
+def rdf_xml(triples: DataFrame, base: str) -> DataFrame:
+    """``line`` of each triple, to stand in an ``rdf:RDF`` element with ``xmlns:g`` as ``base``; predicates must be names."""
+    about = lambda c: F.concat(F.lit(f'"{base}'), percent(F.col(c)), F.lit('"'))
+    head, middle = F.lit("<rdf:Description rdf:about="), F.concat(F.lit("><g:"), F.col("p"), F.lit(" rdf:resource="))
+    return triples.select(F.concat(head, about("s"), middle, about("o"), F.lit("/></rdf:Description>")).alias("line"))
+
+
+def json_ld(triples: DataFrame, base: str) -> DataFrame:
+    """``line`` of each triple as a node object; percent-encoding leaves nothing to escape."""
+    text = lambda c: F.concat(F.lit(f'"{base}'), percent(F.col(c)), F.lit('"'))
+    return triples.select(F.concat(F.lit('{"@id":'), text("s"), F.lit(","), text("p"), F.lit(':{"@id":'), text("o"), F.lit("}}")).alias("line"))
+
+
 def _shared(left: DataFrame, right: DataFrame) -> list[str]:
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
