@@ -17,7 +17,7 @@ BUDGET, CRON = 400, "*/15 8-17 1-15 * 1-5"
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = contains(spark, sf_dir).where("child like 'order:%'")
     seeds = read_table(spark, sf_dir, "orders").select(key("order", "o_orderkey").alias("seed"))
-    return packs.candidates(calls(spark, sf_dir), tree, seeds)
+    return packs.candidates(cut(calls(spark, sf_dir)), tree, seeds)  # read five times
 
 
 def context_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
