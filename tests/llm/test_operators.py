@@ -224,6 +224,23 @@ def test_extraction_drops_what_a_site_repeats(spark):
     assert extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, htmls):
+    rows = [(i, f"http://h/{i}", h) for i, h in enumerate(htmls)]
+    got = extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_extraction_counts_decide_inside_articles_and_beside_teasers(spark):
+    shared = "<p>a passage that a third of the pages share</p>"
+    htmls = [f"<body><article><h1>the head of page {i}</h1><p>long own text of page number {i}</p>{shared if i % 3 == 0 else ''}<div><p>share this page now</p></div></article></body>" for i in range(30)]
+    passage = "\na passage that a third of the pages share"
+    assert extracted(spark, htmls) == [f"the head of page {i}\nlong own text of page number {i}{passage if i % 3 == 0 else ''}" for i in range(30)]
+    # main text in a div beside article teasers, on a host with and without enough pages to count
+    for n in (30, 1):
+        got = extracted(spark, [f"<body><div><p>the main text of page {i}</p></div><article>teaser {i} a</article><article>teaser {i} b</article></body>" for i in range(n)])
+        assert got == [f"the main text of page {i}\nteaser {i} a\nteaser {i} b" for i in range(n)]
+
+
 def test_url_rules_and_redirects(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [

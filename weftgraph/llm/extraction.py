@@ -1,12 +1,14 @@
 """Main text of web pages by removing what a site repeats (operator 9).
 
-Every element outside the article has a hash of its subtree. Spark counts on how many pages of a host
-each hash stands; subtrees on many of them are the site's template and go. What pages mark as no
-article by tag, role or class goes too, as much of it (adverts, link lists) differs page by page.
+Every element has a hash of its subtree. Spark counts with how many different texts of a host each
+hash stands; subtrees that stand with many of them are the site's template and go, inside an article
+too. A text that was copied stands with itself only, however many copies there are. What pages mark as
+no article by tag, role or class goes too, as much of it (adverts, link lists) differs page by page.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import re
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import broadcast_if_small, cut
 
-#: a subtree is template if it stands on at least so many pages of its host and such a share of them
+#: a subtree is template if it stands with at least so many texts of its host and such a share of them
 MIN_PAGES, MIN_SHARE = 10, 0.3
+#: inside an article, where passages are shared, it must stand with such a share
+ARTICLE_SHARE = 0.6
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,12 +53,12 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class _Element:
-    __slots__ = ("tag", "away", "article", "holds", "digest", "first")
+    __slots__ = ("tag", "away", "article", "digest", "first", "speaks")
 
-    def __init__(self, tag: str, away: bool, article: bool, first: int, hashed: bool) -> None:
+    def __init__(self, tag: str, away: bool, article: bool, first: int) -> None:
         self.tag, self.away, self.article, self.first = tag, away, article, first
-        self.holds = False  # an article is below: such a subtree is no template
-        self.digest = hashlib.blake2b(tag.encode(), digest_size=8) if hashed else None
+        self.speaks = False  # it has words of its own, not only those of elements in it
+        self.digest = hashlib.blake2b(tag.encode(), digest_size=8)
 
 
 def _marked_away(tag: str, attributes: str, article: bool) -> bool:
@@ -68,27 +72,24 @@ def _marked_away(tag: str, attributes: str, article: bool) -> bool:
     return any(w in AWAY_WORDS for key in ("class", "id") if key in found for w in _SPLIT.split(found[key].lower()))
 
 
-def read_page(page: str, template: frozenset[int] = frozenset(), texts: bool = True) -> tuple[list[str], list[int]]:
-    """Blocks of text of the article and subtree hashes outside it.
+def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool = False) -> tuple[list[str], list[tuple[int, bool, int]], int]:
+    """Blocks of text, ``(hash, inside an article, other)`` of subtrees, and a hash of all text.
 
     One pass over the tags with a stack of open elements; missing end tags are supplied as HTML
     does for paragraphs, list items and cells. Blocks under an element that is marked as no
-    article, or whose hash is in ``template``, are left out. If any element ``article`` or ``main``
-    is there, the text is that inside, else that of the body. Without ``texts`` only hashes are made.
+    article, or whose hash is in ``template``, are left out. ``other`` is the hash of the longest block outside
+    the subtree; subtrees without text, or beside blocks of less than half their longest one, aren't listed.
+    If the host was ``counted``, all other blocks are text. If not, those outside the page's only
+    element ``article`` or ``main`` are left out where it holds at least half of the text.
     """
-    blocks: list[tuple[str, bool]] = []
-    hashes: list[int] = []
-    buffer: list[str] = []
-    stack: list[_Element] = [_Element("#", False, False, 0, True)]
-    away = inside = 0
-    seen_article = False
+    pieces: list[str | bool] = []  # texts; a truth value ends a block and says if it stands inside an article
+    subtrees: list[tuple[int, bool, int, int, _Element]] = []
+    stack: list[_Element] = [_Element("#", False, False, 0)]
+    away = inside = articles = 0
 
     def flush() -> None:
-        if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
-            buffer.clear()
-            if text:
-                blocks.append((text, inside > 0))
+        if pieces and not isinstance(pieces[-1], bool):
+            pieces.append(inside > 0)
 
     def close() -> None:
         nonlocal away, inside
@@ -96,15 +97,11 @@ def read_page(page: str, template: frozenset[int] = frozenset(), texts: bool = T
         if top.tag in BLOCK:
             flush()
         away -= top.away
-        if not inside and not top.holds and top.tag not in ("body", "html"):
-            digest = top.digest.digest()
-            value = int.from_bytes(digest, "little", signed=True)
-            hashes.append(value)
-            if value in template:
-                del blocks[top.first :]
-            stack[-1].digest.update(digest)
+        digest = top.digest.digest()
+        if not away and top.tag in BLOCK and top.tag not in ("body", "html") and len(pieces) > top.first:
+            subtrees.append((int.from_bytes(digest, "little", signed=True), inside > 0, top.first, len(pieces), stack[-1]))
+        stack[-1].digest.update(digest)
         inside -= top.article
-        stack[-1].holds |= top.holds | top.article
 
     at, n = 0, len(page)
     while at < n:
@@ -113,10 +110,10 @@ def read_page(page: str, template: frozenset[int] = frozenset(), texts: bool = T
         stop = n if start < 0 else start if found else start + 1
         if stop > at:
             text = page[at:stop]
-            if not inside:
-                stack[-1].digest.update(text.encode("utf-8", "surrogatepass"))
-            if texts and not away:
-                buffer.append(text)
+            stack[-1].digest.update(text.encode("utf-8", "surrogatepass"))
+            if not away:
+                pieces.append(text)
+                stack[-1].speaks = stack[-1].speaks or any(map(str.isalnum, text))
         if not found:
             at = stop
             continue
@@ -143,29 +140,76 @@ def read_page(page: str, template: frozenset[int] = frozenset(), texts: bool = T
                     break
             flush()
         if tag in VOID:
-            if not inside:
-                stack[-1].digest.update(tag.encode())
+            stack[-1].digest.update(tag.encode())
             if tag == "hr":
                 flush()
             elif tag == "br" and not away:
-                buffer.append(" ")
+                pieces.append(" ")
             continue
         article = tag in ("article", "main")
         gone = _marked_away(tag, found[3], inside > 0)
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
-            if not inside:
-                stack[-1].digest.update(page[at : end.start() if end else n].encode("utf-8", "surrogatepass"))
+            stack[-1].digest.update(page[at : end.start() if end else n].encode("utf-8", "surrogatepass"))
             at = end.end() if end else n
             continue
-        stack.append(_Element(tag, gone, article, len(blocks), not (article or inside)))
+        articles += article and not away and not gone and not inside
+        stack.append(_Element(tag, gone, article, len(pieces)))
         away += gone
         inside += article
-        seen_article |= article and not away
     while len(stack) > 1:
         close()
     flush()
-    return [t for t, own in blocks if own or not seen_article], hashes
+    return _texts(pieces, subtrees, template, counted or articles != 1), _beside(pieces, subtrees), _hash("\n".join(t for _, _, t, _ in _blocks(pieces)))
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _blocks(pieces: list[str | bool]) -> list[tuple[int, int, str, bool]]:
+    """``(first piece, end, text, inside)`` of the blocks with text."""
+    out, first = [], 0
+    for k, piece in enumerate(pieces):
+        if isinstance(piece, bool):
+            text = " ".join(entities.unescape("".join(pieces[first:k])).split())
+            if text:
+                out.append((first, k, text, piece))
+            first = k + 1
+    return out
+
+
+def _texts(pieces: list[str | bool], subtrees: list, template: frozenset[int], whole: bool) -> list[str]:
+    for value, _, first, end, _ in subtrees if template else ():
+        if value in template:
+            # ends of blocks stay, so that neighbours don't run together
+            pieces = [*pieces[:first], *(p if isinstance(p, bool) else " " for p in pieces[first:end]), *pieces[end:]]
+    blocks = _blocks(pieces)
+    own = sum(len(t) for _, _, t, inner in blocks if inner)
+    only = not whole and 2 * own >= sum(len(t) for _, _, t, _ in blocks)
+    return [t for _, _, t, inner in blocks if inner or not only]
+
+
+def _beside(pieces: list[str | bool], subtrees: list) -> list[tuple[int, bool, int]]:
+    blocks = _blocks(pieces)
+    firsts, size = [b[0] for b in blocks], [len(b[2]) for b in blocks]
+    before, after = [-1], [-1]  # the longest block up to, and from, each place
+    for k in range(len(blocks)):
+        before.append(k if before[-1] < 0 or size[k] > size[before[-1]] else before[-1])
+    for k in range(len(blocks) - 1, -1, -1):
+        after.append(k if after[-1] < 0 or size[k] >= size[after[-1]] else after[-1])
+    after.reverse()
+    out, hashes = [], {}
+    for value, inner, first, end, _ in subtrees:
+        lo, hi = bisect.bisect_left(firsts, first), bisect.bisect_left(firsts, end)
+        if lo == hi:
+            continue
+        beside = max((k for k in (before[lo], after[hi]) if k >= 0), key=lambda k: size[k], default=-1)
+        if beside >= 0 and 2 * size[beside] >= max(size[lo:hi]):
+            if beside not in hashes:
+                hashes[beside] = _hash(blocks[beside][2])
+            out.append((value, inner, hashes[beside]))
+    return out
 
 
 def host_of(url):
@@ -173,30 +217,36 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^.*?://([^/?#]*)", 1))
 
 
-def site_template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, hashes``: subtrees outside articles that stand on many pages of a host."""
+def site_template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
+    """``host, hashes`` of every host with ``min_pages`` different texts: subtrees that stand with many of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, rows = [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = set(read_page(page.as_py() or "", texts=False)[1])
-                hosts += [host] * (len(own) + 1)
-                hashes += [None, *own]  # a null counts the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                _, subtrees, body = read_page(page.as_py() or "")
+                own = {(None, False, body), *subtrees}  # a null counts the page's text itself
+                hosts += [host] * len(own)
+                rows += own
+            hashes, inner, beside = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(inner, pa.bool_()), pa.array(beside, pa.int64())], ["host", "hash", "inner", "beside"])
 
-    counts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, inner boolean, beside long")
+    # each text counts once, however many copies of it there are
+    counts = found.distinct().groupBy("host", "hash", "inner").agg(F.count(F.lit(1)).alias("n"))
     often = cut(counts.where(F.col("n") >= min_pages))
-    total = often.where("hash is null").select("host", F.col("n").alias("pages"))
-    found = often.where("hash is not null").join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return found.groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
+    total = often.where("hash is null").select("host", F.col("n").alias("bodies"))
+    share = F.when(F.col("inner"), F.lit(article_share)).otherwise(F.lit(min_share))
+    # the null of each host stays, so that a host without template has an empty list
+    kept = often.join(total, "host").where(F.col("hash").isNull() | (F.col("n") >= share * F.col("bodies")))
+    return kept.groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
 
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page, in the input's order within its files.
 
     Null html is an empty page and gives an empty text; so does a page without any block. Repeated
-    rows are extracted alike and count as often as they are there. An empty table gives no rows.
+    rows are extracted alike. An empty table gives no rows.
     A host has at most ``1 / min_share`` times a page's number of subtrees as its template, so a
     host's list is as small as a page is.
     """
@@ -208,7 +258,8 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
         for batch in batches:
             texts = []
             for page, hashes in zip(batch.column(2), batch.column(3), strict=True):
-                texts.append("\n".join(read_page(page.as_py() or "", frozenset(hashes.as_py() or ()))[0]))
+                known = hashes.as_py()
+                texts.append("\n".join(read_page(page.as_py() or "", frozenset(known or ()), known is not None)[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
