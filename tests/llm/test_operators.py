@@ -241,6 +241,17 @@ def test_extraction_counts_decide_inside_articles_and_beside_teasers(spark):
         assert got == [f"the main text of page {i}\nteaser {i} a\nteaser {i} b" for i in range(n)]
 
 
+def test_extraction_keeps_copies_and_finds_template_on_small_hosts_and_inline(spark):
+    notice = "<div><p>this notice is on all</p></div>"
+    texts = [f"main text of the page {0 if i < 20 else i}" for i in range(40)]
+    assert extracted(spark, [f"<body><div><p>{t}</p></div>{notice}</body>" for t in texts]) == texts
+    few = [f"main text of the page {i}" for i in range(4)]
+    assert extracted(spark, [f"<body><div><p>{t}</p></div>{notice}</body>" for t in few]) == few
+    many = [f"main text of the page {i}" for i in range(20)]
+    inline = [f"<body><div><p>{t} <b>page</b> it is</p></div><a>Home</a> <span>Log in</span><a>{k}</a></body>" for k, t in enumerate(many)]
+    assert extracted(spark, inline) == [f"{t} page it is\n{k}" for k, t in enumerate(many)]
+
+
 def test_url_rules_and_redirects(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [

@@ -22,6 +22,8 @@ from weftgraph.llm.common import broadcast_if_small, cut
 
 #: a subtree is template if it stands with at least so many texts of its host and such a share of them
 MIN_PAGES, MIN_SHARE = 10, 0.3
+#: on smaller hosts, outside articles, it must stand with such a share of the texts; with fewer texts nothing can be told
+SMALL_SHARE, LEAST_PAGES = 0.8, 3
 #: inside an article, where passages are shared, it must stand with such a share
 ARTICLE_SHARE = 0.6
 
@@ -78,12 +80,12 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
     One pass over the tags with a stack of open elements; missing end tags are supplied as HTML
     does for paragraphs, list items and cells. Blocks under an element that is marked as no
     article, or whose hash is in ``template``, are left out. ``other`` is the hash of the longest block outside
-    the subtree; subtrees without text, or beside blocks of less than half their longest one, aren't listed.
+    the subtree; inline elements among words, subtrees without text, or beside blocks of less than half their longest one, aren't listed.
     If the host was ``counted``, all other blocks are text. If not, those outside the page's only
     element ``article`` or ``main`` are left out where it holds at least half of the text.
     """
     pieces: list[str | bool] = []  # texts; a truth value ends a block and says if it stands inside an article
-    subtrees: list[tuple[int, bool, int, int, _Element]] = []
+    subtrees: list[tuple[int, bool, int, int, _Element | None]] = []  # the last: what an inline element stands in
     stack: list[_Element] = [_Element("#", False, False, 0)]
     away = inside = articles = 0
 
@@ -98,8 +100,8 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
             flush()
         away -= top.away
         digest = top.digest.digest()
-        if not away and top.tag in BLOCK and top.tag not in ("body", "html") and len(pieces) > top.first:
-            subtrees.append((int.from_bytes(digest, "little", signed=True), inside > 0, top.first, len(pieces), stack[-1]))
+        if not away and top.tag not in ("body", "html") and len(pieces) > top.first:
+            subtrees.append((int.from_bytes(digest, "little", signed=True), inside > 0, top.first, len(pieces), None if top.tag in BLOCK else stack[-1]))
         stack[-1].digest.update(digest)
         inside -= top.article
 
@@ -160,6 +162,8 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
     while len(stack) > 1:
         close()
     flush()
+    # an inline element among words is part of their sentence, also if it recurs
+    subtrees = [x for x in subtrees if not (x[4] and x[4].speaks)]
     return _texts(pieces, subtrees, template, counted or articles != 1), _beside(pieces, subtrees), _hash("\n".join(t for _, _, t, _ in _blocks(pieces)))
 
 
@@ -179,6 +183,10 @@ def _blocks(pieces: list[str | bool]) -> list[tuple[int, int, str, bool]]:
     return out
 
 
+def _is_text(piece: str | bool) -> bool:
+    return isinstance(piece, str)
+
+
 def _texts(pieces: list[str | bool], subtrees: list, template: frozenset[int], whole: bool) -> list[str]:
     for value, _, first, end, _ in subtrees if template else ():
         if value in template:
@@ -192,7 +200,7 @@ def _texts(pieces: list[str | bool], subtrees: list, template: frozenset[int], w
 
 def _beside(pieces: list[str | bool], subtrees: list) -> list[tuple[int, bool, int]]:
     blocks = _blocks(pieces)
-    firsts, size = [b[0] for b in blocks], [len(b[2]) for b in blocks]
+    firsts, ends, size = [b[0] for b in blocks], [b[1] for b in blocks], [len(b[2]) for b in blocks]
     before, after = [-1], [-1]  # the longest block up to, and from, each place
     for k in range(len(blocks)):
         before.append(k if before[-1] < 0 or size[k] > size[before[-1]] else before[-1])
@@ -201,8 +209,9 @@ def _beside(pieces: list[str | bool], subtrees: list) -> list[tuple[int, bool, i
     after.reverse()
     out, hashes = [], {}
     for value, inner, first, end, _ in subtrees:
-        lo, hi = bisect.bisect_left(firsts, first), bisect.bisect_left(firsts, end)
-        if lo == hi:
+        # the blocks it has a part in; an inline element may begin or end within one
+        lo, hi = bisect.bisect_right(ends, first), bisect.bisect_left(firsts, end)
+        if lo >= hi or not any(map(str.strip, filter(_is_text, pieces[first:end]))):
             continue
         beside = max((k for k in (before[lo], after[hi]) if k >= 0), key=lambda k: size[k], default=-1)
         if beside >= 0 and 2 * size[beside] >= max(size[lo:hi]):
@@ -218,7 +227,10 @@ def host_of(url):
 
 
 def site_template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
-    """``host, hashes`` of every host with ``min_pages`` different texts: subtrees that stand with many of them."""
+    """``host, hashes`` of every host with ``LEAST_PAGES`` different texts: subtrees that stand with many of them.
+
+    ``min_pages`` is the least number; on hosts with few texts ``SMALL_SHARE`` of these are enough outside articles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,11 +246,12 @@ def site_template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, inner boolean, beside long")
     # each text counts once, however many copies of it there are
     counts = found.distinct().groupBy("host", "hash", "inner").agg(F.count(F.lit(1)).alias("n"))
-    often = cut(counts.where(F.col("n") >= min_pages))
+    often = cut(counts.where(F.col("n") >= min(min_pages, LEAST_PAGES)))
     total = often.where("hash is null").select("host", F.col("n").alias("bodies"))
-    share = F.when(F.col("inner"), F.lit(article_share)).otherwise(F.lit(min_share))
+    share = F.col("bodies") * F.when(F.col("inner"), F.lit(article_share)).otherwise(F.lit(min_share))
+    least = F.when(F.col("inner"), F.lit(float(min_pages))).otherwise(F.least(F.lit(float(min_pages)), SMALL_SHARE * F.col("bodies")))
     # the null of each host stays, so that a host without template has an empty list
-    kept = often.join(total, "host").where(F.col("hash").isNull() | (F.col("n") >= share * F.col("bodies")))
+    kept = often.join(total, "host").where(F.col("hash").isNull() | (F.col("n") >= F.greatest(share, least)))
     return kept.groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("hashes"))
 
 
