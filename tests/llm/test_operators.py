@@ -175,6 +175,20 @@ def test_mixing_is_repeatable_and_meets_weights(spark):
     assert mixing.poisson_mix(docs(spark)).count() == 0 and mixing.poisson_mix(d).columns[:8] == d.columns
 
 
+def test_mixing_repeats_a_tiny_source_as_often_as_its_weight_asks(spark):
+    d = spark.createDataFrame([(1, "x", None), (2, "y", None), (3, "z" * 19_992, "big")], "doc_id long, text string, source string")
+    # 19,997 bytes in total, 4 of them without a source: a rate of 2499.6, in four parts
+    counts = {r.doc_id: r["count"] for r in mixing.poisson_mix(d).groupBy("doc_id").count().collect()}
+    assert all(abs(counts[i] - 2499.6) < 6 * 2499.6**0.5 for i in (1, 2)) and counts[1] != counts[2]
+    copies = [r.copy for r in mixing.poisson_mix(d.repartition(3)).where("doc_id = 1").collect()]
+    assert sorted(copies) == list(range(counts[1]))
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(None).cast("string").alias("source"))
+    got = mixing.poisson_mix(many.union(spark.createDataFrame([(-1, "z" * 1_600_000, "big")], "doc_id long, text string, source string")))
+    n = [r["count"] for r in got.where("source is null").groupBy("doc_id").count().collect()]
+    rate = (1_600_001 + 800) / 2 / 800
+    assert len(n) == 400 and abs(np.mean(n) - rate) < 5 * (rate / 400) ** 0.5 and 0.75 < np.var(n) / rate < 1.3
+
+
 def test_hilbert_neighbours_touch_and_shards_are_even(spark):
     grid = spark.range(4096).select(F.col("id"), *[F.shiftright("id", 4 * k).bitwiseAND(F.lit(15).cast("long")).alias(f"c{k}") for k in range(3)])
     cells = [tuple(r) for r in grid.select("c0", "c1", "c2", hilbert.hilbert_index([F.col("c0"), F.col("c1"), F.col("c2")]).alias("h")).orderBy("h").collect()]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import cut
 
 SEED = "mix-1"
+#: above this mean exp(-rate) comes near the least double; a larger rate is a sum of equal parts
+MOST_RATE = 700
 #: a count's chance beyond mean + 12 deviations + 40 is below 2**-52, the grain of the uniform number
 TAIL = "cast(ceil(rate + 12 * sqrt(rate) + 40) as int)"
 
@@ -47,22 +49,21 @@ def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None,
     A document's count inverts the Poisson distribution of its source's rate at a number hashed
     from its id and the seed: the same id always gets the same count, however often the job is
     run. Repeated ids share it. A null source is a source of its own, a null id hashes as the
-    empty text, a null text counts one byte. Rates up to 700 are supported (above, exp underflows).
+    empty text, a null text counts one byte. A rate above ``MOST_RATE`` is cut into equal parts, each
+    inverted at a number of its own: a sum of Poisson counts is Poisson with the sum of the rates.
     The order is that of ``mix_key``, md5 of id, copy and seed.
     """
     rates = mixing_rates(docs, weights).select(F.col("source").alias("_source"), "rate")
-    listed = cut(poisson_table(rates))
-    most = listed.agg(F.max("rate")).first()[0]
-    if most is not None and most > 700:
-        raise ValueError(f"a source would be repeated {most:.0f} times; the most that Poisson inversion takes here is 700")
-    listed = listed.select("_source", F.col("cdf").alias("_cdf"))
+    rates = rates.withColumn("_parts", F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("int")).withColumn("rate", F.col("rate") / F.col("_parts"))
+    listed = cut(poisson_table(rates)).select("_source", "_parts", F.col("cdf").alias("_cdf"))
     listed = F.broadcast(listed) if listed.limit(10_001).count() <= 10_000 else listed
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = unit(key, seed)
     own = docs.join(listed, F.col("source").eqNullSafe(F.col("_source")))
-    own = own.withColumn("_n", F.size(F.filter("_cdf", lambda v: v <= u)))
+    more = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: unit(F.concat(key, F.lit("/"), k.cast("string")), seed))
+    numbers = F.when(F.col("_parts") > 1, F.concat(F.array(unit(key, seed)), more)).otherwise(F.array(unit(key, seed)))
+    own = own.withColumn("_n", F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda v: v <= u))))
     many = own.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    many = many.drop("_n", "_cdf", "_source").withColumn("mix_key", F.md5(F.concat(key, F.lit("#"), F.col("copy").cast("string"), F.lit(":" + seed))))
+    many = many.drop("_n", "_cdf", "_parts", "_source").withColumn("mix_key", F.md5(F.concat(key, F.lit("#"), F.col("copy").cast("string"), F.lit(":" + seed))))
     return many.orderBy("mix_key") if shuffle else many
 
 
