@@ -15,7 +15,7 @@ from weftgraph.session import attach
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language nothing tells, go."""
+    """Documents without a letter, or whose predicted language scores below ``langid.MIN_SCORE``, go."""
     attach(spark)
     return langid.keep_identified(docs)
 

@@ -293,6 +293,18 @@ def test_language_and_quality_on_odd_rows(spark):
     assert langid.identify_documents(docs(spark)).count() == 0 and quality.score_quality(docs(spark), labels).count() == 0
 
 
+def test_language_stage_rests_on_language_and_score_and_keeps_letters_without_a_model(spark):
+    d = docs(spark, *ODD)
+    kept = langid.keep_identified(d.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7, 8]
+    texts = [("the cat and the dog went to the house", "en"), ("le chat et le chien sont dans la maison", "fr")] * 10
+    d = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(d).count() == 20 and langid.keep_identified(d, min_score=1.01).count() == 0
+    assert {r.lang for r in langid.keep_identified(d, ["fr"]).collect()} == {"fr"}
+    own = langid.keep_identified(d.withColumn("score", F.lit(7)))
+    assert own.columns == ["doc_id", "text", "lang", "score"] and {r.score for r in own.collect()} == {7}
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

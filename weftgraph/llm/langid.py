@@ -7,7 +7,7 @@ n-grams (1 to 4 bytes) of the whole text, so a text costs one histogram and one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -23,6 +23,8 @@ _U = np.uint64
 DIMS = 2048
 #: labelled rows that the classifiers are fitted on, at most, for each language
 SAMPLE_PER_LANGUAGE = 600
+#: a score below this has a margin against it: no family claims the text, or another language is nearer
+MIN_SCORE = 0.25
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -236,7 +238,17 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language could be told, with the columns of ``docs``."""
+def keep_identified(docs: DataFrame, languages: Collection[str] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents of ``languages`` (all that the model knows, if None) with ``min_score``, with the columns of ``docs``.
+
+    Texts that are null or have no letter go. Without a model, as no row has a lang to fit on,
+    nothing tells languages apart: all texts with a letter stay, whatever ``languages`` says.
+    """
     model = fit_languages(docs)
-    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    told = identify(docs.withColumns({f"_own_{c}": F.col(c) for c in ("lang_pred", "score") if c in docs.columns}), model)
+    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    if languages is not None:
+        kept = kept.where(F.col("lang_pred").isin(*languages))
+    return kept.select(*[F.col(f"_own_{c}").alias(c) if c in ("lang_pred", "score") else c for c in docs.columns])
