@@ -150,6 +150,20 @@ def test_packing_places_every_token_once(spark):
     assert packing.packed_documents(docs(spark), tokenizer_path()).count() == 0
 
 
+def test_packing_gives_the_sequences_themselves(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = [*ODD, *["same text"] * 20]
+    packed = packing.packed_documents(docs(spark, *texts), tokenizer_path(), 64)
+    whole = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in packing.sequences(packed).collect()}
+    assert all(0 < len(ids) <= 64 for ids in whole.values())
+    got = defaultdict(list)
+    for r in sorted(packed.collect(), key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id] += whole[r.sequence_id][r.offset : r.offset + r.length].tolist()
+    assert got == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_best_fit_plan_equals_best_fit_decreasing():
     rng = np.random.default_rng(4)
     for _ in range(30):
@@ -204,6 +218,25 @@ def test_hilbert_neighbours_touch_and_shards_are_even(spark):
     assert hilbert.hilbert_shards(docs(spark)).count() == 0
 
 
+def test_hilbert_shards_hold_the_rows_and_are_written_with_bounds(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    d = docs(spark, *[f"text {'x' * (i % 40)}" for i in range(400)])
+    hilbert.write_shards(d, str(tmp_path / "out"), 8, 16)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    kept = ["doc_id", "text", "lang", "source", "n_chars", "digest", "keys"]
+    assert sorted(map(str, got.select(*kept).collect())) == sorted(map(str, d.select(*kept).collect())) and got.groupBy("shard").count().count() == 8
+    spans = defaultdict(list)
+    for f in (tmp_path / "out").rglob("*.parquet"):
+        meta = pq.read_metadata(f)
+        stats = {meta.row_group(0).column(k).path_in_schema: meta.row_group(0).column(k).statistics for k in range(meta.num_columns)}
+        assert stats["size"].has_min_max
+        spans[f.parent.name].append((stats["slot"].min, stats["slot"].max))
+    for own in spans.values():
+        own.sort()
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:], strict=False))
+
+
 def test_media_round_trip(spark):
     texts = [*ODD, "\xff" * 600, "q" * 576]
     rows = media.media_digests(media.encode_documents(docs(spark, *texts))).collect()

@@ -56,7 +56,7 @@ def below(value: Column):
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16, salts: int = SALTS) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert`` for every row.
+    """The columns of ``docs`` and ``size, text_crc32, law, shard, slot, grown_shard, hilbert`` for every row.
 
     Dimensions are source, language and size, each cut at up to 15 approximate quantiles, so that
     every shard covers a compact box and a reader prunes files on any of the three. Rows are
@@ -64,6 +64,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, salts: int = SALTS) -> Dat
     Ranks come from counts: a cell is at most ``salts`` sorted groups, and the table of counts has
     at most ``4096 * salts`` rows whatever the input has. A null text has size 1; nulls in the
     other columns sort first; repeated ids get slots of their own; an empty table gives no rows.
+    Columns of ``docs`` with one of the added names are replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -72,6 +73,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, salts: int = SALTS) -> Dat
         F.crc32(text).cast("long").alias("text_crc32"),
         ordered_number(F.col("source")).alias("d0"),
         ordered_number(F.col("lang")).alias("d1"),
+        F.struct("*").alias("_doc"),
     ).withColumn("d2", F.col("size"))
     rows = cut(rows)
     parts = [(k + 1) / (1 << BITS) for k in range((1 << BITS) - 1)]
@@ -92,6 +94,20 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, salts: int = SALTS) -> Dat
     # rows are cut exactly, in whole numbers: shard s starts at ceil(s * total / shards)
     shard = F.expr(f"cast((before + rank) * {shards} div total as int)")
     start = F.expr(f"(({shards} - 1) + total * cast((before + rank) * {shards} div total as bigint)) div {shards}")
-    return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), (place - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert"
-    )
+    text = F.coalesce(F.col("_doc.text"), F.lit(""))
+    added = {
+        "size": F.col("size"), "text_crc32": F.crc32(text).cast("long"), "law": F.lit("rows"), "shard": shard, "slot": (place - start).cast("long"),
+        "grown_shard": F.lit(None).cast("int"), "hilbert": F.col("hilbert"),
+    }
+    own = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in (*added, "doc_id")]
+    return ranked.select("doc_id", *own, *[c.alias(name) for name, c in added.items()])
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, files: int = 64) -> None:
+    """Write the rows of :func:`hilbert_shards` as Parquet, a folder ``shard=n`` for each shard.
+
+    About ``files`` files in all are cut by ranges of shard and slot, so each holds neighbours on
+    the curve, and the minima and maxima in its footer let a reader skip it.
+    """
+    placed = hilbert_shards(docs, shards)
+    placed.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

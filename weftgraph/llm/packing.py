@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from weftgraph.llm.common import cut
 MAX_TOKENS, END_ID, SALTS = 4096, 1, 64
 #: words whose ids a Python worker remembers (some 200 bytes each); the rest go to the tokenizer each time
 CACHE_WORDS = 600_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class WordIds:
@@ -61,7 +60,7 @@ def coder(path: str, most: int) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``; only texts over ``max_tokens`` are cut."""
+    """``doc_id, piece, start, length, ids``, little-endian unsigned 32-bit; only texts over ``max_tokens`` are cut."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +71,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
                 ids = code(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), wide)):
                     part = ids[at : at + wide]
-                    out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    out.append((doc_id, k, at // 4, len(part) // 4, part))
             if out:
                 cols = zip(*out, strict=True)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
@@ -153,14 +152,14 @@ def pack(pieces: DataFrame, capacity: int = MAX_TOKENS, salts: int = SALTS) -> D
     ranks; an empty table gives an empty plan. Other columns pass through.
     """
     spark = pieces.sparkSession
-    keyed = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    keyed = pieces.withColumn("_crc", F.crc32("ids")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "_crc"), F.lit(salts)).cast("int"))
     hist = keyed.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_c"))
     hist = cut(hist)
     counts = {int(r["length"]): int(r["n"]) for r in hist.groupBy("length").agg(F.sum("_c").alias("n")).collect()}
     plan = best_fit_plan(counts, capacity)
     lower = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = hist.select("length", "_salt", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "_crc")
     ranked = keyed.withColumn("_r", F.row_number().over(inside) - 1).join(base, ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_r") + F.col("_base"))
     schema = "length long, _first long, _per long, _seq long, _bins long, _off long"
@@ -176,9 +175,16 @@ def pack(pieces: DataFrame, capacity: int = MAX_TOKENS, salts: int = SALTS) -> D
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """One row per piece of every document: where it stands in which sequence.
+    """One row per piece of every document: its ids, their crc32, and where it stands in which sequence.
 
     A null text is empty and holds only the end id. Repeated documents are packed as often as
     they are there. Pieces are computed once and kept in the shared folder, as they are read twice.
     """
-    return pack(cut(token_pieces(docs, tokenizer_path, max_tokens, cache_words=cache_words)), max_tokens)
+    return pack(cut(token_pieces(docs, tokenizer_path, max_tokens, cache_words=cache_words)), max_tokens).withColumn("ids_crc32", F.crc32("ids"))
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """``sequence_id, length, ids``: the packed sequences, each the ids of its pieces one after the other."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    whole = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("_parts"))
+    return whole.select("sequence_id", "length", F.aggregate("_parts", F.lit(b""), lambda ids, part: F.concat(ids, part["ids"])).alias("ids"))

@@ -17,7 +17,8 @@ def tokenizer_path() -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    packed = packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
+    placed = hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
