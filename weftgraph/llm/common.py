@@ -44,9 +44,38 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(n)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to have few rows, else as it is.
-
-    Meant for narrow tables of keys that are already cut; beyond the bound the join shuffles.
+def spare(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many ``_`` behind it as set it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _bytes_of(field) -> Column:
+    """Bytes of a value, 16 for what has a fixed width."""
+    kind, col = field.dataType.typeName(), F.col(f"`{field.name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    return F.greatest(F.size(col), F.lit(0)) * 16 + 16 if kind == "array" else F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it was measured to have few rows and bytes, else as it is.
+
+    Meant for narrow tables of keys that are already cut; beyond the bounds the join shuffles.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    size = sum((_bytes_of(f) for f in df.schema.fields), F.lit(0)).cast("long")
+    rows, total = df.select(size.alias("b")).limit(most_rows + 1).agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if rows <= most_rows and (total or 0) <= most_bytes else df
+
+
+def filed(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and readers take the columns that they need."""
+    path = fresh_dir(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,12 +8,13 @@ no article by tag, role or class goes too, as much of it (adverts, link lists) d
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,64 @@ CLOSES = {
     "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
+#: words that say nothing of their own in a name such as ``related-posts`` or ``share-buttons``
+FILLER_WORDS = frozenset("area bar block body box buttons container content form group inner items links list outer panel post posts row section site the top bottom wrap wrapper".split())
+#: inside an article these name parts of it
+ARTICLE_WORDS = frozenset("header masthead banner".split())
+#: elements nested deeper than this belong to the one at this depth, as in browsers
+DEEPEST = 512
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+class _Tags:
+    """Tags of a page one after the other, in one pass.
+
+    A tag ends at the first ``>`` outside quotes. Once a quote is found that is never closed, quotes no longer
+    count on this page; without any more ``>`` the rest has no tag. So each failed search is made once only.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes, self.last = page, True, page.rfind(">")
+
+    def end_of(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` ends, or -1."""
+        if at > self.last:
+            return -1
+        k = at
+        while self.quotes:
+            found = _STOP.search(self.page, k)
+            if not found:
+                self.quotes = False
+            elif found[0] == ">":
+                return found.end()
+            else:
+                k = self.page.find(found[0], found.end()) + 1
+                self.quotes = k > 0
+        return self.page.find(">", at) + 1 or -1
+
+    def read(self, at: int) -> tuple[int, str, bool, str] | None:
+        """``(end, tag, whether it closes, attributes)`` of what begins with ``<`` at ``at``; no tag name for comments; None for text."""
+        page, n = self.page, len(self.page)
+        if page.startswith("<!--", at):
+            return (page.find("-->", at + 4) + 3 if page.find("-->", at + 4) >= 0 else n), "", False, ""
+        name = _NAME.match(page, at)
+        if not name:
+            if page[at + 1 : at + 2] not in ("!", "?", "/"):
+                return None
+            end = page.find(">", at)
+            return (end + 1 if end >= 0 else n), "", False, ""
+        end = self.end_of(name.end())
+        if end < 0:
+            # a last tag that was cut off is none; what looks like one within text is text
+            return (n, "", False, "") if page.find("<", at + 1) < 0 else None
+        return end, name[1].lower(), page[at + 1] == "/", page[name.end() : end - 1]
+
+
 class _Element:
     __slots__ = ("tag", "away", "article", "digest", "first", "speaks")
 
@@ -63,6 +116,14 @@ class _Element:
         self.digest = hashlib.blake2b(tag.encode(), digest_size=8)
 
 
+def _names_away(name: str, article: bool) -> bool:
+    """Whether a class or id names no article. Inside one all of its words must, and words that parts of an article have don't count."""
+    words = [w for w in _SPLIT.split(name) if w]
+    if not article:
+        return any(w in AWAY_WORDS for w in words)
+    return any(w in AWAY_WORDS for w in words) and all(w in FILLER_WORDS or w in AWAY_WORDS - ARTICLE_WORDS for w in words)
+
+
 def _marked_away(tag: str, attributes: str, article: bool) -> bool:
     if tag in AWAY and not (article and tag == "header"):
         return True
@@ -71,7 +132,7 @@ def _marked_away(tag: str, attributes: str, article: bool) -> bool:
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in AWAY_ROLES:
         return True
-    return any(w in AWAY_WORDS for key in ("class", "id") if key in found for w in _SPLIT.split(found[key].lower()))
+    return any(_names_away(name, article) for key in ("class", "id") if key in found for name in found[key].lower().split())
 
 
 def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool = False) -> tuple[list[str], list[tuple[int, bool, int]], int]:
@@ -82,11 +143,14 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
     article, or whose hash is in ``template``, are left out. ``other`` is the hash of the longest block outside
     the subtree; inline elements among words, subtrees without text, or beside blocks of less than half their longest one, aren't listed.
     If the host was ``counted``, all other blocks are text. If not, those outside the page's only
-    element ``article`` or ``main`` are left out where it holds at least half of the text.
+    element ``article`` or ``main`` are left out where it holds at least half of the text. The time is linear in the
+    page's length, also for broken tags and very deep nesting.
     """
     pieces: list[str | bool] = []  # texts; a truth value ends a block and says if it stands inside an article
     subtrees: list[tuple[int, bool, int, int, _Element | None]] = []  # the last: what an inline element stands in
     stack: list[_Element] = [_Element("#", False, False, 0)]
+    depths: Counter[str] = Counter()  # open elements by tag
+    blocks: list[int] = []  # places in the stack of those that are blocks
     away = inside = articles = 0
 
     def flush() -> None:
@@ -96,7 +160,9 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
     def close() -> None:
         nonlocal away, inside
         top = stack.pop()
+        depths[top.tag] -= 1
         if top.tag in BLOCK:
+            blocks.pop()
             flush()
         away -= top.away
         digest = top.digest.digest()
@@ -105,10 +171,10 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
         stack[-1].digest.update(digest)
         inside -= top.article
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), _Tags(page)
     while at < n:
         start = page.find("<", at)
-        found = _TOKEN.match(page, start) if start >= 0 else None
+        found = tags.read(start) if start >= 0 else None
         stop = n if start < 0 else start if found else start + 1
         if stop > at:
             text = page[at:stop]
@@ -119,27 +185,23 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
         if not found:
             at = stop
             continue
-        at = found.end()
-        tag = (found[2] or "").lower()
+        at, tag, ends, attributes = found
         if not tag:
             continue
-        if found[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
-                while len(stack) > depth:
+        if ends:
+            if depths[tag] > 0:
+                while stack[-1].tag != tag:
                     close()
+                close()
             elif tag in BLOCK:
                 flush()
             continue
         if tag in BLOCK and tag != "hr":
-            while len(stack) > 1:
-                # inline elements left open inside a paragraph don't keep it open
-                open_at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in BLOCK), 0)
-                if open_at and tag in CLOSES.get(stack[open_at].tag, ()):
-                    while len(stack) > open_at:
-                        close()
-                else:
-                    break
+            # inline elements left open inside a paragraph don't keep it open
+            while blocks and tag in CLOSES.get(stack[blocks[-1]].tag, ()):
+                depth = blocks[-1]
+                while len(stack) > depth:
+                    close()
             flush()
         if tag in VOID:
             stack[-1].digest.update(tag.encode())
@@ -149,13 +211,18 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
                 pieces.append(" ")
             continue
         article = tag in ("article", "main")
-        gone = _marked_away(tag, found[3], inside > 0)
+        gone = _marked_away(tag, attributes, inside > 0)
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             stack[-1].digest.update(page[at : end.start() if end else n].encode("utf-8", "surrogatepass"))
             at = end.end() if end else n
             continue
+        if len(stack) > DEEPEST:
+            continue
         articles += article and not away and not gone and not inside
+        if tag in BLOCK:
+            blocks.append(len(stack))
+        depths[tag] += 1
         stack.append(_Element(tag, gone, article, len(pieces)))
         away += gone
         inside += article
@@ -183,15 +250,14 @@ def _blocks(pieces: list[str | bool]) -> list[tuple[int, int, str, bool]]:
     return out
 
 
-def _is_text(piece: str | bool) -> bool:
-    return isinstance(piece, str)
-
-
 def _texts(pieces: list[str | bool], subtrees: list, template: frozenset[int], whole: bool) -> list[str]:
-    for value, _, first, end, _ in subtrees if template else ():
-        if value in template:
-            # ends of blocks stay, so that neighbours don't run together
-            pieces = [*pieces[:first], *(p if isinstance(p, bool) else " " for p in pieces[first:end]), *pieces[end:]]
+    hits = [(first, end) for value, _, first, end, _ in subtrees if value in template] if template else []
+    if hits:
+        gone = np.zeros(len(pieces) + 1, np.int64)
+        np.add.at(gone, [first for first, _ in hits], 1)
+        np.add.at(gone, [end for _, end in hits], -1)
+        # ends of blocks stay, so that neighbours don't run together
+        pieces = [p if not g or isinstance(p, bool) else " " for p, g in zip(pieces, np.cumsum(gone).tolist(), strict=False)]
     blocks = _blocks(pieces)
     own = sum(len(t) for _, _, t, inner in blocks if inner)
     only = not whole and 2 * own >= sum(len(t) for _, _, t, _ in blocks)
@@ -200,24 +266,30 @@ def _texts(pieces: list[str | bool], subtrees: list, template: frozenset[int], w
 
 def _beside(pieces: list[str | bool], subtrees: list) -> list[tuple[int, bool, int]]:
     blocks = _blocks(pieces)
-    firsts, ends, size = [b[0] for b in blocks], [b[1] for b in blocks], [len(b[2]) for b in blocks]
+    if not blocks or not subtrees:
+        return []
+    size = np.array([len(b[2]) for b in blocks])
     before, after = [-1], [-1]  # the longest block up to, and from, each place
     for k in range(len(blocks)):
         before.append(k if before[-1] < 0 or size[k] > size[before[-1]] else before[-1])
     for k in range(len(blocks) - 1, -1, -1):
         after.append(k if after[-1] < 0 or size[k] >= size[after[-1]] else after[-1])
     after.reverse()
+    words = np.cumsum([0, *(isinstance(p, str) and bool(p.strip()) for p in pieces)])
+    first, end = np.array([x[2] for x in subtrees]), np.array([x[3] for x in subtrees])
+    # the blocks it has a part in; an inline element may begin or end within one
+    lo, hi = np.searchsorted([b[1] for b in blocks], first, "right"), np.searchsorted([b[0] for b in blocks], end, "left")
+    speaks = np.flatnonzero((lo < hi) & (words[end] > words[first]))
+    if not len(speaks):
+        return []
+    own = np.maximum.reduceat(np.append(size, 0), np.stack([lo[speaks], hi[speaks]], 1).ravel())[::2].tolist()
     out, hashes = [], {}
-    for value, inner, first, end, _ in subtrees:
-        # the blocks it has a part in; an inline element may begin or end within one
-        lo, hi = bisect.bisect_right(ends, first), bisect.bisect_left(firsts, end)
-        if lo >= hi or not any(map(str.strip, filter(_is_text, pieces[first:end]))):
-            continue
-        beside = max((k for k in (before[lo], after[hi]) if k >= 0), key=lambda k: size[k], default=-1)
-        if beside >= 0 and 2 * size[beside] >= max(size[lo:hi]):
+    for k, most in zip(speaks.tolist(), own, strict=True):
+        beside = max((x for x in (before[lo[k]], after[hi[k]]) if x >= 0), key=lambda x: size[x], default=-1)
+        if beside >= 0 and 2 * size[beside] >= most:
             if beside not in hashes:
                 hashes[beside] = _hash(blocks[beside][2])
-            out.append((value, inner, hashes[beside]))
+            out.append((subtrees[k][0], subtrees[k][1], hashes[beside]))
     return out
 
 
@@ -259,7 +331,8 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     """``page_id, url, text, n_chars`` for every page, in the input's order within its files.
 
     Null html is an empty page and gives an empty text; so does a page without any block. Repeated
-    rows are extracted alike. An empty table gives no rows.
+    rows are extracted alike. An empty table gives no rows. Other columns are ignored, whatever their names. Very
+    long pages are read whole.
     A host has at most ``1 / min_share`` times a page's number of subtrees as its template, so a
     host's list is as small as a page is.
     """

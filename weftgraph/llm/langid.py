@@ -16,20 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import crc_mod
+from weftgraph.llm.common import crc_mod, spare
 from weftgraph.llm.textops import text_slices
 
 _U = np.uint64
 DIMS = 2048
-#: labelled rows that the classifiers are fitted on, at most, for each language
-SAMPLE_PER_LANGUAGE = 600
+#: labelled rows that the classifiers are fitted on, at most, for each language and in all (4 KB each on the driver)
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
+#: bytes of a text whose grams are counted at a time
+CHUNK = 1 << 16
 #: a score below this has a margin against it: no family claims the text, or another language is nearer
 MIN_SCORE = 0.25
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
-    "romance": "ca es fr gl it la lt_oc oc pt ro",
+    "romance": "ca es fr gl it la oc pt ro",
     "slavic": "be bg bs cs hr mk pl ru sk sl sr uk",
     "baltic": "lt lv",
     "celtic": "br cy ga gd",
@@ -51,28 +53,33 @@ def family_of(lang: str) -> str:
 def gram_frequencies(raw: np.ndarray, offsets: np.ndarray, dims: int = DIMS) -> np.ndarray:
     """(texts, dims) relative frequencies of hashed 1- to 4-byte grams, A-Z lower-cased.
 
-    Runs of anything but letters count as one space, so layout and junk marks carry no weight.
+    Runs of anything but letters count as one space, so layout and junk marks carry no weight. A
+    long text is counted ``CHUNK`` bytes at a time, so it takes a few bytes of memory a byte.
     """
     n = len(offsets) - 1
     out = np.zeros((n, dims), np.float32)
-    folded = _FOLD[raw]
     for i in range(n):
-        b = folded[offsets[i] : offsets[i + 1]]
+        b = _FOLD[raw[offsets[i] : offsets[i + 1]]]
         if not len(b):
             continue
         keep = b != 32
         keep[1:] |= b[:-1] != 32
-        x = np.concatenate(([32], b[keep], [32])).astype(np.uint32)
-        grams = [x]
-        acc = x
-        for k in range(1, 4):
-            acc = acc[:-1] * np.uint32(257) + x[k:]
-            grams.append(acc + np.uint32(k << 28))
-        g = np.concatenate(grams) * np.uint32(2654435769)
-        out[i] = np.bincount((g >> np.uint32(21)).astype(np.int64) % dims, minlength=dims) / len(g)
+        x = np.concatenate((_SPACE, b[keep], _SPACE))
+        counts = np.zeros(dims, np.int64)
+        for s in range(0, len(x), CHUNK):
+            part = x[s : s + CHUNK + 3].astype(np.uint32)
+            acc, own = part, min(CHUNK, len(x) - s)
+            grams = [part[:own]]
+            for k in range(1, 4):
+                acc = acc[:-1] * np.uint32(257) + part[k:]
+                grams.append(acc[:own] + np.uint32(k << 28))
+            g = np.concatenate(grams) * np.uint32(2654435769)
+            counts += np.bincount((g >> np.uint32(21)).astype(np.int64) % dims, minlength=dims)
+        out[i] = counts / counts.sum()
     return out
 
 
+_SPACE = np.array([32], np.uint8)
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -147,18 +154,18 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> L
     """Fit on rows with a lang and crc32(doc_id) mod 4 other than 2; None if there are none.
 
     Of each language at most ``per_language`` rows, those with the smallest hash of the id, are
-    turned into frequencies by the executors and sent to the driver; whole texts are used.
+    turned into frequencies by the executors and sent to the driver; whole texts are used. With very many
+    languages each gives fewer, so that there are ``SAMPLE_ROWS`` in all.
     """
-    open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
+    open_rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
     counts = {r["lang"]: r["count"] for r in open_rows.groupBy("lang").count().collect()}
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.3 * per_language / n))).otherwise(share)
+    per_language = max(1, min(per_language, SAMPLE_ROWS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 1.3 * per_language / n + 8 / n)) for lang, n in counts.items()], "lang string, _share double")
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid"))
-    drawn = open_rows.select("lang", "text", order.alias("_h")).where(F.pmod("_h", F.lit(1 << 20)) < share * (1 << 20))
-    rows = drawn.mapInArrow(_frequencies, "lang string, h long, freq binary").orderBy("h", "lang").limit(2 * per_language * len(counts)).collect()
+    drawn = open_rows.withColumn("_h", order).join(F.broadcast(shares), "lang").where(F.pmod("_h", F.lit(1 << 20)) < F.col("_share") * (1 << 20))
+    rows = drawn.select("lang", "text", "_h").mapInArrow(_frequencies, "lang string, h long, freq binary").orderBy("h", "lang", "freq").limit(2 * per_language * len(counts) + 16 * len(counts)).collect()
     x, y, seen = [], [], dict.fromkeys(counts, 0)
     for r in rows:
         if seen[r["lang"]] < per_language:
@@ -193,14 +200,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array([f.tobytes() for f in freq], pa.binary())], ["lang", "h", "freq"])
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, from the text alone.
+def identify(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two more columns, the predicted language and its score, from the text alone.
 
     A text that is null or has no letter gives ``und`` with score 1, as does every text when there
-    is no model. Ties go to the language that sorts first. Columns of those names are replaced.
+    is no model. Ties go to the language that sorts first. Columns of ``docs`` with one of ``names``
+    are replaced; all others, whatever they are called, pass through. Texts of any length are read whole.
     """
-    schema = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    base = docs.drop("lang_pred", "score")
+    base = docs.drop(*names)
+    schema = base.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0)}).schema
     at = base.columns.index("text")
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -213,14 +221,9 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             lang, score = np.full(batch.num_rows, "und", object), np.ones(batch.num_rows)
             texts = batch.column(at)
             for i, raw, off in text_slices(texts) if known else ():
-                n = len(off) - 1
                 best, sure = known.predict(gram_frequencies(raw, off))
-                ascii_letters = _ASCII_LETTER[raw]
-                count = np.zeros(len(raw) + 1, np.int64)
-                np.cumsum(ascii_letters, out=count[1:])
-                plain = count[off[1:]] > count[off[:-1]]
-                for k in range(n):
-                    if plain[k] or has_letter(texts[i + k].as_py() or ""):
+                for k, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                    if _ASCII_LETTER[raw[s : min(e, s + 4096)]].any() or has_letter(texts[i + k].as_py() or ""):
                         lang[i + k], score[i + k] = known.languages[best[k]], sure[k]
             columns = [*(c.cast(f.type) for c, f in zip(batch.columns, fields, strict=False)), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
@@ -233,7 +236,11 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each document; see :func:`identify`."""
+    """``doc_id, held_out, lang_pred, score`` for each document; see :func:`identify`.
+
+    Other columns are ignored, whatever their names. A null doc_id hashes as the empty text.
+    Repeated rows are judged alike; an empty table gives no rows.
+    """
     model = fit_languages(docs)
     return identify(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
@@ -247,8 +254,8 @@ def keep_identified(docs: DataFrame, languages: Collection[str] | None = None, m
     model = fit_languages(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = identify(docs.withColumns({f"_own_{c}": F.col(c) for c in ("lang_pred", "score") if c in docs.columns}), model)
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    pred, score = spare(docs, "lang_pred", "score")
+    kept = identify(docs, model, (pred, score)).where((F.col(pred) != "und") & (F.col(score) >= min_score))
     if languages is not None:
-        kept = kept.where(F.col("lang_pred").isin(*languages))
-    return kept.select(*[F.col(f"_own_{c}").alias(c) if c in ("lang_pred", "score") else c for c in docs.columns])
+        kept = kept.where(F.col(pred).isin(*languages))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

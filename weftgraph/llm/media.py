@@ -10,10 +10,11 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,11 @@ def encode_scans(samples: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+def encode_frames(samples: np.ndarray) -> list[bytes]:
+    """Entropy-coded data of any number of frames, ``GROUP`` of them at a time."""
+    return [scan for k in range(0, len(samples), GROUP) for scan in encode_scans(samples[k : k + GROUP])]
+
+
 def write_avi(scans: list[bytes]) -> bytes:
     """An AVI file of such frames."""
     chunks, index, at = [], [], 4
@@ -175,7 +181,7 @@ def decode_scans(scans: list[bytes], rows: int, columns: int, table: bytes) -> n
     starts = starts - np.r_[0, np.cumsum(stuffed)][starts]
     b = data[~stuffed].astype(np.int32)
     window = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-    pos = (starts * 8).astype(np.int32)
+    pos = (starts * 8).astype(np.int32)  # a group of frames has some megabytes
     diff = np.empty((rows * columns, len(scans)), np.int32)
     for i in range(rows * columns):
         head = (window.take(pos >> 3, mode="clip") >> (8 - (pos & 7))) & 65535
@@ -193,8 +199,7 @@ def shots(frames: np.ndarray, fps: float, window: int = 12, sigmas: float = 3.0,
     deviations above the mean of the ``window`` moves before it. A lone frame is one clip.
     """
     n = len(frames)
-    bins = (frames.reshape(n, -1) >> 4).astype(np.int64) + np.arange(n)[:, None] * 16
-    hist = np.bincount(bins.ravel(), minlength=n * 16).reshape(n, 16)
+    hist = np.concatenate([_histograms(frames[k : k + GROUP]) for k in range(0, n, GROUP)])
     move = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * frames[0].size)
     s1, s2 = np.r_[0, np.cumsum(move)], np.r_[0, np.cumsum(move * move)]
     k = np.arange(len(move))
@@ -207,11 +212,17 @@ def shots(frames: np.ndarray, fps: float, window: int = 12, sigmas: float = 3.0,
     return [(a, b - 1, a / fps, b / fps, float(grey[b] - grey[a]) / ((b - a) * frames[0].size)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _histograms(frames: np.ndarray) -> np.ndarray:
+    n = len(frames)
+    bins = (frames.reshape(n, -1) >> 4).astype(np.int64) + np.arange(n)[:, None] * 16
+    return np.bincount(bins.ravel(), minlength=n * 16).reshape(n, 16)
+
+
 def payload_of(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % FRAME if text else FRAME)
 
 
-def _grouped(items: list[bytes], weight) -> Iterator[tuple[int, int]]:
+def _grouped(items: list, weight) -> Iterator[tuple[int, int]]:
     """Runs of items of about GROUP frames."""
     first, total = 0, 0
     for i, item in enumerate(items):
@@ -224,31 +235,38 @@ def _grouped(items: list[bytes], weight) -> Iterator[tuple[int, int]]:
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text (null: empty) as an AVI file."""
+    """``doc_id, n_bytes, media``: each text (null: empty) as an AVI file.
+
+    Other columns are ignored, whatever their names; repeated rows give repeated files, an empty table
+    none. A very long text is coded ``GROUP`` frames at a time and held as text, samples and file; RIFF and
+    Spark's binary values both end at 2 GB, which is the longest file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(1)]
-            for a, b in _grouped(texts, lambda t: max(1, -(-len(t) // FRAME))):
-                payloads = [payload_of(t) for t in texts[a:b]]
-                scans = encode_scans(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, SIDE, SIDE))
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for a, b in _grouped(sizes, lambda n: max(1, -(-n // FRAME))):
+                texts = [(t.as_py() or "").encode() for t in batch.column(1).slice(a, b - a)]
+                payloads = [payload_of(t) for t in texts]
+                scans = encode_frames(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, SIDE, SIDE))
                 films, at = [], 0
                 for p in payloads:
                     films.append(write_avi(scans[at : at + len(p) // FRAME]))
                     at += len(p) // FRAME
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t) for t in texts[a:b]], pa.int64()), pa.array(films, pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t) for t in texts], pa.int64()), pa.array(films, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode_films(films: list[bytes]) -> Iterator[tuple[np.ndarray, float]]:
-    """Frames and rate of each film; frames of films with the same head are decoded together."""
+def decode_films(films: Iterable[bytes]) -> Iterator[tuple[np.ndarray, float]]:
+    """Frames and rate of each film; frames of films with the same head are decoded together, ``GROUP`` at a time."""
     scans: list[bytes] = []
     sizes: list[tuple[int, float]] = []
     head, parsed = b"", (0, 0, 0, b"")
 
     def flush() -> Iterator[tuple[np.ndarray, float]]:
-        frames = decode_scans(scans, *parsed[1:]) if scans else np.zeros((0, SIDE, SIDE), np.uint8)
+        parts = [decode_scans(scans[k : k + GROUP], *parsed[1:]) for k in range(0, len(scans), GROUP)]
+        frames = np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros((0, SIDE, SIDE), np.uint8)
         at = 0
         for n, fps in sizes:
             yield frames[at : at + n], fps
@@ -294,20 +312,29 @@ def clip_rows(media: DataFrame) -> DataFrame:
 def media_digests(media: DataFrame) -> DataFrame:
     """What is read back from each film of ``doc_id, n_bytes, media``; ``feature`` lists its clips.
 
-    Equal texts give equal values. Repeated rows give repeated rows, an empty table none.
+    Equal texts give equal values. Repeated rows give repeated rows, an empty table none; a null
+    ``media`` gives nulls. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            films = batch.column(2).to_pylist()
-            out = []
-            for film, (frames, fps) in zip(films, decode_films(films), strict=True):
-                payload = frames.tobytes()
-                clips = ",".join(f"{a}-{b}@{s:.2f}-{e:.2f}~{g:.1f}" for a, b, s, e, g in shots(frames, fps))
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(film), hashlib.sha256(film).hexdigest(), f"frames={len(frames)};clips={clips}"))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist()
+            for a, b in _grouped(sizes, lambda n: n // FRAME):
+                part = batch.slice(a, b - a)
+                films = part.column(2).to_pylist()
+                decoded = decode_films(f for f in films if f is not None)
+                out = []
+                for film in films:
+                    if film is None:
+                        out.append((None,) * 6)
+                        continue
+                    frames, fps = next(decoded)
+                    payload = frames.tobytes()
+                    clips = ",".join(f"{i}-{j}@{s:.2f}-{e:.2f}~{g:.1f}" for i, j, s, e, g in shots(frames, fps))
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(film), hashlib.sha256(film).hexdigest(), f"frames={len(frames)};clips={clips}"))
+                cols = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import broadcast_if_small, cut, spare
 
 SEED = "mix-1"
 #: above this mean exp(-rate) comes near the least double; a larger rate is a sum of equal parts
@@ -51,20 +51,26 @@ def poisson_mix(docs: DataFrame, weights: dict[str | None, float] | None = None,
     run. Repeated ids share it. A null source is a source of its own, a null id hashes as the
     empty text, a null text counts one byte. A rate above ``MOST_RATE`` is cut into equal parts, each
     inverted at a number of its own: a sum of Poisson counts is Poisson with the sum of the rates.
-    The order is that of ``mix_key``, md5 of id, copy and seed.
+    The order is that of ``mix_key``, md5 of id, copy and seed: its leading digits are uniform, so rows are
+    dealt to partitions by them and sorted there, without a look at the data first. Columns of ``docs`` all
+    stay; if one is called ``copy`` or ``mix_key``, the added one has a ``_`` behind its name.
     """
-    rates = mixing_rates(docs, weights).select(F.col("source").alias("_source"), "rate")
-    rates = rates.withColumn("_parts", F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("int")).withColumn("rate", F.col("rate") / F.col("_parts"))
-    listed = cut(poisson_table(rates)).select("_source", "_parts", F.col("cdf").alias("_cdf"))
-    listed = F.broadcast(listed) if listed.limit(10_001).count() <= 10_000 else listed
+    copy, mix_key, source, parts, cdf, times, place = spare(docs, "copy", "mix_key", "_source", "_parts", "_cdf", "_times", "_place")
+    rates = mixing_rates(docs, weights).select(F.col("source").alias(source), "rate")
+    rates = rates.withColumn(parts, F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("int")).withColumn("rate", F.col("rate") / F.col(parts))
+    listed = broadcast_if_small(cut(poisson_table(rates).select(source, parts, F.col("cdf").alias(cdf))), 10_000)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    own = docs.join(listed, F.col("source").eqNullSafe(F.col("_source")))
-    more = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: unit(F.concat(key, F.lit("/"), k.cast("string")), seed))
-    numbers = F.when(F.col("_parts") > 1, F.concat(F.array(unit(key, seed)), more)).otherwise(F.array(unit(key, seed)))
-    own = own.withColumn("_n", F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda v: v <= u))))
-    many = own.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    many = many.drop("_n", "_cdf", "_parts", "_source").withColumn("mix_key", F.md5(F.concat(key, F.lit("#"), F.col("copy").cast("string"), F.lit(":" + seed))))
-    return many.orderBy("mix_key") if shuffle else many
+    own = docs.join(listed, F.col("source").eqNullSafe(F.col(source)))
+    more = F.transform(F.sequence(F.lit(1), F.col(parts) - 1), lambda k: unit(F.concat(key, F.lit("/"), k.cast("string")), seed))
+    numbers = F.when(F.col(parts) > 1, F.concat(F.array(unit(key, seed)), more)).otherwise(F.array(unit(key, seed)))
+    own = own.withColumn(times, F.aggregate(numbers, F.lit(0), lambda n, u: n + F.size(F.filter(cdf, lambda v: v <= u))))
+    many = own.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(times) - 1)))
+    many = many.drop(times, cdf, parts, source).withColumn(mix_key, F.md5(F.concat(key, F.lit("#"), F.col(copy).cast("string"), F.lit(":" + seed))))
+    if not shuffle:
+        return many
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = many.withColumn(place, F.floor(F.conv(F.substring(mix_key, 1, 8), 16, 10).cast("double") * n / F.lit(float(1 << 32))).cast("int"))
+    return dealt.repartitionById(n, F.col(place)).drop(place).sortWithinPartitions(mix_key)
 
 
 ORACLE = f"""

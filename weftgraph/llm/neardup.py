@@ -7,9 +7,10 @@
    made: as many rows as members, not pairs. Pairs whose sketches differ in too many bits go; the
    rest are verified on their full shingle sets, and links are joined to components.
 3. Buckets whose other members still stand in several components are finished exactly: they are
-   cut into blocks, each pair of blocks is one group of rows, and every pair across components
-   is compared there by sketch and then on full sets, but only links that join two components
-   leave the task. So no candidate pair is lost and none but real links are rows.
+   cut into blocks, and each pair of blocks is one group of ids, sketches and band keys. There every pair
+   across components whose sketches are close meets once, in the first bucket that it shares; only ids of such pairs
+   go on. Their texts are fetched, the pairs are compared on full sets block by block, and only links that join
+   two components leave the task. So no candidate pair is lost and none but real links are rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ from weftgraph.llm.textops import shingle_sets, text_slices
 WIDTH = 5
 #: members of a bucket that are compared with each other in one task at a time
 BLOCK = 512
+#: shingles that are counted in common at a time, as one matrix of members by shingles
+STEP = 2048
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -89,30 +91,65 @@ def _set_of(text: str, width: int) -> np.ndarray:
     return shingle_sets(raw, np.array([0, len(raw)]), width)[0]
 
 
-def joining_links(frame: pd.DataFrame, percent: int, limit: int, width: int = WIDTH) -> list[tuple[int, int]]:
-    """Links between the two blocks of a frame (or inside, if it is one) that join components.
-
-    The frame has ``doc_id, label, sketch, text, side``. Pairs of one component are skipped, as
-    are those whose sketches differ in over ``limit`` bits; the others meet on their full sets.
+class _Block:
+    """The two sides of a group of rows ``key, i, j, side, doc_id, label, sketch, keys``, each in order of ids."""
+
+    def __init__(self, group: pa.Table) -> None:
+        group = group.combine_chunks().sort_by([("side", "ascending"), ("doc_id", "ascending")])
+        self.rows = group
+        self.side, self.ids, self.labels = (group.column(c).to_numpy() for c in ("side", "doc_id", "label"))
+        self.sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(self.ids), -1)
+        self.keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+        self.key = group.column("key")[0].as_py() if len(group) else 0
+        self.a = np.flatnonzero(self.side == 0)
+        self.b = np.flatnonzero(self.side == 1) if (self.side == 1).any() else self.a
+
+    def open_pairs(self, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+        """``(member, partners)``: pairs across components with close sketches whose first bucket in common is this one."""
+        keys, sketch, labels = self.keys[self.b], self.sketch[self.b], self.labels[self.b]
+        for p in self.a.tolist():
+            near = (np.bitwise_count(sketch ^ self.sketch[p]).sum(1) <= limit) & (labels != self.labels[p])
+            at = np.flatnonzero(near)
+            if len(at):
+                shared = keys[at] == self.keys[p]
+                at = at[self.keys[p][shared.argmax(1)] == self.key]
+            if len(at):
+                yield p, self.b[at]
+
+
+def open_members(group: pa.Table, limit: int) -> pa.Table:
+    """The members of a group that have a pair to compare."""
+    block = _Block(group)
+    wanted = np.zeros(len(block.ids), bool)
+    for p, partners in block.open_pairs(limit):
+        wanted[p] = True
+        wanted[partners] = True
+    return block.rows.select(["key", "i", "j", "side", "doc_id", "label"]).filter(pa.array(wanted))
+
+
+def joining_links(group: pa.Table, percent: int, limit: int, width: int = WIDTH) -> pa.Table:
+    """Links between the two blocks of a group (or inside, if it is one) that join components; it has ``text`` too.
+
+    Pairs of one component are skipped, as are those whose sketches differ in over ``limit`` bits and those
+    that meet in an earlier bucket; the others meet on their full sets.
     """
-    frame = frame.sort_values(["side", "doc_id"], kind="stable").drop_duplicates(["side", "doc_id"])
-    sets = [_set_of(t, width) for t in frame["text"]]
+    block = _Block(group)
+    sets = [_set_of(t.as_py() or "", width) for t in block.rows.column("text")]
     size = np.array([len(s) for s in sets])
-    sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
-    side, ids = frame["side"].to_numpy(), frame["doc_id"].to_numpy()
-    a = np.flatnonzero(side == 0)
-    b = np.flatnonzero(side == 1) if (side == 1).any() else a
+    a, b = block.a, block.b
     # common shingles: those that one text alone has can't be shared
     owner = np.repeat(np.arange(len(sets)), size)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     number = np.cumsum(counts > 1) - 1
     shared = counts[inverse] > 1
     owner, column = owner[shared], number[inverse[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
     common = np.zeros((len(a), len(b)), np.float32)
-    for first in range(0, int(number[-1]) + 1 if len(number) else 0, 8192):
-        here = (column >= first) & (column < first + 8192)
-        has = np.zeros((len(sets), 8192), np.float32)
-        has[owner[here], column[here] - first] = 1
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, STEP):
+        s, e = np.searchsorted(column, [first, first + STEP])
+        has = np.zeros((len(sets), STEP), np.float32)
+        has[owner[s:e], column[s:e] - first] = 1
         common += has[a] @ has[b].T
     parent: dict[int, int] = {}
 
@@ -123,16 +160,17 @@ def joining_links(frame: pd.DataFrame, percent: int, limit: int, width: int = WI
         return x
 
     out = []
-    labels = frame["label"].to_numpy()
-    for i, p in enumerate(a.tolist()):
-        near = np.bitwise_count(sketch[b] ^ sketch[p]).sum(1) <= limit
-        hit = near & _alike(common[i].astype(np.int64), size[p], size[b], percent) & (labels[b] != labels[p])
-        for q in b[hit].tolist():
+    ids, labels = block.ids, block.labels
+    row, col = {p: k for k, p in enumerate(a.tolist())}, np.zeros(len(ids), np.int64)
+    col[b] = np.arange(len(b))
+    for p, partners in block.open_pairs(limit):
+        hit = _alike(common[row[p]][col[partners]].astype(np.int64), size[p], size[partners], percent)
+        for q in partners[hit].tolist():
             x, y = find(int(labels[p])), find(int(labels[q]))
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((int(ids[p]), int(ids[q])))
-    return out
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def near_links(reps: DataFrame, docs: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -168,14 +206,15 @@ def near_links(reps: DataFrame, docs: DataFrame, percent: int, block: int = BLOC
     placed = open_rows.select("key", "doc_id", "label", parts.alias("parts"), mine.alias("mine"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("key", "doc_id", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    need = broadcast_if_small(cut(open_rows.select("doc_id").distinct()), 500_000)
+    rows = placed.join(reps.select("doc_id", "sketch", "keys"), "doc_id")
+    group = ["key", "i", "j"]
+    met = cut(rows.groupBy(*group).applyInArrow(lambda t: open_members(t, limit), "key long, i int, j int, side int, doc_id long, label long").distinct())
+    if met.isEmpty():
+        return links
+    need = broadcast_if_small(cut(met.select("doc_id").distinct()), 500_000)
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, "doc_id", "left_semi")
-    filled = placed.join(bodies.join(bits, "doc_id"), "doc_id")
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(joining_links(frame, percent, limit), columns=["a", "b"], dtype="int64")
-
-    more = filled.groupBy("key", "i", "j").applyInPandas(group, "a long, b long")
+    filled = met.join(bodies.join(reps.select("doc_id", "sketch", "keys"), "doc_id"), "doc_id")
+    more = filled.groupBy(*group).applyInArrow(lambda t: joining_links(t, percent, limit), "a long, b long")
     return cut(links.union(more.distinct()))
 
 
@@ -198,17 +237,19 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     chance that banding misses a link of exactly this similarity is below 1e-9. The smallest id of
     a component is kept. Null, empty and wordless texts have no shingles and are linked with
     nothing. Rows with one id are one node: repeated rows share a component. A null id stands alone
-    under a null component and is kept. An empty table gives no rows.
+    under a null component and is kept. An empty table gives no rows. Columns other than ``doc_id`` and ``text``
+    are ignored, whatever their names. Of a very long text the words are held as numbers, some 25 bytes each.
     """
     rows = cut(signatures(docs))
     classes = cut(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = rows.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").select("doc_id", "keys", "sketch")
     reps = cut(reps.groupBy("doc_id", "keys").agg(F.first("sketch").alias("sketch")))
-    links = near_links(reps, docs, percent)
-    # an id with two texts is in two classes: the id joins them
-    twice = rows.where("digest is not null").select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    several = rows.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not several.isEmpty():
+    several = cut(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    repeats = not several.isEmpty()
+    links = near_links(reps, docs.select("doc_id", "text").distinct() if repeats else docs, percent)
+    if repeats:
+        # an id with two texts is in two classes: the id joins them
+        twice = rows.where("digest is not null").select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
         links = links.union(twice.join(several.withColumnRenamed("doc_id", "b"), "b", "left_semi").select("a", "b"))
     roots = connected_components(links)
     named = cut(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root")))

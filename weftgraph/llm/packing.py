@@ -8,23 +8,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.common import cut
+from weftgraph.llm.common import cut, filed
+from weftgraph.llm.textops import text_runs
 
 MAX_TOKENS, END_ID, SALTS = 4096, 1, 64
-#: words whose ids a Python worker remembers (some 200 bytes each); the rest go to the tokenizer each time
-CACHE_WORDS = 600_000
+#: words whose ids a Python worker remembers, of at most so many letters, so that it holds some 250 bytes for each;
+#: all others go to the tokenizer whenever they come
+CACHE_WORDS, CACHE_LETTERS = 200_000, 24
+#: words that are joined to one text for the tokenizer
+JOINED = 400
+#: texts are worked on in runs of about so many bytes
+RUN_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
 class WordIds:
-    """Token ids of a text, as little-endian unsigned 32-bit bytes.
+    """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    parts between spaces and line feeds, one after the other; parts repeat, so they are kept.
+    parts between spaces and line feeds, one after the other. A run of texts is cut into parts by
+    Arrow, different parts are coded once, and the ids are taken back in the texts' order.
     """
 
     def __init__(self, path: str, most: int = CACHE_WORDS) -> None:
@@ -35,19 +43,36 @@ class WordIds:
         self.known: dict[str, bytes] = {"": b""}
         self.most = most
 
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = {p for p in parts if p not in known}
-        if new:
-            words = list(new)
-            coded = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            found = dict(zip(words, coded, strict=True))
-            if len(known) < self.most:
-                known.update(found)
-            else:
-                return b"".join([known[p] if p in known else found[p] for p in parts])
-        return b"".join(map(known.__getitem__, parts))
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; many are coded in one call and told apart by their tokens' places."""
+        out: list[bytes] = []
+        for s in range(0, len(words), JOINED):
+            part = words[s : s + JOINED]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            at = np.array([first for first, _ in coded.offsets], np.int64)
+            begin = np.cumsum([0, *(len(w) + 1 for w in part)])
+            cuts = (4 * np.searchsorted(at, begin)).tolist()
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        every = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        words, known = pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "), self.known
+        values = list(map(known.get, words))
+        new = [w for w, v in zip(words, values, strict=True) if v is None]
+        found = dict(zip(new, self.words(new), strict=True))
+        ids = pa.array([found[w] if v is None else v for w, v in zip(words, values, strict=True)], pa.large_binary()).take(coded.indices)
+        room = self.most - len(known)
+        if room > 0:
+            known.update((w, found[w]) for w in new[:room] if len(w) <= CACHE_LETTERS)
+        places = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        data = ids.buffers()[2]
+        whole = memoryview(data) if data is not None else memoryview(b"")
+        bounds = places[np.cumsum([0, *pc.list_value_length(split).to_pylist()])].tolist()
+        return [bytes(whole[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _CODERS: dict[str, WordIds] = {}
@@ -60,22 +85,24 @@ def coder(path: str, most: int) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """``doc_id, piece, start, length, ids``, little-endian unsigned 32-bit; only texts over ``max_tokens`` are cut."""
+    """``doc_id, piece, start, length, ids``, little-endian unsigned 32-bit; only texts over ``max_tokens`` are cut.
+
+    A null or empty text is one piece with the end id. A very long text is held once, with its parts and ids.
+    """
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, wide = coder(tokenizer_path, cache_words), 4 * max_tokens
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = code(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), wide)):
-                    part = ids[at : at + wide]
-                    out.append((doc_id, k, at // 4, len(part) // 4, part))
-            if out:
-                cols = zip(*out, strict=True)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+            for i, j in text_runs(batch.column(1), RUN_BYTES):
+                out: list[tuple] = []
+                for doc_id, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), code(batch.column(1).slice(i, j - i)), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), wide)):
+                        part = ids[at : at + wide]
+                        out.append((doc_id, k, at // 4, len(part) // 4, part))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
@@ -178,9 +205,11 @@ def packed_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX
     """One row per piece of every document: its ids, their crc32, and where it stands in which sequence.
 
     A null text is empty and holds only the end id. Repeated documents are packed as often as
-    they are there. Pieces are computed once and kept in the shared folder, as they are read twice.
+    they are there; columns of ``docs`` other than ``doc_id`` and ``text`` are ignored. Pieces with their
+    ids are written to the shared folder once; who selects no ids doesn't shuffle them either.
     """
-    return pack(cut(token_pieces(docs, tokenizer_path, max_tokens, cache_words=cache_words)), max_tokens).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = filed(token_pieces(docs, tokenizer_path, max_tokens, cache_words=cache_words), "pieces")
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")), max_tokens)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -14,16 +14,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from weftgraph.llm.common import crc_mod
+from weftgraph.llm.common import crc_mod, cut
 from weftgraph.llm.textops import text_slices, word_hashes
 
 _U = np.uint64
 PASSAGE_WORDS, HASHED, EXTRA = 96, 64, 12
 FEATURES = HASHED + EXTRA
-#: labelled documents that the model is fitted on, at most, and the passages of one that training sees
-SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 4000, 48
+#: labelled documents that the model is fitted on, and bytes of their texts, at most; all passages of these are used
+SAMPLE_DOCUMENTS, SAMPLE_BYTES = 4000, 64 << 20
+#: passages whose letters are counted at a time
+RUN = 256
 
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
 _CLASSES = np.zeros((256, 6), np.float32)
 _CLASSES[65:91, 0] = 1  # upper
 _CLASSES[97:123, 1] = 1  # lower
@@ -34,10 +39,13 @@ _CLASSES[[35, 36, 37, 38, 42, 43, 47, 60, 61, 62, 64, 91, 92, 93, 94, 95, 96, 12
 
 
 def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of the passages of every text and each text's bounds; a text has one at least."""
+    """Feature rows of the passages of every text and each text's bounds; a text has one at least.
+
+    Letters are counted ``RUN`` passages at a time, so a very long text takes some 30 bytes of memory a word.
+    """
     rows: list[np.ndarray] = []
     bounds = [0]
-    inside = ~np.isin(raw, [9, 10, 11, 12, 13, 32])
+    inside = _SOLID[raw]
     for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         text, solid = raw[s:e], inside[s:e]
         words, _ = word_hashes(text, np.array([0, e - s]))
@@ -45,7 +53,7 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             rows.append(np.zeros((1, FEATURES), np.float32))
             bounds.append(bounds[-1] + 1)
             continue
-        starts = np.flatnonzero(solid & ~np.r_[False, solid[:-1]])
+        starts = np.flatnonzero(np.diff(solid, prepend=False) & solid)
         cuts = np.arange(0, len(words), PASSAGE_WORDS)
         if len(cuts) > 1 and len(words) - cuts[-1] < PASSAGE_WORDS // 4:
             cuts = cuts[:-1]  # a short rest belongs to the passage before it
@@ -56,7 +64,8 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         slot = (words >> _U(40)).astype(np.int64) % HASHED
         out[:, :HASHED] = np.sqrt(np.bincount(owner * HASHED + slot, minlength=n * HASHED).reshape(n, HASHED) / sizes[:, None])
         at = starts[cuts]
-        sums = np.add.reduceat(_CLASSES[text], at, axis=0)
+        ends = np.r_[at[1:], len(text)]
+        sums = np.concatenate([np.add.reduceat(_CLASSES[text[at[k] : ends[min(n, k + RUN) - 1]]], at[k : k + RUN] - at[k], axis=0) for k in range(0, n, RUN)])
         length = np.diff(np.r_[at, len(text)])[:, None]
         out[:, HASHED : HASHED + 6] = np.sqrt(sums / length)
         order = np.lexsort((words, owner))
@@ -140,12 +149,18 @@ def fit_bags(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, hidden: int = 24,
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) -> BagModel | None:
     """Fit on labelled rows with crc32(doc_id) mod 5 other than 0; None without labels.
 
-    At most ``most`` rows, those with the smallest hash of the id, and of a longer one
-    ``SAMPLE_PASSAGES`` evenly spaced passages, are encoded by the executors and sent to the driver.
+    At most ``most`` rows, those with the smallest hash of the id, of at most ``SAMPLE_BYTES`` of text in all, are
+    encoded by the executors, all their passages, and sent to the driver. Of repeated labels of an id the
+    largest counts.
     """
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("quality"))
     open_labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     drawn = open_labels.groupBy("doc_id").agg(F.max("quality").alias("y")).withColumn("_h", order).orderBy("_h", "doc_id").limit(most)
+    drawn = cut(drawn)
+    sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("b")).join(F.broadcast(drawn.select("doc_id", "_h")), "doc_id").groupBy("doc_id", "_h").agg(F.sum("b").alias("b"))
+    # at most ``most`` rows: their running sum in one task is bounded
+    upto = sizes.withColumn("upto", F.sum("b").over(Window.orderBy("_h", "doc_id"))).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id")
+    drawn = cut(drawn.join(F.broadcast(upto), "doc_id", "left_semi"))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("y").cast("double").alias("y"), "_h")
     found = rows.mapInArrow(_encode, "y double, h long, n int, x binary").collect()
     found = sorted(found, key=lambda r: (r["h"], bytes(r["x"])))
@@ -159,12 +174,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, raw, off in text_slices(batch.column(0)):
             x, bounds = passages(raw, off)
-            bags = []
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                mine = x[s:e]
-                if len(mine) > SAMPLE_PASSAGES:
-                    mine = mine[np.linspace(0, len(mine) - 1, SAMPLE_PASSAGES).astype(int)]
-                bags.append(mine.astype(np.float16))
+            bags = [x[s:e].astype(np.float16) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
             part = batch.slice(i, len(bags))
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([len(b) for b in bags], pa.int32()), pa.array([b.tobytes() for b in bags], pa.binary())], ["y", "h", "n", "x"])
 
@@ -174,7 +184,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
     ``told_by`` is the number of the passage with the largest attention weight. All passages of a
     text count. Null and empty texts are one empty passage and are scored like any other; without
-    labels every score is 0.5. Repeated rows are scored alike.
+    labels every score is 0.5. Repeated rows are scored alike. Other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
 

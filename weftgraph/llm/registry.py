@@ -46,8 +46,7 @@ def op7_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return exact_dedup.exact_dedup(docs, locator=exact_dedup.file_locator(docs)).drop("keep_at")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("at", "keep_at")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
