@@ -38,9 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fewer remembered words than alone: the workers still hold what the stages before needed."""
+    """Pieces with their token ids and their place in sequences of 4096 tokens."""
     attach(spark)
-    return packing.packed_documents(docs, tokenizer_path(), cache_words=120_000)
+    return packing.packed_documents(docs, tokenizer_path())
 
 
 STAGES = [
