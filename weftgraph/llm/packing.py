@@ -27,6 +27,36 @@ RUN_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:127] = ~_LETTER[33:127]
+_MARK[ord("|")] = False  # it stands within the names of special tokens
+
+
+def spaced(texts: pa.Array) -> pa.Array:
+    """The texts with a space between every ASCII letter and a mark or digit behind it, and for every line feed.
+
+    The tokenizer ends a word between the two anyhow, so ids stay as they are, but words come without their marks.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    n = len(texts)
+    if not n or texts.buffers()[2] is None:
+        return texts
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    ends = np.flatnonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]]) + 1
+    out = np.insert(raw, ends, 32)
+    out[out == 10] = 32
+    moved = offsets + np.searchsorted(ends, offsets, "left")
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(moved.astype(np.int64)), pa.py_buffer(out))
+
+
+def _key(word: str) -> str:
+    """ASCII words have the ids of their lower-case form."""
+    return word.lower() if word.isascii() and "<|" not in word else word
+
+
 class WordIds:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
@@ -57,12 +87,12 @@ class WordIds:
         return out
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
-        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        split = pc.split_pattern(spaced(texts), " ")
         coded = split.flatten().dictionary_encode()
         every = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-        words, known = pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "), self.known
+        words, known = list(map(_key, pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "))), self.known
         values = list(map(known.get, words))
-        new = [w for w, v in zip(words, values, strict=True) if v is None]
+        new = list({w for w, v in zip(words, values, strict=True) if v is None})
         found = dict(zip(new, self.words(new), strict=True))
         ids = pa.array([found[w] if v is None else v for w, v in zip(words, values, strict=True)], pa.large_binary()).take(coded.indices)
         room = self.most - len(known)
