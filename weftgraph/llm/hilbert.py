@@ -10,7 +10,7 @@ from weftgraph.llm.common import cut, spare
 
 BITS = 4  # per dimension; 3 dimensions of 16 steps make 4096 cells
 #: rows of a cell that are ranked together, and the most groups that all cells are salted into
-GROUP_ROWS, MOST_GROUPS = 4096, 1 << 16
+GROUP_ROWS, MOST_GROUPS = 512, 1 << 16
 
 
 def text_cuts(docs: DataFrame, columns: list[str], steps: int = 1 << BITS) -> dict[str, list[str]]:
