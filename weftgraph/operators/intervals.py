@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: seconds of a bin of the time axis; a span is copied into each bin that it touches
+BIN = 30 * 86_400
 
-def overlapping(spans: DataFrame, ranges: DataFrame, on: str) -> DataFrame:
-    """``id, a, b, range_id`` of spans ``id, a, b`` that a range ``range_id, ra, rb`` of the same key touches."""
-    return spans.join(ranges, on).where((F.col("ra") <= F.col("b")) & (F.col("rb") >= F.col("a")))
 
+def _bin(at: Column, width: int) -> Column:
+    return F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(width * 1_000_000)).cast("long")
 
-def innermost(points: DataFrame, spans: DataFrame, on: str) -> DataFrame:
-    """For each ``point`` of a key the shortest span that holds it (ties: smallest id); null if none does."""
-    hit = points.join(spans, on).where((F.col("a") <= F.col("point")) & (F.col("point") <= F.col("b")))
+
+def _binned(rows: DataFrame, a: str, b: str, width: int) -> DataFrame:
+    return rows.withColumn("_bin", F.explode(F.sequence(_bin(F.least(a, b), width), _bin(F.greatest(a, b), width))))
+
+
+def overlapping(spans: DataFrame, ranges: DataFrame, on: str, width: int = BIN) -> DataFrame:
+    """``id, a, b, range_id`` of spans ``id, a, b`` that a range ``range_id, ra, rb`` of the same key touches.
+
+    Both meet in the bins that they share, and a pair counts in the bin where the later of them begins, so each is
+    found once. A key with very many spans is dealt by bins. A span that ends before it begins is touched by what holds both its ends.
+    """
+    both = _binned(spans, "a", "b", width).join(_binned(ranges, "ra", "rb", width), [on, "_bin"])
+    here = _bin(F.greatest(F.least("a", "b"), F.least("ra", "rb")), width) == F.col("_bin")
+    return both.where((F.col("ra") <= F.col("b")) & (F.col("rb") >= F.col("a")) & here).drop("_bin")
+
+
+def innermost(points: DataFrame, spans: DataFrame, on: str, width: int = BIN) -> DataFrame:
+    """For each ``point`` of a key the shortest span that holds it (ties: smallest id); null if none does.
+
+    Points and spans of a key meet within a bin of the axis only.
+    """
+    hit = points.withColumn("_bin", _bin(F.col("point"), width)).join(_binned(spans, "a", "b", width), [on, "_bin"])
+    hit = hit.where((F.col("a") <= F.col("point")) & (F.col("point") <= F.col("b")))
     length = F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))
     best = hit.groupBy(on, "point").agg(F.min(F.struct(length.alias("len"), F.col("id").alias("owner"))).alias("m")).select(on, "point", "m.owner")
     return points.join(best, [on, "point"], "left")

@@ -8,7 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from weftgraph.operators.ranking import smallest_k
+from weftgraph.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -17,22 +19,27 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, term, tf, len``; the length rides along, so that ranking needs no second join."""
-    words = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("w"))
-    return words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _starts(term: str) -> Callable[[Column], Column]:
+    return lambda word: F.startswith(word, F.lit(term))
+
 
+def bm25(docs: DataFrame, key: str, text: str, prefixes: list[str]) -> DataFrame:
+    """``id, score`` of documents in which every prefix begins a word.
 
-def bm25(index: DataFrame, totals: DataFrame, prefixes: list[str]) -> DataFrame:
-    """``id, score`` of documents in which every prefix begins a word; ``totals`` has one row ``n, avg_len``."""
-    terms = F.array(*[F.lit(p) for p in prefixes])
-    hits = index.withColumn("q", F.explode(F.filter(terms, lambda p: F.startswith(F.col("term"), p))))
-    per = hits.groupBy("id", "len", "q").agg(F.sum("tf").alias("tf"))
-    df = per.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
-    rows = per.join(F.broadcast(df), "q").join(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return rows.groupBy("id").agg(F.round(F.sum(score), 6).alias("score"), F.count(F.lit(1)).alias("_q")).where(F.col("_q") == len(prefixes)).drop("_q")
+    One pass over the texts leaves a length and a count for each prefix; the number of documents, their mean length
+    and how many hold each prefix are added up from these, and nothing is shuffled by word.
+    """
+    words = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("w"))
+    tf = F.array(*[F.size(F.filter("w", _starts(p))) for p in prefixes])
+    rows = cut(words.select("id", F.size("w").alias("len"), tf.alias("tf")))
+    df = F.array(*[F.count_if(F.col("tf")[k] > 0) for k in range(len(prefixes))])
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), df.alias("df"))  # one row
+    score = F.lit(0.0)
+    for k in range(len(prefixes)):
+        n, own = F.col("df")[k], F.col("tf")[k]
+        score += F.log(1 + (F.col("n") - n + 0.5) / (n + 0.5)) * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    hits = rows.where(F.forall("tf", lambda c: c > 0))
+    return hits.join(F.broadcast(totals)).select("id", F.round(score, 6).alias("score"))
 
 
 def tfidf_names(docs: DataFrame, group: str, text: str, k: int = 2) -> DataFrame:
@@ -41,9 +48,8 @@ def tfidf_names(docs: DataFrame, group: str, text: str, k: int = 2) -> DataFrame
     total = counts.groupBy("group").agg(F.sum("c").alias("total"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count_distinct(group).alias("n"))
-    scored = counts.join(df, "term").join(F.broadcast(total), "group").join(F.broadcast(n)).withColumn("score", F.round(F.col("c") / F.col("total") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 9))
-    first = Window.partitionBy("group").orderBy(F.desc("score"), "term")
-    return scored.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("group", "term", "score")
+    scored = counts.join(df, "term").join(total, "group").join(F.broadcast(n)).withColumn("score", F.round(F.col("c") / F.col("total") * F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)), 9))
+    return smallest_k(scored.select("group", "term", "score"), ["group"], [F.desc("score"), "term"], k)
 
 
 def identifier_words(name: Column) -> Column:
@@ -52,14 +58,10 @@ def identifier_words(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(broken, r"[\s_.\-]+", " ")))
 
 
-def _begins(term: str) -> Callable[[Column], Column]:
-    return lambda word: F.startswith(word, F.lit(term))
-
-
 def prefix_match(rows: DataFrame, key: str, text: Column, query: str) -> DataFrame:
     """``id`` of rows in which every term of the query begins a word; one pass, no join."""
     words, terms = tokens(text), [t for t in re.split(r"[^\w]+", query.lower()) if t]
-    begins = [F.exists(words, _begins(t)) for t in terms]
+    begins = [F.exists(words, _starts(t)) for t in terms]
     return rows.where(reduce(Column.__and__, begins, F.lit(bool(terms)))).select(F.col(key).alias("id"))
 
 

@@ -45,15 +45,15 @@ def flows_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighbours_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.neighbours(calls(spark, sf_dir), PART, True)
+    return traversal.neighbours(calls(spark, sf_dir, src=PART), PART, True)
 
 
 def neighbours_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.neighbours(calls(spark, sf_dir), PART, False)
+    return traversal.neighbours(calls(spark, sf_dir, dst=PART), PART, False)
 
 
 def context_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.context(calls(spark, sf_dir), contains(spark, sf_dir), ROOT)
+    return traversal.context(calls(spark, sf_dir, src=ROOT).union(calls(spark, sf_dir, dst=ROOT)), contains(spark, sf_dir), ROOT)
 
 
 def _owners(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +141,8 @@ def majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = calls(spark, sf_dir)
-    return edges.where(F.col("dst") == ROOT).select(F.col("src").alias("id")).union(edges.sparkSession.createDataFrame([(ROOT,)], "id string")).distinct()
+    edges = calls(spark, sf_dir, dst=ROOT)
+    return edges.select(F.col("src").alias("id")).union(edges.sparkSession.createDataFrame([(ROOT,)], "id string")).distinct()
 
 
 def isolate_internal(spark: SparkSession, sf_dir: str) -> DataFrame:

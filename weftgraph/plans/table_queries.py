@@ -16,9 +16,7 @@ TERMS = ["tion", "and"]
 
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    words = docs.select(F.size(search.tokens(F.col("text"))).alias("len"))
-    totals = words.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    return search.bm25(search.postings(docs, "doc_id", "text"), totals, TERMS)
+    return search.bm25(docs, "doc_id", "text", TERMS)
 
 
 def tfidf_names(spark: SparkSession, sf_dir: str) -> DataFrame:

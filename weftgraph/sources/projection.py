@@ -16,17 +16,36 @@ def key(kind: str, column: str) -> Column:
 
 
 def _calls(lines: DataFrame, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+    """One edge a pair; pairs are counted as numbers and named last."""
     tier = F.when(F.col("l_returnflag") == "N", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
-    return lines.groupBy(key(*a).alias("src"), key(*b).alias("dst")).agg(
-        F.count(F.lit(1)).cast("double").alias("weight"), F.min("l_linenumber").cast("long").alias("line"), F.max(tier).cast("int").alias("tier")
-    )
+    pairs = lines.groupBy(a[1], b[1]).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.min("l_linenumber").cast("long").alias("line"), F.max(tier).cast("int").alias("tier"))
+    return pairs.select(key(*a).alias("src"), key(*b).alias("dst"), "weight", "line", "tier")
 
 
-def calls(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """``src, dst, weight, line, tier``: order to part and part to supplier, one edge a pair."""
+def _touching(lines: DataFrame, end: tuple[str, str], node: str | None) -> DataFrame | None:
+    """The lines of one node, told to the scan as a number; None if it is of another kind."""
+    if node is None:
+        return lines
+    kind, _, number = node.partition(":")
+    return lines.where(F.col(end[1]) == int(number)) if kind == end[0] and number.isdigit() else None
+
+
+def calls(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, src: str | None = None, dst: str | None = None) -> DataFrame:
+    """``src, dst, weight, line, tier``: order to part and part to supplier, one edge a pair.
+
+    With ``src`` or ``dst`` only the edges of that node, without a look at other lines.
+    """
     lines = read_table(spark, sf_dir, "lineitem") if lines is None else lines
     order, part, supplier = ("order", "l_orderkey"), ("part", "l_partkey"), ("supplier", "l_suppkey")
-    return _calls(lines, order, part).unionByName(_calls(lines, part, supplier))
+    found = []
+    for a, b in ((order, part), (part, supplier)):
+        own = _touching(lines, a, src)
+        own = own if own is None else _touching(own, b, dst)
+        if own is not None:
+            found.append(_calls(own, a, b))
+    if not found:
+        return _calls(lines.where("false"), order, part)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
