@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.ranking import smallest_k
 from weftgraph.session import cut
 
 
@@ -37,6 +38,16 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(best, ["ref", "rung"])
 
 
+def resolve_one(refs: DataFrame, nodes: DataFrame, most_candidates: int = 5) -> DataFrame:
+    """``ref, status, id, candidates``: the one node that a ref means, or the first few if there are several, or none."""
+    found = cut(resolve(refs, nodes).select("ref", "id").distinct())
+    counts = found.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    few = smallest_k(found, ["ref"], ["id"], most_candidates).groupBy("ref").agg(F.array_join(F.sort_array(F.collect_list("id")), " ").alias("few"))
+    both = refs.select("ref").distinct().join(counts, "ref", "left").join(few, "ref", "left")
+    status = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "one").otherwise("several")
+    return both.select("ref", status.alias("status"), F.when(F.col("n") == 1, F.col("first")).otherwise(F.lit("-")).alias("id"), F.when(F.col("n") > 1, F.col("few")).otherwise(F.lit("")).alias("candidates"))
+
+
 def link_names(sites: DataFrame, defs: DataFrame, imports: DataFrame, common: list[str], most_guesses: int = 3) -> DataFrame:
     """``site, id, weight, tier`` of calls by bare name.
 

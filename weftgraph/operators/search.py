@@ -31,17 +31,38 @@ def bm25(docs: DataFrame, key: str, text: str, prefixes: list[str]) -> DataFrame
     """
     words = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("w"))
     tf = F.array(*[F.size(F.filter("w", _starts(p))) for p in prefixes])
-    rows = cut(words.select("id", F.size("w").alias("len"), tf.alias("tf")))
-    df = F.array(*[F.count_if(F.col("tf")[k] > 0) for k in range(len(prefixes))])
+    return _ranked(words.select("id", F.size("w").alias("len"), tf.alias("tf")), len(prefixes))
+
+
+def _ranked(counts: DataFrame, terms: int) -> DataFrame:
+    """``id, score`` of ``id, len, tf``, an array with a count for each term."""
+    rows = cut(counts)
+    df = F.array(*[F.count_if(F.col("tf")[k] > 0) for k in range(terms)])
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), df.alias("df"))  # one row
     score = F.lit(0.0)
-    for k in range(len(prefixes)):
+    for k in range(terms):
         n, own = F.col("df")[k], F.col("tf")[k]
         score += F.log(1 + (F.col("n") - n + 0.5) / (n + 0.5)) * own * (K1 + 1) / (own + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     hits = rows.where(F.forall("tf", lambda c: c > 0))
     return hits.join(F.broadcast(totals)).select("id", F.round(score, 6).alias("score"))
 
 
+def bm25_fields(docs: DataFrame, key: str, weights: dict[str, float], prefixes: list[str]) -> DataFrame:
+    """Like :func:`bm25` over several fields: a word in one counts as often as the field's weight says."""
+    tf = F.array(*[sum((F.lit(float(w)) * F.size(F.filter(tokens(F.col(c)), _starts(q))) for c, w in weights.items()), F.lit(0.0)) for q in prefixes])
+    length = sum((F.size(tokens(F.col(c))) for c in weights), F.lit(0))
+    return _ranked(docs.select(F.col(key).alias("id"), length.alias("len"), tf.alias("tf")), len(prefixes))
+
+
+#: fixed values: words of a goal that aren't searched for
+STOP_WORDS = ("the", "and", "for", "with", "into", "from", "that", "this", "add", "fix", "make", "use", "all")
+
+
+def goal_words(text: Column) -> Column:
+    """Different words of three letters or more of a goal, in their order, without fillers."""
+    return F.array_distinct(F.filter(tokens(text), lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS)))
+
+
 def tfidf_names(docs: DataFrame, group: str, text: str, k: int = 2) -> DataFrame:
     """The k words that tell each group apart: ``group, term, score``; ties alphabetical."""
     counts = docs.select(F.col(group).alias("group"), F.explode(tokens(F.col(text))).alias("term")).groupBy("group", "term").agg(F.count(F.lit(1)).alias("c"))

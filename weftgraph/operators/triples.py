@@ -132,3 +132,16 @@ def _shared(left: DataFrame, right: DataFrame) -> list[str]:
     if not shared:
         raise ValueError("no variable is shared")
     return shared
+
+
+def without(triples: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Triples of which neither subject nor object is among the hidden ``id``."""
+    return triples.join(hidden.withColumnRenamed("id", "s"), "s", "left_anti").join(hidden.withColumnRenamed("id", "o"), "o", "left_anti").select("s", "p", "o")
+
+
+def json_rows(solutions: DataFrame, limit: int) -> DataFrame:
+    """``row, truncated``: at most ``limit`` solutions as JSON, the first by their text, and whether there were more."""
+    rows = solutions.select(F.to_json(F.struct(*solutions.columns)).alias("row")).orderBy("row").limit(limit + 1)
+    rows = cut(rows)
+    more = rows.count() > limit
+    return rows.orderBy("row").limit(limit).withColumn("truncated", F.lit(more))
