@@ -30,7 +30,10 @@ ENV_READS = {
 _FETCH_JS = r"""(?:fetch|axios\.get|axios\.post)\(["'`](/[^"'`]*)["'`]"""
 FETCHES = {"javascript": [_FETCH_JS], "typescript": [_FETCH_JS], "tsx": [_FETCH_JS], "python": [r"""requests\.(?:get|post|put|delete)\(["'](/[^"']*)["']"""]}
 NPM = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-SKIPPED = (".git", "node_modules", "target", "dist", "build", ".venv", "__pycache__")
+# fixed values: folders that no scan enters
+SKIPPED = (".git", "node_modules", "target", "dist", "build", "vendor", "__pycache__", ".venv", "venv")
+# fixed values: what tells Objective-C from MATLAB
+OBJC_MARKS = ("@interface", "@implementation", "@protocol", "#import", "#include", "@end")
 
 
 def scan_files(spark: SparkSession, root: str, most_bytes: int = 1_000_000, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
@@ -53,7 +56,7 @@ def language(path: Column, table: dict[str, str] = LANGUAGES) -> Column:
 
 def settle(lang: Column, text: Column) -> Column:
     """Languages that share an ending, told apart by the text: ``objc`` and ``matlab``, ``systemverilog`` and ``v``."""
-    objc = text.rlike("@interface|@implementation|@protocol|#import|#include|@end")
+    objc = text.rlike("|".join(OBJC_MARKS))
     verilog = text.contains("endmodule") | (text.contains("module ") & text.contains(");"))
     either = lambda a, b, first: F.when(lang.isin(a, b), F.when(first, a).otherwise(b))
     return F.coalesce(either("objc", "matlab", objc), either("systemverilog", "v", verilog), lang)
