@@ -125,13 +125,16 @@ class LanguageModel:
     pair_rows: np.ndarray
 
     def predict(self, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language numbers and scores in 0..1 for each row of frequencies."""
+        """Language numbers and scores in 0..1 for each row of frequencies.
+
+        Margins are rounded, so that a row is judged alike whatever rows are multiplied with it.
+        """
         n = len(freq)
-        x = np.hstack([freq * self.scale, np.ones((n, 1), np.float32)])
+        x = np.hstack([freq * self.scale, np.ones((n, 1), np.float32)]).astype(np.float64)
         fam = np.zeros(n, np.int64)
         sure = np.ones(n)
         if len(self.families) > 1:
-            margin = x @ self.family_rows.T
+            margin = np.round(x @ self.family_rows.T.astype(np.float64), 6)
             fam = margin.argmax(1)
             sure = 1 / (1 + np.exp(-2 * np.clip(margin.max(1), -30, 30)))
         votes = np.full((n, len(self.languages)), -1e9)
@@ -139,7 +142,7 @@ class LanguageModel:
             votes[fam == self.families.index(family_of(lang)), k] = 0
         least = np.full((n, len(self.languages)), 30.0)
         if self.pairs:
-            margin = x @ self.pair_rows.T
+            margin = np.round(x @ self.pair_rows.T.astype(np.float64), 6)
             for p, (a, b) in enumerate(self.pairs):
                 m = margin[:, p]
                 votes[:, a] += (m >= 0) + 1e-3 * np.tanh(m)

@@ -19,11 +19,11 @@ from weftgraph.llm.textops import text_runs
 MAX_TOKENS, END_ID, SALTS = 4096, 1, 64
 #: words whose ids a Python worker remembers, of at most so many letters, so that it holds some 250 bytes for each;
 #: all others go to the tokenizer whenever they come
-CACHE_WORDS, CACHE_LETTERS = 200_000, 24
+CACHE_WORDS, CACHE_LETTERS = 120_000, 24
 #: words that are joined to one text for the tokenizer
 JOINED = 400
 #: texts are worked on in runs of about so many bytes
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 

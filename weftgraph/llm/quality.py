@@ -184,7 +184,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
     ``told_by`` is the number of the passage with the largest attention weight. All passages of a
     text count. Null and empty texts are one empty passage and are scored like any other; without
-    labels every score is 0.5. Repeated rows are scored alike. Other columns are ignored, whatever their names.
+    labels every score is 0.5. Repeated rows are scored alike; scores have five decimals. Other columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
 
@@ -197,7 +197,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
                 score, attention = model.attend(x, bounds) if model else (np.full(n, 0.5), np.ones(len(x)))
                 told = [int(attention[s:e].argmax()) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 part = batch.slice(i, n).column(0)
-                yield pa.RecordBatch.from_arrays([part, pa.array(np.asarray(score, float)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(told, pa.int32())], ["doc_id", "score", "passages", "told_by"])
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.round(np.asarray(score, float), 5)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(told, pa.int32())], ["doc_id", "score", "passages", "told_by"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, passages int, told_by int")
     return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages", "told_by")
