@@ -17,7 +17,8 @@ def tokenizer_path() -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    # alone, workers have room for more words than in the pipeline
+    packed = packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_path(), cache_words=500_000)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
