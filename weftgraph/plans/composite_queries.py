@@ -97,7 +97,7 @@ def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples.state(calls(spark, sf_dir), contains(spark, sf_dir)).where("p = 'calls'")
+    return triples.state(calls(spark, sf_dir), contains(spark, sf_dir))
 
 
 def triples_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ s2 AS (SELECT src, dst FROM calls QUALIFY row_number() OVER (PARTITION BY src OR
 f AS (SELECT DISTINCT 'order:' || o_orderkey AS seed, 'order:' || o_orderkey AS id, 'seed' AS why, 1.0::DOUBLE AS score FROM orders UNION ALL SELECT seed, used, 'uses', 0.72 FROM u JOIN (SELECT DISTINCT o_orderkey FROM orders) ON seed = 'order:' || o_orderkey
 UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey, 'container', 0.55 FROM orders UNION ALL SELECT seed, dst, '2nd-order', 0.34 FROM u JOIN s2 ON used = src JOIN (SELECT DISTINCT o_orderkey FROM orders) ON seed = 'order:' || o_orderkey),
 c AS (SELECT seed, id, arg_max(why, score) AS why, max(score) AS score FROM f GROUP BY 1, 2)"""
-_TRIPLES = f"{CALLS_SQL}, t AS (SELECT replace(src, ':', '%3A') AS s, replace(dst, ':', '%3A') AS o FROM calls)"
+_TRIPLES = record_queries.STATED_SQL
 _PAIRS = "SELECT DISTINCT x.src AS a, x.dst AS b FROM {0} x JOIN {0} y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst"
 ORACLES = {
     "context_candidates": f"WITH {_CAND} SELECT seed, id, why, score FROM c",
@@ -144,8 +144,8 @@ SELECT event_id, user_id FROM events WHERE (SELECT bytes < 50000 OR n <= 4000 FR
     "last_numbers": rf"SELECT doc_id, regexp_extract_all(text, '{scan.NUMBER}')[-1]::DOUBLE AS last_number FROM documents",
     "page_links": """SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src|action)="([^"]*)"', 1)) AS link FROM pages) GROUP BY 1, 2""",
     "missing_languages": """SELECT lang, count(*) AS n, lang IN (SELECT lang FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang IS NOT NULL) AS supported FROM documents WHERE lang IS NOT NULL GROUP BY 1""",
-    "triples_turtle": f"WITH {_TRIPLES} SELECT '<' || s || '> <calls> <' || o || '> .' AS line FROM t",
-    "triples_rdf_xml": f"""WITH {_TRIPLES} SELECT '<rdf:Description rdf:about="urn:g/' || s || '"><g:calls rdf:resource="urn:g/' || o || '"/></rdf:Description>' AS line FROM t""",
-    "triples_json_ld": f"""WITH {_TRIPLES} SELECT '{{"@id":"urn:g/' || s || '","urn:g/calls":{{"@id":"urn:g/' || o || '"}}}}' AS line FROM t""",
+    "triples_turtle": f"WITH {_TRIPLES} SELECT '<' || s || '> <' || p || '> <' || o || '> .' AS line FROM t",
+    "triples_rdf_xml": f"""WITH {_TRIPLES} SELECT '<rdf:Description rdf:about="urn:g/' || s || '"><g:' || p || ' rdf:resource="urn:g/' || o || '"/></rdf:Description>' AS line FROM t""",
+    "triples_json_ld": f"""WITH {_TRIPLES} SELECT '{{"@id":"urn:g/' || s || '","urn:g/' || p || '":{{"@id":"urn:g/' || o || '"}}}}' AS line FROM t""",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

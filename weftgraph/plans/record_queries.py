@@ -122,7 +122,7 @@ def triples_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples.n_triples(_triples(spark, sf_dir).where("p <> 'calls'"), "urn:g/")
+    return triples.n_triples(_triples(spark, sf_dir), "urn:g/")
 
 
 def dangling_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +173,12 @@ _S = """s AS (SELECT conv_id AS run, role AS seat, min(turn) AS started, count(*
 x AS (SELECT *, round((CASE WHEN passed THEN 60 ELSE 0 END)::DOUBLE + 15.0::DOUBLE / (1 + refusals) + 10.0::DOUBLE / greatest(attempts, 1) + 10.0::DOUBLE * CASE WHEN coalesce(tokens, 0) = 0 THEN 0.5::DOUBLE ELSE 1 / (1 + tokens / 200000.0::DOUBLE) END
 + 5.0::DOUBLE / (1 + attempts * 60000 / 1800000.0::DOUBLE), 1) AS score FROM s)"""
 _N = "n AS (SELECT doc_id AS id, source AS target, coalesce(text, '') AS body, lang FROM documents)"
+#: every triple of the graph, its ends percent-encoded
+STATED_SQL = """c AS (SELECT 'region:' || n_regionkey AS s, 'nation:' || n_nationkey AS o FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
+UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders),
+k AS (SELECT 'order:' || l_orderkey AS s, 'part:' || l_partkey AS o FROM lineitem UNION SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem),
+i AS (SELECT s FROM c UNION SELECT o FROM c UNION SELECT s FROM k UNION SELECT o FROM k),
+t AS (SELECT replace(s, ':', '%3A') AS s, p, replace(o, ':', '%3A') AS o FROM (SELECT DISTINCT s, 'contains' AS p, o FROM c UNION ALL SELECT s, 'calls', o FROM k UNION ALL SELECT s, 'a', split_part(s, ':', 1) FROM i))"""
 ORACLES = {
     "seat_score": f"WITH {_S} SELECT run, seat, score FROM x",
     "run_summary": f"""WITH {_S} SELECT run, count(*) AS seats, count(*) FILTER (passed) AS passed, sum(refusals)::BIGINT AS refusals, round(avg(score), 1) AS score,
@@ -201,11 +207,8 @@ SELECT n AS s, 'supplies' AS p, p AS o FROM h UNION ALL SELECT p, 'suppliedFrom'
     "triples_path": """WITH c AS (SELECT 'region:' || n_regionkey AS start, n_nationkey, c_custkey, o_orderkey FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey LEFT JOIN orders ON c_custkey = o_custkey)
 SELECT * FROM (SELECT start, 'nation' AS kind, count(DISTINCT n_nationkey) AS n FROM c GROUP BY 1 UNION ALL SELECT start, 'customer', count(DISTINCT c_custkey) FROM c GROUP BY 1 UNION ALL SELECT start, 'order', count(DISTINCT o_orderkey) FROM c GROUP BY 1
 UNION ALL SELECT 'region:' || n_regionkey, 'supplier', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) WHERE n > 0""",
-    "triples_export": """WITH c AS (SELECT 'region:' || n_regionkey AS s, 'nation:' || n_nationkey AS o FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
-UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders),
-i AS (SELECT s FROM c UNION SELECT o FROM c UNION SELECT 'order:' || l_orderkey FROM lineitem UNION SELECT 'part:' || l_partkey FROM lineitem UNION SELECT 'supplier:' || l_suppkey FROM lineitem),
-t AS (SELECT DISTINCT s, 'contains' AS p, o FROM c UNION ALL SELECT s, 'a', split_part(s, ':', 1) FROM i)
-SELECT '<urn:g/' || replace(s, ':', '%3A') || '> <urn:g/' || p || '> <urn:g/' || replace(o, ':', '%3A') || '> .' AS line FROM t""",
+    "triples_export": f"""WITH {STATED_SQL}
+SELECT '<urn:g/' || s || '> <urn:g/' || p || '> <urn:g/' || o || '> .' AS line FROM t""",
     "dangling_callers": f"""WITH {CALLS_SQL}, k AS (SELECT * FROM lineitem WHERE l_quantity > 49), n AS (SELECT 'order:' || l_orderkey AS id FROM k UNION SELECT 'part:' || l_partkey FROM k UNION SELECT 'supplier:' || l_suppkey FROM k)
 SELECT src AS caller, dst AS callee FROM calls WHERE tier >= 1 AND src IN (SELECT id FROM n) AND dst NOT IN (SELECT id FROM n)""",
     "graph_diff_focus": f"""WITH {CALLS_SQL}, b AS (SELECT * FROM calls WHERE src LIKE 'part:%'), x AS (SELECT src, dst FROM b WHERE src LIKE '%7' AND dst = 'supplier:7'),
