@@ -43,10 +43,26 @@ def _shortened(parts: Column, least: Column) -> Column:
     return F.when(F.size(parts) >= least, F.transform(F.sequence(F.size(parts), least, F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def import_keys(path: Column, lang: Column, raw: Column, go_module: str = "") -> Column:
+def aliased(spec: Column, aliases: tuple[tuple[str, str], ...], base_url: str = "") -> Column:
+    """The path that a script's import means by the first alias ``(pattern, target)`` that fits, each with at most one ``*``; else below ``base_url``; null if there is none."""
+    root = f"{base_url}/" if base_url else ""
+    out = F.concat(F.lit(root), spec) if root else F.lit(None).cast("string")
+    for pattern, target in reversed(aliases):
+        before, star, after = pattern.partition("*")
+        if star:
+            fits = spec.startswith(before) & spec.endswith(after) & (F.length(spec) >= len(before) + len(after))
+            middle = F.substr(spec, F.lit(len(before) + 1), F.greatest(F.length(spec) - len(before) - len(after), F.lit(0)))
+        else:
+            fits, middle = spec == pattern, F.lit("")
+        out = F.when(fits, F.concat(F.lit(root), F.replace(F.lit(target), F.lit("*"), middle))).otherwise(out)
+    return out
+
+
+def import_keys(path: Column, lang: Column, raw: Column, go_module: str = "", aliases: tuple[tuple[str, str], ...] = (), base_url: str = "") -> Column:
     """What an import may mean: ``array<struct<key, loose>>``, the best first.
 
     A key is the stem of a file; a loose one may also be the tail of a stem. Go's are folders, marked by a last ``/``.
+    Scripts' imports that aren't relative go by ``aliases`` and ``base_url``.
     """
     s = F.regexp_replace(F.trim(raw), r"^[\"'`]+|[\"'`]+$", "")
     here = folder(path)
@@ -54,7 +70,8 @@ def import_keys(path: Column, lang: Column, raw: Column, go_module: str = "") ->
     none = keys(F.array().cast("array<string>"), False)
 
     beside = normal(F.concat(here, F.lit("/"), s))
-    script = F.when(s.startswith("."), keys(F.array(stem(beside), F.concat(stem(beside), F.lit("/index"))), False)).otherwise(none)
+    meant = stem(F.when(s.startswith("."), beside).otherwise(normal(aliased(s, aliases, base_url))))
+    script = F.when(meant.isNotNull() & (s != ""), keys(F.array(meant, F.concat(meant, F.lit("/index"))), False)).otherwise(none)
 
     dots = F.length(F.regexp_extract(s, r"^(\.*)", 1))
     body = F.translate(F.regexp_replace(s, r"^\.+", ""), ".", "/")
@@ -82,7 +99,9 @@ def import_keys(path: Column, lang: Column, raw: Column, go_module: str = "") ->
     return F.when(lang.isin(*SCRIPTS), script).when(lang == "python", python).when(lang == "rust", rust).when(lang == "go", go).when(lang.isin(*NO_FILES), none).otherwise(other)
 
 
-def import_files(imports: DataFrame, files: DataFrame, go_module: str = "", most: int = 4, most_in_folder: int = 12) -> DataFrame:
+def import_files(
+    imports: DataFrame, files: DataFrame, go_module: str = "", most: int = 4, most_in_folder: int = 12, aliases: tuple[tuple[str, str], ...] = (), base_url: str = ""
+) -> DataFrame:
     """``site, target, tier`` of imports ``site, path, lang, raw``; ``files`` has ``path``.
 
     The first key that names a file counts: exactly (2), else as the tail of one stem of several folders (1), else it
@@ -101,7 +120,7 @@ def import_files(imports: DataFrame, files: DataFrame, go_module: str = "", most
     in_crate = smallest_k(tails.select("key", "home", "target"), ["key", "home"], ["target"], most)
     abroad = smallest_k(tails.select("key", "test", "target"), ["key", "test"], ["target"], most).select("key", "target")
 
-    asked = imports.select("site", "path", "lang", "raw", F.posexplode(import_keys(F.col("path"), F.col("lang"), F.col("raw"), go_module)).alias("rank", "k"))
+    asked = imports.select("site", "path", "lang", "raw", F.posexplode(import_keys(F.col("path"), F.col("lang"), F.col("raw"), go_module, aliases, base_url)).alias("rank", "k"))
     asked = cut(asked.select("site", "lang", F.trim("raw").rlike("^[\"'`]*(crate|self|super)::").alias("anchored"), crate(F.col("path")).alias("home"), "rank", F.col("k.key").alias("key"), F.col("k.loose").alias("loose")))
     columns = ["site", "lang", "anchored", "home", "loose", "key", "rank", "target"]
     sure = asked.join(exact.union(packages), "key").select(*columns, F.lit(True).alias("sure"))
