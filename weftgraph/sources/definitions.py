@@ -129,6 +129,8 @@ def definitions(files: DataFrame) -> DataFrame:
 def call_names(files: DataFrame) -> DataFrame:
     """``path, line, receiver, name`` of the calls that the code of ``path, lang, text`` makes; definitions are none. The receiver of a member of what a call gives is ``()``."""
     lines = files.select("path", "lang", F.posexplode(F.split(code(F.col("text"), F.col("lang")), "\n")).alias("i", "line")).where("line rlike '[(]'")
+    # lists of declarations in Go
+    lines = lines.where((F.col("lang") != "go") | ~F.col("line").rlike(r"^\s*(?:import|const|var|type)\s*\("))
     line = F.when(_defined(F.col("line"), F.col("lang")).isNotNull(), F.regexp_replace("line", r"^(\s*(?:\w+\s+)*(?:\([^)]*\)\s*)?)[\w$]+\s*(?:<[^>]*>)?\(", "$1")).otherwise(F.col("line"))
     pattern = F.lit(r"(?:(?<![\w$.:])|(?<=[)\]])(\.|::))(?:([\w$]+(?:(?:\.|::)[\w$]+)*)(?:\.|::))?([\w$]+)\s*!?\(")
     calls = F.arrays_zip(*[F.regexp_extract_all(line, pattern, F.lit(k + 1)).alias(n) for k, n in enumerate(("member", "receiver", "name"))])
