@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import exact_dedup, extraction, hilbert, langid, media, mixing, neardup, packing, quality, urlfilter
+from weftgraph.llm import exact_dedup, extraction, hilbert, langid, media, merkle, mixing, neardup, packing, quality, urlfilter
 from weftgraph.llm.common import table
 
 
@@ -59,9 +59,13 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_poisson_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
