@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import exact_dedup, extraction, hilbert, langid, media, merkle, mixing, neardup, packing, quality, urlfilter
+from weftgraph.llm import exact_dedup, extraction, hardneg, hilbert, langid, media, merkle, mixing, neardup, packing, quality, urlfilter
 from weftgraph.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(hardneg.labelled(table(spark, sf_dir, "embeddings")))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
 
@@ -68,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
+    return {"op2_poisson_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_hard_negatives": hardneg.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
