@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import exact_dedup, extraction, hardneg, hilbert, langid, media, merkle, mixing, neardup, packing, quality, urlfilter
+from weftgraph.llm import exact_dedup, extraction, hardneg, hilbert, langid, media, merkle, mixing, neardup, packing, pstable, quality, urlfilter
 from weftgraph.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+def op13_pstable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return pstable.neighbours(rows.select(rows["vec_id"].alias("id"), rows["embedding"].alias("vector")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
