@@ -196,6 +196,19 @@ def structured_calls(calls: DataFrame, defs: DataFrame, bindings: DataFrame, bas
     return only.where("n = 1").select("site", "id", "rule")
 
 
+def visible_types(uses: DataFrame, bound: DataFrame) -> DataFrame:
+    """``path, scope, local, type`` of the names that ``uses`` (``path, scope, chain, local``) have there.
+
+    The nearest scope of a chain that binds the name decides, as ``bound`` (``path, scope, local, type``) says; if it binds it to no
+    type or to several, there is none, whatever the scopes around say. A chain is as long as definitions are nested.
+    """
+    per_scope = bound.groupBy("path", "scope", "local").agg(F.count_distinct("type").alias("n"), F.max(F.col("type").isNull()).alias("dark"), F.min("type").alias("type"))
+    asked = uses.select("path", "scope", "local", "chain").distinct().select("path", F.col("scope").alias("at"), "local", F.posexplode("chain").alias("far", "scope"))
+    met = asked.join(per_scope, ["path", "scope", "local"])
+    near = met.groupBy("path", "at", "local").agg(F.min_by(F.struct("n", "dark", "type"), "far").alias("t"))
+    return near.where("t.n = 1 and not t.dark").select("path", F.col("at").alias("scope"), "local", F.col("t.type").alias("type"))
+
+
 def interface_targets(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """``site, id`` of calls through an interface: the only method of the name elsewhere, else the interface's own if it is the only one.
 

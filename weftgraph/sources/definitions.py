@@ -6,6 +6,9 @@ A definition ends before the next line that isn't indented deeper, or with the b
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,30 +103,92 @@ def _defined(line: Column, lang: Column) -> Column:
     return out
 
 
+#: what a line must begin with so that it doesn't end the definition before it: brackets that close its head or open its body
+GOES_ON = (")", "{")
+
+
+def _extents(marks: list[dict]) -> Iterator[tuple[dict, int, dict | None]]:
+    """Each definition among a file's lines with its last line and the definition around it, in one pass.
+
+    Open definitions form a stack, each indented deeper than the one below. A line ends those that it isn't deeper
+    than, so every line is pushed and popped once; a definition's owner lies under it when it is pushed.
+    """
+    stack: list[tuple[dict, dict | None]] = []
+    before = None
+
+    def ended(stop: dict | None) -> Iterator[tuple[dict, int, dict | None]]:
+        while stack and (stop is None or stack[-1][0]["at"] >= stop["at"]):
+            own, owner = stack.pop()
+            closed = stop is not None and stop["mark"] == "}"
+            yield own, stop["i"] if closed else before["i"], owner
+
+    for m in marks:
+        if m["mark"] not in GOES_ON:
+            yield from ended(m)
+        if m["name"] is not None:
+            stack.append((m, stack[-1][0] if stack else None))
+        before = m
+    yield from ended(None)
+
+
+CLASSES = ("class", "interface", "impl")
+_FOUND = pa.schema([("path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("owner", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("body", pa.string())])
+_SCOPED = pa.schema([("path", pa.string()), ("line", pa.int32()), ("scope", pa.int32()), ("name", pa.string()), ("owner", pa.string()), ("chain", pa.list_(pa.int32()))])
+
+
+def _found(path: str, lines: list[str], marks: list[dict]) -> Iterator[dict]:
+    """The definitions of a file, by their first lines."""
+    for own, last, up in sorted(_extents(marks), key=lambda f: f[0]["i"]):
+        kind = "method" if own["kind"] == "function" and up and up["kind"] in CLASSES else own["kind"]
+        yield {"path": path, "kind": kind, "name": own["name"], "owner": up and up["name"], "first": own["i"], "last": last, "body": "\n".join(lines[own["i"] - 1 : last])}
+
+
+def _scoped(path: str, lines: list[str], marks: list[dict]) -> Iterator[dict]:
+    """The innermost definition around each line of a file that isn't blank."""
+    starts, stack = {own["i"]: (own, last) for own, last, _ in _extents(marks)}, []
+    for m in marks:
+        while stack and stack[-1][1] < m["i"]:
+            stack.pop()
+        if m["i"] in starts:
+            stack.append(starts[m["i"]])
+        # names bound in a class's body are not seen from its methods
+        chain = [own["i"] for k, (own, _) in enumerate(reversed(stack)) if k == 0 or own["kind"] not in CLASSES]
+        owner = next((own["name"] for own, _ in reversed(stack) if own["kind"] in CLASSES), None)
+        yield {"path": path, "line": m["i"], "scope": chain[0] if chain else 0, "name": stack[-1][0]["name"] if stack else None, "owner": owner, "chain": [*chain, 0]}
+
+
+def _by_file(files: DataFrame, rows: Callable[[str, list[str], list[dict]], Iterator[dict]], schema: pa.Schema, spark_schema: str) -> DataFrame:
+    """What ``rows(path, lines, marks)`` gives for each file; marks are the lines that aren't blank, with indentation and definition."""
+    lines = F.split(code(F.col("text"), F.col("lang")), "\n")
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("i"), indent(line).alias("at"), F.regexp_extract(line, r"^\s*(\S?)", 1).alias("mark"), _defined(line, F.col("lang")).alias("d")))
+    marks = F.transform(F.filter(numbered, lambda x: x["mark"] != ""), lambda x: F.struct(x["i"].alias("i"), x["at"].alias("at"), x["mark"].alias("mark"), x["d"]["kind"].alias("kind"), x["d"]["name"].alias("name")))
+    whole = files.select("path", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), marks.alias("marks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one by one: of a batch of large files one is held as objects
+                yield pa.RecordBatch.from_pylist(list(rows(*(c[k].as_py() for c in batch.columns))), schema)
+
+    return whole.mapInArrow(run, spark_schema)
+
+
 def definitions(files: DataFrame) -> DataFrame:
     """``path, kind, name, owner, first, last, body`` of what ``path, lang, text`` define; lines count from 1.
 
     ``owner`` is the innermost definition around it; functions of a class, interface or impl are methods. A null text
-    defines nothing. Extents are found within a file: the next line that is indented no deeper, and its closing bracket.
+    defines nothing. A definition lasts to the next line that is indented no deeper, and its closing bracket. Each file is one row
+    throughout and its lines are gone through once, so the work grows with the text, not with the definitions.
     """
-    lines = F.split(code(F.col("text"), F.col("lang")), "\n")
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("i"), indent(line).alias("at"), F.regexp_extract(line, r"^\s*(\S?)", 1).alias("mark"), _defined(line, F.col("lang")).alias("d")))
-    rows = files.select("path", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.filter(numbered, lambda x: x["mark"] != "").alias("marks"))
-    found = rows.select("path", "lines", "marks", F.posexplode(F.col("marks")).alias("k", "m")).where("m.d is not null")
-    # the first later line that isn't deeper; brackets that close the head or the body belong to it
-    later = F.slice(F.col("marks"), F.col("k") + 2, F.size("marks"))
-    stop = F.get(F.filter(later, lambda x: (x["at"] <= F.col("m.at")) & ~x["mark"].isin(")", "{")), F.lit(0))
-    end = F.when(stop.isNull(), F.element_at("marks", -1)["i"]).when(stop["mark"] == "}", stop["i"])
-    inner = F.element_at(F.filter(F.slice(F.col("marks"), F.lit(1), F.size("marks")), lambda x: x["i"] < F.coalesce(stop["i"], F.lit(1 << 30))), -1)["i"]
-    # a definition of one line that closes itself ends there
-    last = F.when(F.coalesce(stop["i"], F.lit(1 << 30)) == F.col("m.i") + 1, F.when(stop["mark"] == "}", stop["i"]).otherwise(F.col("m.i"))).otherwise(F.coalesce(end, inner))
-    spans = found.select("path", "lines", F.col("m.i").alias("first"), last.cast("int").alias("last"), F.col("m.at").alias("at"), "m.d.kind", "m.d.name")
-    spans = spans.withColumn("body", F.array_join(F.slice("lines", F.col("first"), F.col("last") - F.col("first") + 1), "\n")).drop("lines")
-    all_of = spans.groupBy("path").agg(F.collect_list(F.struct("first", "last", "kind", "name")).alias("all"))  # as many as a file defines
-    around = F.array_max(F.filter("all", lambda a: (a["first"] < F.col("first")) & (a["last"] >= F.col("last"))))
-    out = spans.join(all_of, "path").withColumn("up", around)
-    kind = F.when((F.col("kind") == "function") & F.col("up.kind").isin("class", "interface", "impl"), "method").otherwise(F.col("kind"))
-    return out.select("path", kind.alias("kind"), "name", F.col("up.name").alias("owner"), "first", "last", "body")
+    return _by_file(files, _found, _FOUND, "path string, kind string, name string, owner string, first int, last int, body string")
+
+
+def line_scopes(files: DataFrame) -> DataFrame:
+    """``path, line, scope, name, owner, chain`` of each line of code of ``path, lang, text`` that isn't blank.
+
+    ``scope`` is the first line of the innermost definition around it, 0 for none, ``name`` what it defines, ``chain`` that line, those of the
+    definitions around it outwards but for classes, whose names methods don't see, and 0; ``owner`` is the innermost class, interface or impl. A definition's first line is its own.
+    """
+    return _by_file(files, _scoped, _SCOPED, "path string, line int, scope int, name string, owner string, chain array<int>")
 
 
 def call_names(files: DataFrame) -> DataFrame:
