@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.operators import resolution, scoped
 from weftgraph.plans.resolution_queries import _name
 from weftgraph.session import cut, read_table
-from weftgraph.sources import bindings, definitions, rust_paths
+from weftgraph.sources import bindings, definitions, rust_paths, table_use
 
 _NATION = """mod deep;
 pub use self::deep::leaf as l%1$s;
@@ -112,11 +112,40 @@ def _sites(files: DataFrame, scopes: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "path", "line").alias("site"), "path", "scope", "chain", owner.alias("owner"), "receiver", F.col("called").alias("name"))
 
 
+_MODELS = """from sqlalchemy.orm import declarative_base
+class Nat%1$s(Base):
+    __tablename__ = "nation_%1$s"
+"""
+_USER = """from db.n%1$s import Nat%1$s as Home
+def listed(s):
+    return s.query(Home).all() # Nat%1$s
+def told(s):
+    x = "select * from shop_%2$s join nation_%1$s on true"
+    return Nat%1$s
+"""
+_FAKE = """class Nat%1$s:
+    pass
+def noise(d, shop_%2$s):
+    d.update(shop_%2$s)
+    return Nat%1$s()
+"""
+
+
+def used_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers use their nation's model and table and their own script's; customers have classes of the same name and use nothing."""
+    s, n, c = (read_table(spark, sf_dir, t) for t in ("supplier", "nation", "customer"))
+    files = n.select(_name("db/n%s.py", "n_nationkey").alias("path"), F.lit("python").alias("lang"), _name(_MODELS, "n_nationkey").alias("text"))
+    files = files.union(s.select(_name("db/shop_%s.sql", "s_suppkey"), F.lit("sql"), _name("CREATE TABLE shop_%s (a int);", "s_suppkey")))
+    files = files.union(s.select(_name("py/s%s.py", "s_suppkey"), F.lit("python"), _name(_USER, "s_nationkey", "s_suppkey")))
+    return table_use.table_uses(files.union(c.select(_name("fake/c%s.py", "c_custkey"), F.lit("python"), _name(_FAKE, "c_nationkey", "c_custkey"))))
+
+
 _LINES = "(VALUES ('crate::n%::f%', 0, 'f%'), ('n%::f%', 0, 'f%'), ('T::make', 0, 'make'), ('low', 1, 'leaf'), ('deep::leaf', 1, 'leaf'), ('crate::n%::l%', 1, 'leaf')) AS l(asked, deep, name)"
 ORACLES = {
     "scoped_targets": f"""SELECT 'k/src/s' || s_suppkey || '.rs' AS path, replace(asked, '%', s_nationkey::VARCHAR) AS asked, 'k/src/n' || s_nationkey || CASE WHEN deep = 1 THEN '/deep' ELSE '' END || '.rs:' || replace(name, '%', s_nationkey::VARCHAR) AS id FROM supplier, {_LINES}
 UNION ALL SELECT 'k/src/s' || s_suppkey || '.rs', 'super::n' || n_regionkey || '::deep::leaf', 'k/src/n' || n_regionkey || '/deep.rs:leaf' FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT 'k/src/n' || n_nationkey || '.rs', 'T' || n_nationkey || '::kept', 'k/src/n' || n_nationkey || '.rs:kept' FROM nation""",
+    "used_models": """SELECT 'py/s' || s_suppkey || '.py' AS path, unnest(['listed', 'told', 'told']) AS symbol, unnest(['nation_' || s_nationkey, 'nation_' || s_nationkey, 'shop_' || s_suppkey]) AS "table", unnest([3, 5, 5])::INT AS line FROM supplier""",
     "typed_calls": """WITH p AS (SELECT p_partkey AS k, regexp_extract(p_brand, '([0-9]+)$', 1) AS b, (p_size % 5 + 1)::VARCHAR || (p_partkey % 5 + 1)::VARCHAR AS c FROM part)
 SELECT 'web/p' || k || '.ts:3' AS site, 'web/b' || b || '.ts:B' || b AS id, 2 AS rule FROM p
 UNION ALL SELECT 'web/p' || k || '.ts:6', 'web/b' || b || '.ts:B' || b || '.price', 4 FROM p

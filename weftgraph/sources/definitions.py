@@ -144,17 +144,19 @@ def _found(path: str, lines: list[str], marks: list[dict]) -> Iterator[dict]:
 
 
 def _scoped(path: str, lines: list[str], marks: list[dict]) -> Iterator[dict]:
-    """The innermost definition around each line of a file that isn't blank."""
-    starts, stack = {own["i"]: (own, last) for own, last, _ in _extents(marks)}, []
-    for m in marks:
-        while stack and stack[-1][1] < m["i"]:
+    """The innermost definition around each line of a file that isn't blank; lines without code go with the one before."""
+    starts, coded, stack = {own["i"]: (own, last) for own, last, _ in _extents(marks)}, {m["i"] for m in marks}, []
+    for i, text in enumerate(lines, 1):
+        while i in coded and stack and stack[-1][1] < i:
             stack.pop()
-        if m["i"] in starts:
-            stack.append(starts[m["i"]])
+        if i in starts:
+            stack.append(starts[i])
+        if not text.strip():
+            continue
         # names bound in a class's body are not seen from its methods
         chain = [own["i"] for k, (own, _) in enumerate(reversed(stack)) if k == 0 or own["kind"] not in CLASSES]
         owner = next((own["name"] for own, _ in reversed(stack) if own["kind"] in CLASSES), None)
-        yield {"path": path, "line": m["i"], "scope": chain[0] if chain else 0, "name": stack[-1][0]["name"] if stack else None, "owner": owner, "chain": [*chain, 0]}
+        yield {"path": path, "line": i, "scope": chain[0] if chain else 0, "name": stack[-1][0]["name"] if stack else None, "owner": owner, "chain": [*chain, 0]}
 
 
 def _by_file(files: DataFrame, rows: Callable[[str, list[str], list[dict]], Iterator[dict]], schema: pa.Schema, spark_schema: str) -> DataFrame:
@@ -183,10 +185,11 @@ def definitions(files: DataFrame) -> DataFrame:
 
 
 def line_scopes(files: DataFrame) -> DataFrame:
-    """``path, line, scope, name, owner, chain`` of each line of code of ``path, lang, text`` that isn't blank.
+    """``path, line, scope, name, owner, chain`` of each line of ``path, lang, text`` that isn't blank.
 
     ``scope`` is the first line of the innermost definition around it, 0 for none, ``name`` what it defines, ``chain`` that line, those of the
-    definitions around it outwards but for classes, whose names methods don't see, and 0; ``owner`` is the innermost class, interface or impl. A definition's first line is its own.
+    definitions around it outwards but for classes, whose names methods don't see, and 0; ``owner`` is the innermost class, interface or impl. A definition's first line is its own;
+    comments and lines of quoted texts go with the code before them.
     """
     return _by_file(files, _scoped, _SCOPED, "path string, line int, scope int, name string, owner string, chain array<int>")
 
