@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +31,27 @@ def in_order(plan: DataFrame, most: int = MOST_SLICES) -> DataFrame:
     """``step, id`` of ``id, deps``: always the first slice by id whose deps are done; if all are blocked, the first one.
 
     Each choice depends on all before it, so the names of the slices, of which a plan has few, are ordered by the
-    driver; more than ``most`` raise an error.
+    driver, from a heap of those that wait for nothing; more than ``most`` raise an error.
     """
     rows = plan.select("id", "deps").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"a plan has at most {most} slices")
-    left, done = {r.id: set(r.deps) - {r.id} for r in rows}, []
-    while left:
-        free = min((i for i, deps in left.items() if deps.isdisjoint(left) and deps <= set(done)), default=None)
-        done.append(min(left) if free is None else free)
-        del left[done[-1]]
+    waits, needed_by = {r.id: set(r.deps) - {r.id} for r in rows}, defaultdict(list)
+    for i, deps in waits.items():
+        for d in deps:
+            needed_by[d].append(i)
+    by_id, free, done = iter(sorted(waits)), [i for i, deps in waits.items() if not deps], []
+    heapq.heapify(free)
+    taken = set()
+    while len(done) < len(waits):
+        # deps that are no slices are never done, so only the forced choice frees what waits for them
+        pick = heapq.heappop(free) if free else next(i for i in by_id if i not in taken)
+        taken.add(pick)
+        done.append(pick)
+        for i in needed_by[pick]:
+            waits[i].discard(pick)
+            if not waits[i] and i not in taken:
+                heapq.heappush(free, i)
     return plan.sparkSession.createDataFrame(list(enumerate(done)), "step int, id string")
 
 

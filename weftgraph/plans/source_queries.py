@@ -1,14 +1,16 @@
-"""Calls proven through scoped paths and typed locals, on sources written from the given tables."""
+"""Calls proven through scoped paths and typed locals, uses of tables, on sources written from the given tables; communities and cycles of nations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import resolution, scoped
+from weftgraph.operators import communities, levels, resolution, scoped
+from weftgraph.plans.graph_queries import _MATRIX
 from weftgraph.plans.resolution_queries import _name
 from weftgraph.session import cut, read_table
 from weftgraph.sources import bindings, definitions, rust_paths, table_use
+from weftgraph.sources.projection import nation_flows
 
 _NATION = """mod deep;
 pub use self::deep::leaf as l%1$s;
@@ -140,11 +142,49 @@ def used_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_use.table_uses(files.union(c.select(_name("fake/c%s.py", "c_custkey"), F.lit("python"), _name(_FAKE, "c_nationkey", "c_custkey"))))
 
 
+def _coupled(matrix: DataFrame, share: float) -> DataFrame:
+    """Nation pairs with more lines than ``share`` times the mean pair."""
+    return matrix.join(F.broadcast(matrix.agg(F.avg("n").alias("mean"))), F.col("n") > share * F.col("mean")).drop("mean")
+
+
+def communities_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of nations that trade much, each nation by id until none moves."""
+    strong = _coupled(cut(levels.matrix(nation_flows(spark, sf_dir))), 1.8)
+    return communities.communities(strong.select("src", "dst", F.col("n").cast("double").alias("weight")))
+
+
+def gate_new_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of nations that trade much which those that trade more don't have."""
+    matrix = cut(levels.matrix(nation_flows(spark, sf_dir)))
+    new = communities.new_cycles(_coupled(matrix, 1.3), _coupled(matrix, 1.5))
+    return new.withColumn("loop", F.array_join("loop", ">"))
+
+
+_NEAR = "adj[k % n + 1]"
+_OWN = "lab[k % n + 1]"
+_SCORE = f"round(list_sum(list_transform({_NEAR}, lambda x: CASE WHEN lab[x.b] = c THEN x.w ELSE 0 END)) + CASE WHEN {_OWN} = c THEN 0.05 ELSE 0 END, 6)"
+_REACH = "SELECT src, dst FROM {0} UNION SELECT {1}.src, {0}.dst FROM {1} JOIN {0} ON {1}.dst = {0}.src"
+_CLASSES = "SELECT id, min(least(id, other)) AS component FROM (SELECT x.src AS id, x.dst AS other FROM {0} x JOIN {0} y ON x.src = y.dst AND x.dst = y.src) GROUP BY 1"
 _LINES = "(VALUES ('crate::n%::f%', 0, 'f%'), ('n%::f%', 0, 'f%'), ('T::make', 0, 'make'), ('low', 1, 'leaf'), ('deep::leaf', 1, 'leaf'), ('crate::n%::l%', 1, 'leaf')) AS l(asked, deep, name)"
 ORACLES = {
     "scoped_targets": f"""SELECT 'k/src/s' || s_suppkey || '.rs' AS path, replace(asked, '%', s_nationkey::VARCHAR) AS asked, 'k/src/n' || s_nationkey || CASE WHEN deep = 1 THEN '/deep' ELSE '' END || '.rs:' || replace(name, '%', s_nationkey::VARCHAR) AS id FROM supplier, {_LINES}
 UNION ALL SELECT 'k/src/s' || s_suppkey || '.rs', 'super::n' || n_regionkey || '::deep::leaf', 'k/src/n' || n_regionkey || '/deep.rs:leaf' FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT 'k/src/n' || n_nationkey || '.rs', 'T' || n_nationkey || '::kept', 'k/src/n' || n_nationkey || '.rs:kept' FROM nation""",
+    "communities_in_order": f"""WITH RECURSIVE {_MATRIX}, s AS (SELECT * FROM m WHERE n > 1.8::DOUBLE * (SELECT avg(n) FROM m)),
+arcs AS (SELECT src, dst, sum(n)::DOUBLE AS w FROM (SELECT src, dst, n FROM s UNION ALL SELECT dst, src, n FROM s) GROUP BY 1, 2),
+nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT DISTINCT src AS id FROM arcs)),
+g AS (SELECT list(l ORDER BY i) AS adj, count(*) AS n FROM (SELECT x.i, list({{'b': y.i, 'w': w}}) AS l FROM arcs JOIN nodes x ON x.id = src JOIN nodes y ON y.id = dst GROUP BY 1)),
+walk AS (SELECT 0::BIGINT AS k, range(1, n + 1) AS lab, false AS moved, false AS stop FROM g UNION ALL
+  SELECT k + 1, list_concat(lab[:k % n], [best], lab[k % n + 2:]), CASE WHEN (k + 1) % n = 0 THEN false ELSE moved OR best <> {_OWN} END, (k + 1) % n = 0 AND (NOT (moved OR best <> {_OWN}) OR (k + 1) // n = 24)
+  FROM (SELECT walk.*, g.*, list_min(list_transform(list_distinct(list_append(list_transform({_NEAR}, lambda x: lab[x.b]), {_OWN})), lambda c: {{'s': -{_SCORE}, 'c': c}})).c AS best FROM walk, g WHERE NOT stop))
+SELECT a.id, b.id AS label, (k // n)::INT AS rounds FROM walk, g, nodes a JOIN nodes b ON true WHERE stop AND b.i = lab[a.i]""",
+    "gate_new_cycles": f"""WITH RECURSIVE {_MATRIX}, s AS (SELECT * FROM m WHERE n > 1.3::DOUBLE * (SELECT avg(n) FROM m)), t AS (SELECT * FROM m WHERE n > 1.5::DOUBLE * (SELECT avg(n) FROM m)),
+rs AS ({_REACH.format("s", "rs")}), rt AS ({_REACH.format("t", "rt")}), cs AS ({_CLASSES.format("rs")}), ct AS ({_CLASSES.format("rt")}),
+new AS (SELECT component, count(*) AS members, list(id ORDER BY id) AS ids FROM cs GROUP BY 1 HAVING count(*) > 1 AND list(id ORDER BY id) NOT IN (SELECT list(id ORDER BY id) FROM ct GROUP BY component)),
+w AS (SELECT component, component AS node, [component] AS way FROM new UNION ALL
+  SELECT w.component, s.dst, min(list_append(way, s.dst)) FROM w JOIN s ON s.src = w.node AND s.src <> s.dst JOIN cs ON cs.id = s.dst AND cs.component = w.component WHERE len(way) < 12 AND (len(way) = 1 OR w.node <> w.component) GROUP BY 1, 2),
+f AS (SELECT component, way AS loop FROM w WHERE node = component AND len(way) > 1 QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(way), way) = 1)
+SELECT component, members, array_to_string(loop, '>') AS loop FROM new JOIN f USING (component)""",
     "used_models": """SELECT 'py/s' || s_suppkey || '.py' AS path, unnest(['listed', 'told', 'told']) AS symbol, unnest(['nation_' || s_nationkey, 'nation_' || s_nationkey, 'shop_' || s_suppkey]) AS "table", unnest([3, 5, 5])::INT AS line FROM supplier""",
     "typed_calls": """WITH p AS (SELECT p_partkey AS k, regexp_extract(p_brand, '([0-9]+)$', 1) AS b, (p_size % 5 + 1)::VARCHAR || (p_partkey % 5 + 1)::VARCHAR AS c FROM part)
 SELECT 'web/p' || k || '.ts:3' AS site, 'web/b' || b || '.ts:B' || b AS id, 2 AS rule FROM p
