@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import broadcast_if_small, cut, filed, fresh_dir, lower_ascii, session_conf, spare
@@ -35,13 +35,19 @@ def streaming_keepers(fingerprints: DataFrame, max_bytes_per_trigger: int = 4 <<
 
     ``fingerprints`` is staged in the shared folder and read back as a file stream, each
     micro-batch up to the given size, until all of it is read. A ``state_dir`` in a shared folder keeps state, staged rows and
-    results for the next run, which then continues the stream with its own rows; without one every run begins anew.
+    results for the next run, which then continues the stream with its own rows; without one every run begins anew. The same rows, places included, are one run.
     """
     spark = fingerprints.sparkSession
     home = (state_dir or fresh_dir(spark, "dedup")).rstrip("/")
     staged, out, state = (f"{home}/{x}" for x in ("in", "out", "state"))
-    fingerprints.write.mode("append").parquet(staged)
-    reader = spark.readStream.schema(fingerprints.schema)
+    # a run is staged under a name that its rows give: what died after that, or runs again, is not counted twice
+    run = "rows"
+    if state_dir:
+        n, mark = fingerprints.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*fingerprints.columns).cast("decimal(38,0)"))).first()
+        run = f"{n}-{mark}"
+    if not _complete(spark, f"{staged}/{run}"):
+        fingerprints.write.mode("overwrite").parquet(f"{staged}/{run}")
+    reader = spark.readStream.schema(fingerprints.schema).option("recursiveFileLookup", "true")
     reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     seen = (
         reader.parquet(staged)
@@ -75,6 +81,12 @@ def streaming_keepers(fingerprints: DataFrame, max_bytes_per_trigger: int = 4 <<
     return changed.groupBy("digest").agg(F.max_by(F.struct("keep_id", "keep_at", "n"), "batch").alias("s")).select("digest", "s.*")
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder has ended."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows of ``docs`` with the place of their content, and that column's name.
 
@@ -100,6 +112,7 @@ def exact_dedup(
     ignored, whatever their names. ``at`` says where a row's content is, ``keep_at`` where that of the row that stays is. Each row is read once for its digest and, if its
     digest was seen twice, once more for its bytes. Very long texts are compared whole.
     With ``state_dir`` groups reach over all runs, and ``keep_at`` may lie in files of an earlier one, which must still be there.
+    A run over the same rows of the same files is the same run: it may be repeated, also after it died, and counts once.
     """
     return _judged(*located(docs), digest, state_dir, **stream_options)
 

@@ -150,6 +150,7 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
     subtrees: list[tuple[int, bool, int, int, _Element | None]] = []  # the last: what an inline element stands in
     stack: list[_Element] = [_Element("#", False, False, 0)]
     depths: Counter[str] = Counter()  # open elements by tag
+    beyond: Counter[str] = Counter()  # those that are too deep to be kept apart
     blocks: list[int] = []  # places in the stack of those that are blocks
     away = inside = articles = 0
 
@@ -189,7 +190,11 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
         if not tag:
             continue
         if ends:
-            if depths[tag] > 0:
+            if beyond[tag]:  # it ends one that was never kept
+                beyond[tag] -= 1
+                if tag in BLOCK:
+                    flush()
+            elif depths[tag] > 0:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -218,6 +223,7 @@ def read_page(page: str, template: frozenset[int] = frozenset(), counted: bool =
             at = end.end() if end else n
             continue
         if len(stack) > DEEPEST:
+            beyond[tag] += 1
             continue
         articles += article and not away and not gone and not inside
         if tag in BLOCK:

@@ -149,7 +149,7 @@ def fit_bags(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, hidden: int = 24,
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS) -> BagModel | None:
     """Fit on labelled rows with crc32(doc_id) mod 5 other than 0; None without labels.
 
-    At most ``most`` rows, those with the smallest hash of the id, of at most ``SAMPLE_BYTES`` of text in all, are
+    At most ``most`` rows, those with the smallest hash of the id, of at most ``SAMPLE_BYTES`` of text in all (a text that is too long for what is left is passed over), are
     encoded by the executors, all their passages, and sent to the driver. Of repeated labels of an id the
     largest counts.
     """
@@ -158,9 +158,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCUMENTS
     drawn = open_labels.groupBy("doc_id").agg(F.max("quality").alias("y")).withColumn("_h", order).orderBy("_h", "doc_id").limit(most)
     drawn = cut(drawn)
     sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("b")).join(F.broadcast(drawn.select("doc_id", "_h")), "doc_id").groupBy("doc_id", "_h").agg(F.sum("b").alias("b"))
-    # at most ``most`` rows: their running sum in one task is bounded
-    upto = sizes.withColumn("upto", F.sum("b").over(Window.orderBy("_h", "doc_id"))).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id")
-    drawn = cut(drawn.join(F.broadcast(upto), "doc_id", "left_semi"))
+    # at most ``most`` ids and sizes: a text that doesn't fit any more is passed over, and the next are tried
+    taken, room = [], SAMPLE_BYTES
+    for doc_id, size in sizes.orderBy("_h", "doc_id").select("doc_id", "b").collect():
+        if size <= room:
+            taken.append((doc_id,))
+            room -= size
+    fits = docs.sparkSession.createDataFrame(taken, drawn.select("doc_id").schema)
+    drawn = cut(drawn.join(F.broadcast(fits), "doc_id", "left_semi"))
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("y").cast("double").alias("y"), "_h")
     found = rows.mapInArrow(_encode, "y double, h long, n int, x binary").collect()
     found = sorted(found, key=lambda r: (r["h"], bytes(r["x"])))

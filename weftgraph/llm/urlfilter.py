@@ -92,11 +92,14 @@ def absolute(link: Column, base: Column) -> Column:
         .when(link.startswith("#"), base)
         .when(link != "", F.concat(F.when(folder != "", folder).otherwise(F.concat(root, F.lit("/"))), link))
     )
-    # ./ and ../ of the path, up to eight deep
-    tidy = F.regexp_replace(joined, r"/(\./)+", "/")
-    for _ in range(8):
-        tidy = F.regexp_replace(tidy, r"(?s)^([^?#]*?://[^/?#]+(?:/[^?#]*?)?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
-    return F.regexp_replace(tidy, r"(?s)^([^?#]*?://[^/?#]+)(?:/\.\.)+/", "$1/")
+    # . and .. of the path, however many; at the root .. stays there
+    head, rest = F.regexp_extract(joined, r"(?s)^([^?#]*?://[^/?#]*)", 1), F.regexp_extract(joined, r"(?s)^[^?#]*([?#].*)$", 1)
+    path = F.regexp_extract(joined, r"(?s)^[^?#]*?://[^/?#]*/([^?#]*)", 1)
+    none = F.array().cast("array<string>")
+    step = lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    parts = F.aggregate(F.split(path, "/"), none, step)
+    open_end = F.when(path.rlike(r"(?:^|/)\.\.?$") & (F.size(parts) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(head, F.lit("/"), F.array_join(parts, "/"), open_end, rest)).otherwise(joined)
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, redirects: DataFrame | None = None) -> DataFrame:
