@@ -107,3 +107,36 @@ def trailing(events: DataFrame, at: str, span: str) -> DataFrame:
 def tail(events: DataFrame, since: int, newest: int) -> DataFrame:
     """The newest events after a position."""
     return events.where(F.col("event_id") > since).orderBy(F.desc("event_id")).limit(newest)
+
+
+def ledger_seats(changes: DataFrame, refusals: DataFrame, tested: bool = True) -> DataFrame:
+    """``run, slice, verdict, tests, attempts, refusals, tokens, cost, duration_ms, passed, score``: what is left of each slice of a finished plan.
+
+    ``changes``: ``run, slice, at, state, reason, tokens, cost`` (``at`` in milliseconds, ties by ``state``); ``refusals``: ``run, slice``. The last state is the verdict, ``failed`` unless passed or
+    rejected; a start of work is an attempt; without a test command there is no test result, and none of a slice that didn't pass for another
+    reason. One pass of partial aggregates, so a long history never meets in one task.
+    """
+    last = F.max_by("state", F.struct("at", "state"))
+    rows = changes.groupBy("run", "slice").agg(
+        last.alias("last"), F.count_if(F.col("state") == "running").alias("attempts"), F.max(F.contains(F.lower(F.coalesce("reason", F.lit(""))), F.lit("test"))).alias("blamed"),
+        F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"), (F.max("at") - F.min("at")).alias("duration_ms"),
+    )
+    refused = refusals.groupBy("run", "slice").agg(F.count(F.lit(1)).alias("refusals"))
+    passed = F.col("last") == "passed"
+    tests = F.when(F.lit(not tested), F.lit(None).cast("boolean")).when(passed, True).when(F.col("blamed"), False)
+    rows = rows.join(refused, ["run", "slice"], "left").select(
+        "run", "slice", F.when(F.col("last").isin("passed", "rejected"), F.col("last")).otherwise("failed").alias("verdict"), tests.alias("tests"), "attempts",
+        F.coalesce("refusals", F.lit(0)).alias("refusals"), "tokens", "cost", "duration_ms", passed.alias("passed"),
+    )
+    return seat_scores(rows)
+
+
+def ledger_copies(files: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every run once, by ``id``: its file copy, else the one in the document; of several copies of a kind the last ``ended``, ties by all columns.
+
+    A ranked aggregate, not a join: copies meet after they were cut to one a task and kind.
+    """
+    names = [c for c in documents.columns if c != "id"]
+    both = documents.withColumn("_rank", F.lit(0)).unionByName(files.select(documents.columns).withColumn("_rank", F.lit(1)))
+    best = both.groupBy("id").agg(F.max(F.struct("_rank", "ended", *[n for n in names if n != "ended"])).alias("_b"))
+    return best.select("id", *[F.col("_b")[n].alias(n) for n in names])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions import packages
 from weftgraph.operators.ranking import smallest_k
 from weftgraph.session import cut
 
@@ -115,3 +116,19 @@ def declared_and_used(declared: DataFrame, used: DataFrame) -> DataFrame:
     both = declared.select("name", F.lit(True).alias("d")).distinct().join(u, "name", "full")
     state = F.when(F.col("d").isNull(), "undeclared").when(F.col("files").isNull(), "unused").otherwise("used")
     return both.select("name", F.coalesce("files", F.lit(0)).alias("files"), state.alias("state"))
+
+
+def package_report(imports: DataFrame, targets: DataFrame, declared: DataFrame) -> DataFrame:
+    """``ecosystem, name, files, state`` from raw imports to a verdict: used, unused (declared only) or undeclared (imported only).
+
+    ``imports``: ``site, path, lang, raw``; ``targets``: ``site`` of those that lead to a file of the tree; ``declared``: ``ecosystem, name``.
+    Names are written as code writes them; modules of a runtime are no packages. Packages are cut to one row a file before they meet.
+    """
+    outside = imports.join(targets.select("site").distinct(), "site", "left_anti")
+    eco = packages.ecosystem(F.col("lang"))
+    named = outside.select("path", eco.alias("ecosystem"), packages.package_name(F.col("raw"), F.col("lang")).alias("name")).where("name is not null")
+    used = named.where(~packages.runtime_module(F.col("ecosystem"), F.col("name"))).select("path", "ecosystem", packages.imported_as(F.col("ecosystem"), F.col("name")).alias("name"))
+    key = lambda df: df.withColumn("name", F.concat_ws("\x1f", "ecosystem", "name"))
+    told = declared.select("ecosystem", packages.imported_as(F.col("ecosystem"), F.col("name")).alias("name"))
+    out = declared_and_used(key(told), key(used))
+    return out.select(F.split("name", "\x1f")[0].alias("ecosystem"), F.split("name", "\x1f")[1].alias("name"), "files", "state")

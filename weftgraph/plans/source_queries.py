@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import communities, levels, resolution, scoped
+from weftgraph.operators import communities, ledger, levels, linking, resolution, scoped
 from weftgraph.plans.graph_queries import _MATRIX
-from weftgraph.plans.resolution_queries import _name
+from weftgraph.plans.resolution_queries import _NO, _name
 from weftgraph.session import cut, read_table
-from weftgraph.sources import bindings, definitions, rust_paths, table_use
+from weftgraph.sources import bindings, code_files, definitions, rust_paths, table_use
 from weftgraph.sources.projection import nation_flows
 
 _NATION = """mod deep;
@@ -142,6 +142,49 @@ def used_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_use.table_uses(files.union(c.select(_name("fake/c%s.py", "c_custkey"), F.lit("python"), _name(_FAKE, "c_nationkey", "c_custkey"))))
 
 
+_TAKES = """import os
+import nation_%1$s
+from Sup_%2$s.x import y
+import n%1$s
+from . import z
+"""
+_WEB = """import a from 'brand%1$s/sub'
+import fs from 'node:fs'
+import path from "path"
+import b from '@x/p%2$s'
+import './q'
+"""
+
+
+def undeclared_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts import declared, undeclared, runtime and own modules; manifests also declare what nobody uses."""
+    s, n, p = (read_table(spark, sf_dir, t) for t in ("supplier", "nation", "part"))
+    no = F.regexp_extract("p_brand", r"(\d+)$", 1)
+    files = s.select(_name("py/s%s.py", "s_suppkey").alias("path"), F.lit("python").alias("lang"), _name(_TAKES, "s_nationkey", "s_suppkey").alias("text"))
+    files = files.union(n.select(_name("py/n%s.py", "n_nationkey"), F.lit("python"), F.lit(""))).union(p.select(_name("web/p%s.ts", "p_partkey"), F.lit("typescript"), _name(_WEB, no, "p_partkey")))
+    manifests = s.select(_name("s%s/requirements.txt", "s_suppkey").alias("path"), _name("nation-%s>=2\nidle_%s", "s_nationkey", "s_suppkey").alias("text"))
+    manifests = manifests.union(p.select(_name("b%s/package.json", no), _name('{"dependencies": {"brand%s": "1"}}', no)).distinct())
+    imports = cut(definitions.imports(files).withColumn("site", F.concat_ws("|", "path", "raw")))
+    targets = resolution.import_files(imports.select("site", "path", "lang", "raw"), files.select("path"))
+    return linking.package_report(imports, targets, code_files.manifest_deps(manifests).select("ecosystem", "name"))
+
+
+def ledger_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as the states of a slice: errors are refusals, signups rejections, large ones for their tests."""
+    events = read_table(spark, sf_dir, "events")
+    state = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "passed").when(F.col("event_type") == "signup", "rejected").otherwise("queued")
+    rows = events.select((F.col("user_id") % 20).alias("run"), F.col("user_id").alias("slice"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), state.alias("state"), "event_type", "value")
+    changes = rows.where("event_type <> 'error'").select("run", "slice", "at", "state", F.when((F.col("state") == "rejected") & (F.col("value") > 300), "Tests failed").alias("reason"), F.floor("value").alias("tokens"), F.lit(0.0).alias("cost"))
+    return ledger.ledger_seats(changes, rows.where("event_type = 'error'"))
+
+
+def ledger_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and type as a run's copy: clicks of every third user are files."""
+    last = read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), "event_type").agg(F.max("event_id").alias("ended"))
+    mine = (F.col("event_type") == "click") & (F.col("id") % 3 == 0)
+    return ledger.ledger_copies(last.where(mine), last.where(~mine))
+
+
 def _coupled(matrix: DataFrame, share: float) -> DataFrame:
     """Nation pairs with more lines than ``share`` times the mean pair."""
     return matrix.join(F.broadcast(matrix.agg(F.avg("n").alias("mean"))), F.col("n") > share * F.col("mean")).drop("mean")
@@ -185,6 +228,18 @@ w AS (SELECT component, component AS node, [component] AS way FROM new UNION ALL
   SELECT w.component, s.dst, min(list_append(way, s.dst)) FROM w JOIN s ON s.src = w.node AND s.src <> s.dst JOIN cs ON cs.id = s.dst AND cs.component = w.component WHERE len(way) < 12 AND (len(way) = 1 OR w.node <> w.component) GROUP BY 1, 2),
 f AS (SELECT component, way AS loop FROM w WHERE node = component AND len(way) > 1 QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(way), way) = 1)
 SELECT component, members, array_to_string(loop, '>') AS loop FROM new JOIN f USING (component)""",
+    "undeclared_packages": f"""SELECT 'pypi' AS ecosystem, 'nation_' || s_nationkey AS name, count(*) AS files, 'used' AS state FROM supplier GROUP BY s_nationkey
+UNION ALL SELECT 'pypi', 'idle_' || s_suppkey, 0, 'unused' FROM supplier UNION ALL SELECT 'pypi', 'sup_' || s_suppkey, 1, 'undeclared' FROM supplier
+UNION ALL SELECT 'npm', 'brand' || {_NO}, count(*), 'used' FROM part GROUP BY p_brand UNION ALL SELECT 'npm', '@x/p' || p_partkey, 1, 'undeclared' FROM part""",
+    "ledger_seats": """WITH e AS (SELECT user_id % 20 AS run, user_id AS slice, epoch_ms(ts) AS t, event_type, value FROM events),
+c AS (SELECT run, slice, arg_max(event_type, t) AS last, count(*) FILTER (event_type = 'click') AS attempts, bool_or(event_type = 'signup' AND value > 300) AS blamed, sum(floor(value))::BIGINT AS tokens, max(t) - min(t) AS duration_ms FROM e WHERE event_type <> 'error' GROUP BY 1, 2),
+r AS (SELECT slice, count(*) AS refusals FROM e WHERE event_type = 'error' GROUP BY 1),
+s AS (SELECT run, c.slice, CASE last WHEN 'purchase' THEN 'passed' WHEN 'signup' THEN 'rejected' ELSE 'failed' END AS verdict, CASE WHEN last = 'purchase' THEN true WHEN blamed THEN false END AS tests, attempts,
+  coalesce(refusals, 0) AS refusals, tokens, 0.0::DOUBLE AS cost, duration_ms, last = 'purchase' AS passed FROM c LEFT JOIN r USING (slice))
+SELECT *, round(40.0::DOUBLE * passed::INT + 20.0 * coalesce(tests, passed)::INT + 15.0 * (1.0::DOUBLE / (1 + refusals)) + 10.0 * (1.0::DOUBLE / greatest(attempts, 1)) + 10.0 * (CASE WHEN tokens = 0 THEN 0.5 ELSE 1.0::DOUBLE / (1 + tokens / 200000.0::DOUBLE) END)
+  + 5.0 * (1.0::DOUBLE / (1 + duration_ms / 1800000.0::DOUBLE)), 1) AS score FROM s""",
+    "ledger_copies": """WITH l AS (SELECT user_id AS id, event_type, max(event_id) AS ended FROM events GROUP BY 1, 2)
+SELECT id, event_type, ended FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY (event_type = 'click' AND id % 3 = 0) DESC, ended DESC, event_type DESC) = 1""",
     "used_models": """SELECT 'py/s' || s_suppkey || '.py' AS path, unnest(['listed', 'told', 'told']) AS symbol, unnest(['nation_' || s_nationkey, 'nation_' || s_nationkey, 'shop_' || s_suppkey]) AS "table", unnest([3, 5, 5])::INT AS line FROM supplier""",
     "typed_calls": """WITH p AS (SELECT p_partkey AS k, regexp_extract(p_brand, '([0-9]+)$', 1) AS b, (p_size % 5 + 1)::VARCHAR || (p_partkey % 5 + 1)::VARCHAR AS c FROM part)
 SELECT 'web/p' || k || '.ts:3' AS site, 'web/b' || b || '.ts:B' || b AS id, 2 AS rule FROM p
