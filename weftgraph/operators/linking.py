@@ -126,7 +126,7 @@ def package_report(imports: DataFrame, targets: DataFrame, declared: DataFrame)
     """
     outside = imports.join(targets.select("site").distinct(), "site", "left_anti")
     eco = packages.ecosystem(F.col("lang"))
-    named = outside.select("path", eco.alias("ecosystem"), packages.package_name(F.col("raw"), F.col("lang")).alias("name")).where("name is not null")
+    named = outside.select("path", eco.alias("ecosystem"), packages.package_name(F.col("raw"), F.col("lang")).alias("name")).where("name is not null").distinct()
     used = named.where(~packages.runtime_module(F.col("ecosystem"), F.col("name"))).select("path", "ecosystem", packages.imported_as(F.col("ecosystem"), F.col("name")).alias("name"))
     key = lambda df: df.withColumn("name", F.concat_ws("\x1f", "ecosystem", "name"))
     told = declared.select("ecosystem", packages.imported_as(F.col("ecosystem"), F.col("name")).alias("name"))

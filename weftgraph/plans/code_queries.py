@@ -84,7 +84,7 @@ def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A patch an order: a hunk a line, of its quantity, on the file of its part."""
-    rows = read_table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    rows = read_table(spark, sf_dir, "lineitem")
     hunk = F.format_string("diff --git a/p%1$s b/p%1$s\n--- a/p%1$s\n+++ b/p%1$s\n@@ -1,2 +%2$s,%3$s @@\n+x", F.col("l_partkey").cast("string"), (F.col("l_linenumber") * 100).cast("string"), F.col("l_quantity").cast("int").cast("string"))
     patches = rows.groupBy(F.col("l_orderkey").alias("patch")).agg(F.array_join(F.collect_list(hunk), "\n").alias("text"))  # an order has a few lines
     return code_files.changed_ranges(patches)
@@ -126,7 +126,7 @@ UNION ALL SELECT 'rs/n' || n_nationkey || '.rs', 'GET', '/nations/' || n_nationk
 UNION ALL SELECT 'n' || n_nationkey || '/go.mod', unnest(['host/region/r' || n_regionkey, 'host/nation/n' || n_nationkey]), 'go', false FROM nation
 UNION ALL SELECT 's' || s_suppkey || '/requirements-dev.txt', unnest(['nation-' || s_nationkey, 'supplier_' || s_suppkey]), 'pypi', false FROM supplier
 UNION ALL SELECT 's' || s_suppkey || '/pyproject.toml', unnest(['nation' || s_nationkey, 'sup-' || s_suppkey]), 'pypi', false FROM supplier""",
-    "patch_ranges": "SELECT l_orderkey AS patch, 'p' || l_partkey AS path, (l_linenumber * 100)::BIGINT AS first, (l_linenumber * 100 + greatest(l_quantity::INT, 1) - 1)::BIGINT AS last FROM lineitem WHERE l_orderkey % 3 = 0",
+    "patch_ranges": "SELECT l_orderkey AS patch, 'p' || l_partkey AS path, (l_linenumber * 100)::BIGINT AS first, (l_linenumber * 100 + greatest(l_quantity::INT, 1) - 1)::BIGINT AS last FROM lineitem",
     "patch_stats": "SELECT l_orderkey AS patch, count(*) AS paths, sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_quantity::INT END)::BIGINT AS added, sum(l_linenumber)::BIGINT AS removed FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1",
     "alias_ends": """WITH RECURSIVE w AS (SELECT c_custkey AS k, c_custkey // 4 AS t, 1 AS steps FROM customer WHERE c_custkey >= 16 UNION ALL SELECT k, t // 4, steps + 1 FROM w WHERE t >= 16 AND steps < 5)
 SELECT 'customer:' || k AS name, 'customer:' || t AS target, steps::INT AS steps FROM w WHERE t < 16""",

@@ -165,7 +165,7 @@ def loc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def churn_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maps.folder_churn(_files(spark, sf_dir).where("lines > 3000"))
+    return maps.folder_churn(_files(spark, sf_dir))
 
 
 def module_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +208,7 @@ def class_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brief_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _symbols(spark, sf_dir).where("user_id < 12").select(F.col("name").alias("kind"), F.col("id").cast("string").alias("name"), F.col("path").alias("file"))
+    rows = _symbols(spark, sf_dir).select(F.col("name").alias("kind"), F.col("id").cast("string").alias("name"), F.col("path").alias("file"))
     return maps.capped(rows, {"click": 5, "view": 10})
 
 
@@ -429,7 +429,7 @@ UNION ALL (SELECT 'sibling', path FROM (SELECT DISTINCT path FROM s WHERE path <
 d AS (SELECT slice, seat AS "from" FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY since, seat) AS r FROM f) WHERE r = 1) SELECT "from", seat AS "to", count(*) AS slices FROM f JOIN d USING (slice) WHERE seat <> "from" GROUP BY 1, 2""",
     "loc_rollup": """WITH l AS (SELECT l_orderkey, max(l_shipdate) AS b FROM lineitem GROUP BY 1) SELECT 'nation:' || c_nationkey AS owner, count(*) AS symbols, sum(greatest(date_diff('day', o_orderdate, b) + 1, 0))::BIGINT AS lines
 FROM orders JOIN l ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
-    "churn_by_folder": f"WITH {_FOLDERS} SELECT folder, count(DISTINCT path) AS files FROM up WHERE lines > 3000 GROUP BY 1",
+    "churn_by_folder": f"WITH {_FOLDERS} SELECT folder, count(DISTINCT path) AS files FROM up GROUP BY 1",
     "module_tree": f"""WITH {_FOLDERS} SELECT folder AS module, k::INT AS level, array_to_string(list_slice(string_split(folder, '/'), 1, k - 1), '/') AS parent, count(*) AS files, sum(lines)::BIGINT AS lines FROM up GROUP BY folder, k""",
     "module_tree_zoom": f"WITH {_FOLDERS} SELECT folder AS module, count(*) AS files FROM up WHERE k = 1 GROUP BY 1 HAVING sum(lines) > 0",
     "refusals_per_slice": "SELECT json_extract_string(props, '$.k') AS slice, count(*) AS refusals FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' GROUP BY 1",
@@ -438,7 +438,7 @@ FROM orders JOIN l ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_cus
     "entity_iris": "SELECT p_partkey AS line, 'urn:sym:' || replace(p_type, ' ', '%20') || '#' || replace(p_name, ' ', '%20') || CASE WHEN r > 1 THEN '~' || p_partkey ELSE '' END AS iri FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_partkey) AS r FROM part)",
     "unique_labels": "SELECT c_custkey AS id, c_mktsegment || '/' || c_nationkey || CASE WHEN r > 1 THEN ' ' || r ELSE '' END AS unique_label FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS r FROM customer)",
     "class_terms": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Function' WHEN 1 THEN 'File' WHEN 2 THEN 'Route' WHEN 3 THEN 'Env' ELSE 'Symbol' END AS class, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events",
-    "brief_entries": f"""WITH {_SYMBOLS}, x AS (SELECT name AS kind, id::VARCHAR AS name, path AS file, row_number() OVER (PARTITION BY name ORDER BY path, id::VARCHAR) AS r FROM s WHERE user_id < 12)
+    "brief_entries": f"""WITH {_SYMBOLS}, x AS (SELECT name AS kind, id::VARCHAR AS name, path AS file, row_number() OVER (PARTITION BY name ORDER BY path, id::VARCHAR) AS r FROM s)
 SELECT kind, name, file FROM x WHERE kind NOT IN ('click', 'view') OR (kind = 'click' AND r <= 5) OR (kind = 'view' AND r <= 10)""",
     "experiment_gaps": """WITH t AS (SELECT event_id, user_id, value, floor(epoch(ts))::BIGINT AS sec FROM events WHERE event_type = 'purchase')
 SELECT event_id, coalesce(greatest(sec - max(sec) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS gap FROM t""",

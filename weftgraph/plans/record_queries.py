@@ -50,8 +50,9 @@ def ready_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_window_30s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The minutes before noon of a day; last state of each user by position."""
-    seen = ledger.trailing(read_table(spark, sf_dir, "events"), "2024-01-10 12:00:00", "6 hours")
+    """The 30 seconds up to the newest event; last state of each user by position."""
+    events = read_table(spark, sf_dir, "events")
+    seen = ledger.trailing(events, str(events.agg(F.max("ts")).first()[0]), "30 seconds")
     return seen.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.count(F.lit(1)).alias("n"))
 
 
@@ -189,7 +190,7 @@ array_to_string(list(score::VARCHAR ORDER BY started, run) FILTER (r <= 20), ' '
     "run_changelog": """SELECT coalesce(CASE WHEN p_type <> 'SMALL' THEN p_brand END, 'outside') AS domain, count(DISTINCT l_partkey) AS files, count(DISTINCT o_orderkey) AS runs
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON l_partkey = p_partkey WHERE c_acctbal > 0 GROUP BY 1""",
     "ready_slices": """SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0))""",
-    "event_window_30s": "SELECT user_id, arg_max(event_type, event_id) AS state, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-10 06:00:00' AND ts <= TIMESTAMP '2024-01-10 12:00:00' GROUP BY 1",
+    "event_window_30s": "SELECT user_id, arg_max(event_type, event_id) AS state, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 30 SECOND GROUP BY 1",
     "event_tail": "SELECT event_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id DESC LIMIT 500",
     "recall_ranked": f"""WITH {_N}, h AS (SELECT id, target, (CASE WHEN target = 'src1' THEN 0 WHEN target LIKE 'src1_' THEN 2 ELSE 4 END)::INT AS rank,
 ((CASE WHEN contains(lower(target || ' ' || body), 'tion') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(target || ' ' || body), 'www') THEN 1 ELSE 0 END))::INT AS hits FROM n) SELECT * FROM h WHERE rank < 4 OR hits > 0""",

@@ -231,7 +231,7 @@ SELECT component, members, array_to_string(loop, '>') AS loop FROM new JOIN f US
     "undeclared_packages": f"""SELECT 'pypi' AS ecosystem, 'nation_' || s_nationkey AS name, count(*) AS files, 'used' AS state FROM supplier GROUP BY s_nationkey
 UNION ALL SELECT 'pypi', 'idle_' || s_suppkey, 0, 'unused' FROM supplier UNION ALL SELECT 'pypi', 'sup_' || s_suppkey, 1, 'undeclared' FROM supplier
 UNION ALL SELECT 'npm', 'brand' || {_NO}, count(*), 'used' FROM part GROUP BY p_brand UNION ALL SELECT 'npm', '@x/p' || p_partkey, 1, 'undeclared' FROM part""",
-    "ledger_seats": """WITH e AS (SELECT user_id % 20 AS run, user_id AS slice, epoch_ms(ts) AS t, event_type, value FROM events),
+    "ledger_seats": """WITH e AS (SELECT user_id % 20 AS run, user_id AS slice, epoch_us(ts) // 1000 AS t, event_type, value FROM events),
 c AS (SELECT run, slice, arg_max(event_type, t) AS last, count(*) FILTER (event_type = 'click') AS attempts, bool_or(event_type = 'signup' AND value > 300) AS blamed, sum(floor(value))::BIGINT AS tokens, max(t) - min(t) AS duration_ms FROM e WHERE event_type <> 'error' GROUP BY 1, 2),
 r AS (SELECT slice, count(*) AS refusals FROM e WHERE event_type = 'error' GROUP BY 1),
 s AS (SELECT run, c.slice, CASE last WHEN 'purchase' THEN 'passed' WHEN 'signup' THEN 'rejected' ELSE 'failed' END AS verdict, CASE WHEN last = 'purchase' THEN true WHEN blamed THEN false END AS tests, attempts,

@@ -81,7 +81,7 @@ def triples_most_called(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triples_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _triples(spark, sf_dir)
-    return triples.match(t, ("?c", "a", "customer")).join(triples.match(t, ("?c", "contains", "?o")), "c", "left_anti")
+    return triples.match(t, ("?o", "a", "order")).join(triples.match(t, ("?o", "calls", "?p")), "o", "left_anti")
 
 
 def triples_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP
 n AS (SELECT count(*) FILTER (g.doc_id IS NOT NULL AND w.doc_id IS NOT NULL) AS tp, count(*) FILTER (w.doc_id IS NULL) AS fp, count(*) FILTER (g.doc_id IS NULL) AS fn FROM g FULL JOIN w ON g.doc_id = w.doc_id)
 SELECT tp, fp, fn, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall FROM n""",
     "triples_most_called": f"WITH {CALLS_SQL} SELECT dst AS y, count(*) AS n FROM calls WHERE dst LIKE 'supplier:%' GROUP BY 1 ORDER BY n DESC, y LIMIT 10",
-    "triples_not_exists": "SELECT 'customer:' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "triples_not_exists": "SELECT 'order:' || o_orderkey AS o FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "triples_optional": "SELECT 'supplier:' || s_suppkey AS s, 'nation:' || s_nationkey AS n FROM supplier",
     "asof_last_event": "SELECT event_id, coalesce(last_click, -1) AS last_click FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_click FROM events) WHERE event_type = 'purchase'",
     "rollup_sizes": "SELECT coalesce(n_regionkey, -1) AS n_regionkey, coalesce(c_nationkey, -1) AS c_nationkey, n FROM (SELECT n_regionkey, c_nationkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, c_nationkey))",
