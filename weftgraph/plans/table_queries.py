@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators import intervals, ledger, search, triples
-from weftgraph.session import read_table
+from weftgraph.session import read_table, shared_dir
 from weftgraph.sources.projection import CALLS_SQL, calls, contains
 from weftgraph.streaming import events as streams
+from weftgraph.streaming import liveness
 
 TERMS = ["tion", "and"]
 
@@ -105,6 +108,12 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_table(streams.daily_counts(streams.event_stream(spark, f"{sf_dir}/events.parquet")))
 
 
+def stream_live_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as live runs: those silent for 12 hours end, and their states are told when they move."""
+    log = liveness.live_log(streams.event_stream(spark, f"{sf_dir}/events.parquet"), "user_id", "event_type", 43_200_000)
+    return liveness.run_live(log, f"{shared_dir(spark)}/live-{uuid.uuid4().hex}").select("key", "kind", "at", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("started", "n")], *[F.coalesce(c, F.lit("-")).alias(c) for c in ("before", "state")])
+
+
 _SPANS = """spans AS (SELECT o_custkey, o_orderkey AS id, o_orderdate AS a, b, o_orderpriority FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS b FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
 _WORDS = "w AS (SELECT doc_id AS id, source, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents)"
 _CONTAINS = """contains AS (SELECT 'region:' || n_regionkey AS parent, 'nation:' || n_nationkey AS child FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
@@ -132,6 +141,11 @@ SELECT tp, fp, fn, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUB
     "triples_optional": "SELECT 'supplier:' || s_suppkey AS s, 'nation:' || s_nationkey AS n FROM supplier",
     "asof_last_event": "SELECT event_id, coalesce(last_click, -1) AS last_click FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_click FROM events) WHERE event_type = 'purchase'",
     "rollup_sizes": "SELECT coalesce(n_regionkey, -1) AS n_regionkey, coalesce(c_nationkey, -1) AS c_nationkey, n FROM (SELECT n_regionkey, c_nationkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, c_nationkey))",
+    "stream_live_log": """WITH w AS (SELECT (max(epoch_us(ts)) // 1000 - 600000) * 1000 AS upto FROM events), e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS t, event_id, event_type AS state FROM events, w WHERE epoch_us(ts) <= upto),
+o AS (SELECT *, lag(state) OVER k AS before, coalesce(t - lag(t) OVER k > 43200000000, true)::INT AS fresh FROM e WINDOW k AS (PARTITION BY key ORDER BY t, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY t, event_id) AS no FROM o)
+SELECT key, 'end' AS kind, max(t) AS "at", min(t) AS started, count(*) AS n, '-' AS before, '-' AS state FROM s GROUP BY key, no HAVING max(t) + 43200000000 < (SELECT upto FROM w)
+UNION ALL SELECT key, 'change', t, -1, -1, coalesce(before, '-'), state FROM s WHERE before IS DISTINCT FROM state""",
     "stream_daily_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "longest_prefix_module": """WITH p AS (SELECT DISTINCT regexp_extract(url, '^.*?://([^?#]*)', 1) AS path FROM pages), m AS (SELECT DISTINCT unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS module FROM p),
 k AS (SELECT module FROM m WHERE module LIKE '%.com%' OR module LIKE '%/en') SELECT path, (SELECT arg_max(module, length(module)) FROM k WHERE path = module OR starts_with(path, module || '/')) AS module FROM p""",
