@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -89,64 +90,75 @@ def entries(routes: DataFrame, nodes: DataFrame, calls: DataFrame) -> DataFrame:
     return best.select("id", F.element_at(F.array(*map(F.lit, KINDS)), F.col("m.rank") + 1).alias("kind"), F.col("m.route").alias("route"))
 
 
-def walk(entry: str, known: dict[str, list[str]], depth: int, most: int) -> tuple[list[tuple[str, int, int]], list[str]]:
-    """``(id, depth, step it comes from)`` in call order, and the nodes whose calls must be known to go on.
+def resumed(state: dict, answers: list[dict], depth: int, most: int) -> list[dict]:
+    """Go on with a walk whose ``state`` holds ``done, stack, seen, pending``; gives the new steps in call order and leaves in ``ask`` what must be known next.
 
-    A node counts once, where it is met first. With some calls unknown, the first ``most`` nodes that may be met are asked for.
+    A node counts once, where it is met first. The walk stops before the first node whose calls aren't known; those and the ones
+    that wait behind it are asked for, as many as can still be met, and answers that aren't used yet stay pending.
     """
-    steps: list[tuple[str, int, int]] = []
-    seen, wanted = set(), []
-    stack = [(entry, 0, -1)]
-    while stack and len(wanted) < most and (wanted or len(steps) < most):
-        node, at, parent = stack.pop()
-        if node in seen:
+    pending = {n["id"]: n["kids"] for n in [*state["pending"], *answers]}
+    seen, stack, steps = set(state["seen"]), state["stack"], []
+    while stack and state["done"] < most:
+        at = stack[-1]
+        if at["id"] in seen:
+            stack.pop()
             continue
-        seen.add(node)
-        steps.append((node, at, parent))
-        if at < depth and node not in known:
-            if not wanted and len(steps) == most:
-                break
-            wanted.append(node)
-        elif at < depth:
-            stack += [(kid, at + 1, len(steps) - 1) for kid in reversed(known[node])]
-    return steps, wanted
+        if at["depth"] < depth and at["id"] not in pending:
+            break
+        stack.pop()
+        seen.add(at["id"])
+        steps.append({"step": state["done"], **at})
+        if at["depth"] < depth:
+            stack += [{"id": kid, "depth": at["depth"] + 1, "parent": state["done"]} for kid in reversed(pending.pop(at["id"]))]
+        state["done"] += 1
+    over = not stack or state["done"] >= most
+    waiting = dict.fromkeys(s["id"] for s in reversed(stack) if s["depth"] < depth and s["id"] not in seen and s["id"] not in pending)
+    room = max(1, most - state["done"] - len(pending))
+    state |= {"seen": sorted(seen), "pending": [{"id": k, "kids": v} for k, v in pending.items()], "ask": [] if over else list(waiting)[:room]}
+    return steps
+
+
+_STEP = pa.struct([("step", pa.int32()), ("id", pa.string()), ("depth", pa.int32()), ("parent", pa.int32())])
+_KIDS = pa.struct([("id", pa.string()), ("kids", pa.list_(pa.string()))])
+_STATE = pa.schema([
+    ("entry", pa.string()), ("done", pa.int32()), ("stack", pa.list_(pa.struct([("id", pa.string()), ("depth", pa.int32()), ("parent", pa.int32())]))), ("seen", pa.list_(pa.string())),
+    ("pending", pa.list_(_KIDS)), ("ask", pa.list_(pa.string())), ("steps", pa.list_(_STEP)),
+])
+_STATE_SQL = "entry string, done int, stack array<struct<id:string,depth:int,parent:int>>, seen array<string>, pending array<struct<id:string,kids:array<string>>>, ask array<string>, steps array<struct<step:int,id:string,depth:int,parent:int>>"
 
 
 def unrolled(starts: DataFrame, calls: DataFrame, depth: int = MOST_DEPTH, most: int = MOST_STEPS) -> DataFrame:
     """``entry, step, id, depth, parent, site, branch, tier``: each start's calls depth first, in the order of the code.
 
     ``starts``: ``id``; ``calls`` as from :func:`placed`, one row a pair. Placed calls come by line, the others last, by name. A flow ends at
-    ``most`` steps. Of a node's calls the first ``most`` are enough: when all of these were met, the flow is full. Each round
-    fetches the calls of at most ``most`` nodes a flow, of one more depth as a rule, so no flow's surroundings are gathered whole.
+    ``most`` steps. Of a node's calls the first ``most`` are enough: when all of these were met, the flow is full. A walk is a state that
+    each round goes on with: it reads the round's answers, at most ``most`` nodes a flow, writes its new steps and, unless it is over, its state, so what
+    is written grows with the steps and no flow's surroundings are gathered whole.
     """
     ranked = smallest_k(calls.select("src", (F.col("site") == 0).alias("late"), "site", "name", "dst"), ["src"], ["late", "site", "name", "dst"], most)
     kids = cut(ranked.groupBy(F.col("src").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("late", "site", "name", "dst"))), lambda k: k["dst"]).alias("kids")))
 
-    def run(whole: bool):
-        def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in found:
-                rows = []
-                for entry, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    steps, wanted = walk(entry, {n["id"]: n["kids"] for n in nodes}, depth, most)
-                    rows += [(entry, k, *step) for k, step in enumerate(steps)] if whole else [(entry, w) for w in wanted]
-                names = ["entry", "step", "id", "depth", "parent"] if whole else ["entry", "id"]
-                types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()] if whole else [pa.string(), pa.string()]
-                columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-        return batches
+    def go_on(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            rows = batch.to_pylist()
+            for row in rows:
+                row["steps"] = resumed(row, row.pop("answers"), depth, most)
+            yield pa.RecordBatch.from_pylist(rows, _STATE)
 
     none = F.array().cast("array<string>")
-    ask = starts.select(F.col("id").alias("entry"), "id").where("id is not null").distinct()
-    known = None
+    first = F.array(F.struct("id", F.lit(0).alias("depth"), F.lit(-1).alias("parent")))
+    state = starts.where("id is not null").select("id").distinct()
+    state = state.select(F.col("id").alias("entry"), F.lit(0).alias("done"), first.alias("stack"), none.alias("seen"), F.expr("cast(array() as array<struct<id:string,kids:array<string>>>)").alias("pending"), F.array("id").alias("ask"))
+    parts = []
     for _ in range(most + 1):
-        got = ask.join(kids, "id", "left").select("entry", "id", F.coalesce("kids", none).alias("kids"))
-        known = cut(got if known is None else known.union(got))
-        state = known.groupBy("entry").agg(F.collect_list(F.struct("id", "kids")).alias("nodes"))  # at most ``most`` nodes a round
-        ask = cut(state.mapInArrow(run(False), "entry string, id string"))
-        if ask.isEmpty():
+        asked = state.select("entry", F.explode("ask").alias("id"))
+        answers = asked.join(kids, "id", "left").groupBy("entry").agg(F.collect_list(F.struct("id", F.coalesce("kids", none).alias("kids"))).alias("answers"))  # at most ``most``
+        state = cut(state.drop("ask").join(answers, "entry").mapInArrow(go_on, _STATE_SQL))
+        parts.append(state.select("entry", F.inline("steps")))
+        state = state.where(F.size("ask") > 0).drop("steps")
+        if state.isEmpty():
             break
-    steps = cut(state.mapInArrow(run(True), "entry string, step int, id string, depth int, parent int"))
+    steps = cut(reduce(DataFrame.unionByName, parts))
     before = steps.select("entry", F.col("step").alias("parent"), F.col("id").alias("src"))
     of = calls.select("src", F.col("dst").alias("id"), "site", "branch", "tier")
     return steps.join(before, ["entry", "parent"], "left").join(of, ["src", "id"], "left").select("entry", "step", "id", "depth", "parent", F.coalesce("site", F.lit(0)).alias("site"), "branch", "tier")
