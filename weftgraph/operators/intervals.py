@@ -46,3 +46,14 @@ def longest_prefix(paths: DataFrame, modules: DataFrame) -> DataFrame:
     prefixes = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("module"))
     best = prefixes.join(modules.select("module").distinct(), "module").groupBy("path").agg(F.max_by("module", F.length("module")).alias("module"))
     return paths.join(best, "path", "left")
+
+
+def overlapping_lines(spans: DataFrame, ranges: DataFrame, on: list[str], width: int = 256) -> DataFrame:
+    """``spans`` (``first, last``) with each row of ``ranges`` (``ra, rb``) of the same keys that touches them, ends included.
+
+    As :func:`overlapping`, on lines: a pair meets in the bins of ``width`` lines that both touch and counts in the one where the later begins. A span or
+    range without an end, or that ends before it begins, touches nothing.
+    """
+    binned = lambda df, a, b: df.where(F.col(a) <= F.col(b)).withColumn("_bin", F.explode(F.sequence(F.expr(f"{a} div {width}"), F.expr(f"{b} div {width}"))))
+    both = binned(spans, "first", "last").join(binned(ranges, "ra", "rb"), [*on, "_bin"])
+    return both.where((F.col("ra") <= F.col("last")) & (F.col("rb") >= F.col("first")) & (F.expr(f"greatest(first, ra) div {width}") == F.col("_bin"))).drop("_bin")

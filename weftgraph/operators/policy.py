@@ -12,11 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.intervals import overlapping_lines
 from weftgraph.operators.ranking import smallest_k
 
 #: from free to out of sight
 LEVELS = ("open", "scope", "locked", "hidden")
 OPEN, SCOPE, LOCKED, HIDDEN = range(4)
+#: where this engine's own configuration lies
+OWN = (".weftgraph", "weftgraph.toml", "**/.weftgraph/**")
 
 
 @dataclass(frozen=True)
@@ -139,3 +142,20 @@ def area_fence(files: DataFrame, rules: list[Rule], area: str) -> DataFrame:
     """``area, level``: the level most of an area's files have, ties to the stricter."""
     counts = verdicts(files, rules).groupBy(area, "level").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(area).agg(F.max(F.struct("n", "level")).alias("m")).select(area, "m.level")
+
+
+def with_own(rules: list[Rule], globs: tuple[str, ...] = OWN) -> list[Rule]:
+    """The rules and, before all of them, the one that locks the configuration that they come from."""
+    return [Rule("own configuration", LOCKED, globs=globs, reason="rules are changed by people"), *rules]
+
+
+def touched_verdicts(ranges: DataFrame, spans: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``change, path, symbols, level, rule`` of changes ``change, path, ra, rb``: the strictest verdict over a file and the symbols whose lines were touched.
+
+    ``spans``: ``path, symbol, first, last``. A file that no span was touched in is judged by its path alone, with no symbols; ties go to the first rule.
+    """
+    met = overlapping_lines(spans, ranges, ["path"]).select("change", "path", "symbol")
+    both = met.unionByName(ranges.select("change", "path", F.lit(None).cast("string").alias("symbol"))).distinct()
+    judged = both.withColumn("_d", decide(rules, F.col("path"), F.col("symbol")))
+    worst = judged.groupBy("change", "path").agg(F.count("symbol").alias("symbols"), F.max("_d").alias("_d"))
+    return worst.select("change", "path", "symbols", F.coalesce("_d.level", F.lit(OPEN)).alias("level"), F.coalesce("_d.rule", F.lit("-")).alias("rule"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import communities, ledger, levels, linking, resolution, scoped
+from weftgraph.operators import communities, ledger, levels, linking, policy, resolution, scoped
 from weftgraph.plans.graph_queries import _MATRIX
+from weftgraph.plans.policy_queries import _V, RULES
 from weftgraph.plans.resolution_queries import _NO, _name
 from weftgraph.session import cut, read_table
 from weftgraph.sources import bindings, code_files, definitions, rust_paths, table_use
@@ -169,6 +170,44 @@ def undeclared_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.package_report(imports, targets, code_files.manifest_deps(manifests).select("ecosystem", "name"))
 
 
+_CARGO = """[package]
+name = "n%1$s"
+[[bin]]
+name = "run%1$s"
+path = "tools/r%1$s.rs"
+[[bin]]
+name = 'plain%1$s'
+[dependencies]
+name = "none"
+"""
+_PYPROJECT = """[project]
+name = "s%1$s"
+[project.scripts]
+go%1$s = "pkg.cli:main%1$s"
+bare%1$s = "pkg.other"
+[tool.x]
+no = "a:b"
+"""
+
+
+def declared_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs of nations and suppliers; only suppliers with an even number have the file of theirs."""
+    s, n = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation")
+    files = n.select(_name("n%s/Cargo.toml", "n_nationkey").alias("path"), _name(_CARGO, "n_nationkey").alias("text"))
+    files = files.union(s.select(_name("s%s/pyproject.toml", "s_suppkey"), _name(_PYPROJECT, "s_suppkey"))).union(s.where("s_suppkey % 2 = 0").select(_name("s%s/src/pkg/cli.py", "s_suppkey"), F.lit("")))
+    return code_files.declared_entries(files)
+
+
+def guarded_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders change the lines of their parts in the files of brands; a part has 50 lines and its name."""
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", F.lit("part"), "p_type", "p_brand").alias("path"), F.col("p_name").alias("symbol"))
+    spans = part.select("path", "symbol", (F.col("p_partkey") * 100).alias("first"), (F.col("p_partkey") * 100 + 49).alias("last"))
+    lines = read_table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    start = F.col("l_partkey") * 100 + F.col("l_linenumber")
+    ranges = lines.select(F.col("l_orderkey").alias("change"), "path", start.alias("ra"), (start + F.col("l_quantity").cast("long")).alias("rb"))
+    return policy.touched_verdicts(ranges, spans, policy.with_own(RULES))
+
+
 def ledger_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as the states of a slice: errors are refusals, signups rejections, large ones for their tests."""
     events = read_table(spark, sf_dir, "events")
@@ -238,6 +277,10 @@ s AS (SELECT run, c.slice, CASE last WHEN 'purchase' THEN 'passed' WHEN 'signup'
   coalesce(refusals, 0) AS refusals, tokens, 0.0::DOUBLE AS cost, duration_ms, last = 'purchase' AS passed FROM c LEFT JOIN r USING (slice))
 SELECT *, round(40.0::DOUBLE * passed::INT + 20.0 * coalesce(tests, passed)::INT + 15.0 * (1.0::DOUBLE / (1 + refusals)) + 10.0 * (1.0::DOUBLE / greatest(attempts, 1)) + 10.0 * (CASE WHEN tokens = 0 THEN 0.5 ELSE 1.0::DOUBLE / (1 + tokens / 200000.0::DOUBLE) END)
   + 5.0 * (1.0::DOUBLE / (1 + duration_ms / 1800000.0::DOUBLE)), 1) AS score FROM s""",
+    "declared_entries": """SELECT 'run' || n_nationkey AS symbol, 'n' || n_nationkey || '/tools/r' || n_nationkey || '.rs' AS file FROM nation UNION ALL SELECT 'plain' || n_nationkey, 'n' || n_nationkey || '/src/bin/plain' || n_nationkey || '.rs' FROM nation
+UNION ALL SELECT 'main' || s_suppkey, 's' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '/src/pkg/cli.py' ELSE '/pyproject.toml' END FROM supplier UNION ALL SELECT 'bare' || s_suppkey, 's' || s_suppkey || '/pyproject.toml' FROM supplier""",
+    "guarded_edits": f"""WITH {_V} SELECT l_orderkey AS change, path, count(DISTINCT symbol) AS symbols, max(level) AS level, coalesce(arg_max(rule, level * 10 - CASE rule WHEN 'economy' THEN 0 WHEN 'bolts' THEN 1 WHEN 'first brands' THEN 2 WHEN 'tenth brands' THEN 3 ELSE 9 END), '-') AS rule
+FROM lineitem JOIN v ON v.id = 'part:' || l_partkey GROUP BY 1, 2""",
     "ledger_copies": """WITH l AS (SELECT user_id AS id, event_type, max(event_id) AS ended FROM events GROUP BY 1, 2)
 SELECT id, event_type, ended FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY (event_type = 'click' AND id % 3 = 0) DESC, ended DESC, event_type DESC) = 1""",
     "used_models": """SELECT 'py/s' || s_suppkey || '.py' AS path, unnest(['listed', 'told', 'told']) AS symbol, unnest(['nation_' || s_nationkey, 'nation_' || s_nationkey, 'shop_' || s_suppkey]) AS "table", unnest([3, 5, 5])::INT AS line FROM supplier""",

@@ -164,3 +164,33 @@ def numstat(patches: DataFrame, private: tuple[str, ...] = ()) -> DataFrame:
     for folder in private:
         rows = rows.where(~F.col("path").startswith(folder.rstrip("/") + "/"))
     return rows.groupBy("patch").agg(F.count(F.lit(1)).alias("paths"), F.sum("a").alias("added"), F.sum("r").alias("removed"))
+
+
+# Where manifests declare programs, and where their files may lie.
+_BIN = r"(?ms)^\[\[bin\]\][^\n]*\n(.*?)(?=^\[|\z)"
+_SCRIPTS = r"(?ms)^\[(?:project|tool\.poetry)\.scripts\][^\n]*\n(.*?)(?=^\[|\z)"
+_PAIR = r"(?m)^\s*[\"']?([\w.-]+)[\"']?\s*=\s*[\"']([^\"'\n]+)[\"']"
+PLACES = ("{}.py", "src/{}.py", "{}/__init__.py", "src/{}/__init__.py")
+
+
+def declared_entries(files: DataFrame) -> DataFrame:
+    """``symbol, file`` of the programs that Cargo.toml and pyproject.toml among ``path, text`` declare, each once.
+
+    A program of Cargo without a path is ``src/bin/<name>.rs`` beside its manifest. A script of Python is a function of the first file of :data:`PLACES` that there
+    is; if there is none, the manifest stands for it.
+    """
+    text, folder = F.coalesce(F.col("text"), F.lit("")), F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
+    value = lambda part, name: F.regexp_extract(part, rf"(?m)^\s*{name}\s*=\s*[\"']([^\"'\n]+)[\"']", 1)
+    bins = files.where(r"path rlike '(^|/)Cargo\\.toml$'").select(folder.alias("folder"), F.explode(F.regexp_extract_all(text, F.lit(_BIN), F.lit(1))).alias("part"))
+    bins = bins.select("folder", value(F.col("part"), "name").alias("symbol"), value(F.col("part"), "path").alias("at")).where("symbol <> ''")
+    bins = bins.select("symbol", F.concat("folder", F.when(F.col("at") != "", F.col("at")).otherwise(F.concat(F.lit("src/bin/"), "symbol", F.lit(".rs")))).alias("file"))
+    parts = files.where(r"path rlike '(^|/)pyproject\\.toml$'").select("path", folder.alias("folder"), F.explode(F.regexp_extract_all(text, F.lit(_SCRIPTS), F.lit(1))).alias("part"))
+    pairs = F.arrays_zip(*[F.regexp_extract_all("part", F.lit(_PAIR), F.lit(k + 1)).alias(n) for k, n in enumerate(("script", "target"))])
+    scripts = parts.select("path", "folder", F.inline(pairs))
+    module, function = F.trim(F.substring_index("target", ":", 1)), F.regexp_extract("target", r"^[^:]*:(.*)$", 1)
+    symbol = F.trim(F.when(F.col("target").contains(":"), function).otherwise(F.col("script")))
+    places = F.array(*[F.concat(F.col("folder"), F.lit(place.partition("{}")[0]), F.translate(module, ".", "/"), F.lit(place.partition("{}")[2])) for place in PLACES])
+    asked = scripts.select("path", symbol.alias("symbol"), F.posexplode(places).alias("rank", "file")).distinct()
+    there = asked.join(files.select(F.col("path").alias("file")).distinct(), "file").groupBy("path", "symbol").agg(F.min_by("file", "rank").alias("file"))
+    found = asked.select("path", "symbol").distinct().join(there, ["path", "symbol"], "left").select("symbol", F.coalesce("file", "path").alias("file"))
+    return bins.union(found).distinct()
