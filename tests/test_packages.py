@@ -48,3 +48,42 @@ def test_file_copies_win(spark):
     documents = spark.createDataFrame([("a", 9, "doc"), ("b", 1, "doc"), ("b", 2, "doc2")], schema)
     files = spark.createDataFrame([("a", 1, "file"), ("c", None, "file")], schema)
     assert sorted(map(tuple, ledger.ledger_copies(files, documents).collect()), key=str) == [("a", 1, "file"), ("b", 2, "doc2"), ("c", None, "file")]
+
+
+def test_declared_programs(spark):
+    from weftgraph.sources import code_files
+
+    files = [
+        ("Cargo.toml", "[[bin]]\nname = \"a\"\n\n[[bin]]\npath = \"x.rs\"\nname = 'b'\n[lib]\nname = \"no\"\n"), ("k/Cargo.toml", "[[bin]]\npath = 'only.rs'\n"), ("k/NotCargo.toml", "[[bin]]\nname = 'no'\n"),
+        ("p/pyproject.toml", "[project.scripts]\nrun = \"pkg.cli:main\"\n\"two-b\" = \"pkg\"\n[tool.poetry.scripts]\nthree = 'gone.mod : f '\n[other]\nno = 'x:y'\n"), ("p/src/pkg/cli.py", ""), ("p/pkg/__init__.py", None), ("p/src/pkg/__init__.py", ""), ("q/pyproject.toml", None),
+    ]
+    got = code_files.declared_entries(spark.createDataFrame(files, "path string, text string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "src/bin/a.rs"), ("b", "x.rs"), ("f", "p/pyproject.toml"), ("main", "p/src/pkg/cli.py"), ("two-b", "p/pkg/__init__.py")]
+
+
+def test_changes_are_judged_by_the_symbols_they_touch(spark):
+    from weftgraph.operators import policy
+
+    rules = policy.with_own([policy.Rule("symbols", policy.SCOPE, symbols=("f", "g")), policy.Rule("core", policy.HIDDEN, globs=("core",))])
+    spans = [("a.py", "f", 10, 900), ("a.py", "g", 300, 310), ("a.py", "h", 1, 9), ("a.py", "broken", 5, None), ("core/x.py", "f", 1, 5)]
+    ranges = [(1, "a.py", 9, 9), (2, "a.py", 9, 10), (3, "a.py", 255, 305), (4, "core/x.py", 7, 8), (5, ".weftgraph/rules", 1, 1), (6, "a.py", 950, None), (7, "a.py", 256, 256), (7, "a.py", 900, 2000)]
+    got = policy.touched_verdicts(spark.createDataFrame(ranges, "change int, path string, ra long, rb long"), spark.createDataFrame(spans, "path string, symbol string, first long, last long"), rules)
+    assert sorted(map(tuple, got.collect())) == [
+        (1, "a.py", 1, 0, "-"), (2, "a.py", 2, 1, "symbols"), (3, "a.py", 2, 1, "symbols"), (4, "core/x.py", 0, 3, "core"), (5, ".weftgraph/rules", 0, 2, "own configuration"), (6, "a.py", 0, 0, "-"), (7, "a.py", 1, 1, "symbols"),
+    ]
+
+
+def test_synopses_fit_a_page(spark):
+    rows = [("r", "b", "rejected", False, 2, 1, 0, False, 10.0), ("r", "a", "passed", True, 1, 0, 7, True, 90.25), ("s", "x", "failed", None, 0, 3, 0, False, 5.0)]
+    seats = spark.createDataFrame(rows, "run string, slice string, verdict string, tests boolean, attempts long, refusals long, tokens long, passed boolean, score double")
+    lines = ledger.synopses(seats)
+    got = {}
+    for r in lines.orderBy("run", "no").collect():
+        got.setdefault(r.run, []).append(r.text)
+    assert got == {
+        "r": ["1 of 2 seats passed, score 50.1, 7 tokens", "a passed", "b rejected, 2 attempts, 1 refusal by fences, tests failed", "Fences held on b"],
+        "s": ["0 of 1 seats passed, score 5.0", "x failed, 3 refusals by fences", "Fences held on x"],
+    }
+    most = len("\n".join(got["r"][:2]))
+    assert sorted((r.run, r.no) for r in ledger.one_page(lines, "run", most).collect()) == [("r", 0), ("r", 1), ("s", 0)]
+    assert ledger.one_page(lines, "run", most - 1).where("run = 'r'").count() == 1

@@ -10,6 +10,8 @@ from weftgraph.operators.ranking import smallest_k
 
 #: fixed values: share of each part in a seat's score of 100
 WEIGHTS = {"gate": 40.0, "tests": 20.0, "refusals": 15.0, "retries": 10.0, "cost": 10.0, "duration": 5.0}
+#: fixed value: 1500 tokens of four letters
+PAGE_LETTERS = 6000
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
@@ -140,3 +142,26 @@ def ledger_copies(files: DataFrame, documents: DataFrame) -> DataFrame:
     both = documents.withColumn("_rank", F.lit(0)).unionByName(files.select(documents.columns).withColumn("_rank", F.lit(1)))
     best = both.groupBy("id").agg(F.max(F.struct("_rank", "ended", *[n for n in names if n != "ended"])).alias("_b"))
     return best.select("id", *[F.col("_b")[n].alias(n) for n in names])
+
+
+def synopses(seats: DataFrame) -> DataFrame:
+    """``run, no, text``: what became of each run of :func:`ledger_seats`, as lines: a headline, a line a slice, and where fences held."""
+    some = lambda n, one, many: F.concat_ws(" ", n.cast("string"), F.when(n == 1, one).otherwise(many))
+    whole = seats.groupBy("run").agg(
+        F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("seats"), F.round(F.avg("score"), 1).alias("score"), F.sum("tokens").alias("tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("refusals") > 0, F.col("slice")))).alias("held"),  # as many as a plan has slices
+    )
+    head = F.concat_ws(", ", F.format_string("%d of %d seats passed", "passed", "seats"), F.format_string("score %.1f", "score"), F.when(F.col("tokens") > 0, some(F.col("tokens"), "token", "tokens")))
+    line = F.concat_ws(
+        ", ", F.concat_ws(" ", F.col("slice").cast("string"), "verdict"), F.when(F.col("attempts") > 1, some(F.col("attempts"), "attempt", "attempts")),
+        F.when(F.col("refusals") > 0, F.concat(some(F.col("refusals"), "refusal", "refusals"), F.lit(" by fences"))), F.when(~F.col("tests"), "tests failed"),
+    )
+    lines = seats.select("run", F.row_number().over(Window.partitionBy("run").orderBy("slice")).cast("long").alias("no"), line.alias("text"))
+    fences = whole.where(F.size("held") > 0).select("run", F.col("seats") + 1, F.concat(F.lit("Fences held on "), F.array_join(F.transform("held", lambda s: s.cast("string")), ", ")))
+    return whole.select("run", F.lit(0).cast("long").alias("no"), head.alias("text")).union(lines).union(fences)
+
+
+def one_page(lines: DataFrame, key: str, most: int = PAGE_LETTERS) -> DataFrame:
+    """``lines`` (``key, no, text``) of each key as far as they fit, with their line ends, into ``most`` letters: cut on a line, and nothing follows the first that doesn't fit."""
+    upto = Window.partitionBy(key).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("_upto", F.sum(F.length("text") + 1).over(upto) - 1).where(F.col("_upto") <= most).drop("_upto")

@@ -217,6 +217,11 @@ def ledger_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.ledger_seats(changes, rows.where("event_type = 'error'"))
 
 
+def run_synopses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 300 letters of what became of each run."""
+    return ledger.one_page(ledger.synopses(ledger_seats(spark, sf_dir)), "run", 300)
+
+
 def ledger_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and type as a run's copy: clicks of every third user are files."""
     last = read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), "event_type").agg(F.max("event_id").alias("ended"))
@@ -247,6 +252,13 @@ _OWN = "lab[k % n + 1]"
 _SCORE = f"round(list_sum(list_transform({_NEAR}, lambda x: CASE WHEN lab[x.b] = c THEN x.w ELSE 0 END)) + CASE WHEN {_OWN} = c THEN 0.05 ELSE 0 END, 6)"
 _REACH = "SELECT src, dst FROM {0} UNION SELECT {1}.src, {0}.dst FROM {1} JOIN {0} ON {1}.dst = {0}.src"
 _CLASSES = "SELECT id, min(least(id, other)) AS component FROM (SELECT x.src AS id, x.dst AS other FROM {0} x JOIN {0} y ON x.src = y.dst AND x.dst = y.src) GROUP BY 1"
+_SEATS_SQL = """WITH e AS (SELECT user_id % 20 AS run, user_id AS slice, epoch_us(ts) // 1000 AS t, event_type, value FROM events),
+c AS (SELECT run, slice, arg_max(event_type, t) AS last, count(*) FILTER (event_type = 'click') AS attempts, bool_or(event_type = 'signup' AND value > 300) AS blamed, sum(floor(value))::BIGINT AS tokens, max(t) - min(t) AS duration_ms FROM e WHERE event_type <> 'error' GROUP BY 1, 2),
+r AS (SELECT slice, count(*) AS refusals FROM e WHERE event_type = 'error' GROUP BY 1),
+s AS (SELECT run, c.slice, CASE last WHEN 'purchase' THEN 'passed' WHEN 'signup' THEN 'rejected' ELSE 'failed' END AS verdict, CASE WHEN last = 'purchase' THEN true WHEN blamed THEN false END AS tests, attempts,
+  coalesce(refusals, 0) AS refusals, tokens, 0.0::DOUBLE AS cost, duration_ms, last = 'purchase' AS passed FROM c LEFT JOIN r USING (slice))
+SELECT *, round(40.0::DOUBLE * passed::INT + 20.0 * coalesce(tests, passed)::INT + 15.0 * (1.0::DOUBLE / (1 + refusals)) + 10.0 * (1.0::DOUBLE / greatest(attempts, 1)) + 10.0 * (CASE WHEN tokens = 0 THEN 0.5 ELSE 1.0::DOUBLE / (1 + tokens / 200000.0::DOUBLE) END)
+  + 5.0 * (1.0::DOUBLE / (1 + duration_ms / 1800000.0::DOUBLE)), 1) AS score FROM s"""
 _LINES = "(VALUES ('crate::n%::f%', 0, 'f%'), ('n%::f%', 0, 'f%'), ('T::make', 0, 'make'), ('low', 1, 'leaf'), ('deep::leaf', 1, 'leaf'), ('crate::n%::l%', 1, 'leaf')) AS l(asked, deep, name)"
 ORACLES = {
     "scoped_targets": f"""SELECT 'k/src/s' || s_suppkey || '.rs' AS path, replace(asked, '%', s_nationkey::VARCHAR) AS asked, 'k/src/n' || s_nationkey || CASE WHEN deep = 1 THEN '/deep' ELSE '' END || '.rs:' || replace(name, '%', s_nationkey::VARCHAR) AS id FROM supplier, {_LINES}
@@ -270,13 +282,13 @@ SELECT component, members, array_to_string(loop, '>') AS loop FROM new JOIN f US
     "undeclared_packages": f"""SELECT 'pypi' AS ecosystem, 'nation_' || s_nationkey AS name, count(*) AS files, 'used' AS state FROM supplier GROUP BY s_nationkey
 UNION ALL SELECT 'pypi', 'idle_' || s_suppkey, 0, 'unused' FROM supplier UNION ALL SELECT 'pypi', 'sup_' || s_suppkey, 1, 'undeclared' FROM supplier
 UNION ALL SELECT 'npm', 'brand' || {_NO}, count(*), 'used' FROM part GROUP BY p_brand UNION ALL SELECT 'npm', '@x/p' || p_partkey, 1, 'undeclared' FROM part""",
-    "ledger_seats": """WITH e AS (SELECT user_id % 20 AS run, user_id AS slice, epoch_us(ts) // 1000 AS t, event_type, value FROM events),
-c AS (SELECT run, slice, arg_max(event_type, t) AS last, count(*) FILTER (event_type = 'click') AS attempts, bool_or(event_type = 'signup' AND value > 300) AS blamed, sum(floor(value))::BIGINT AS tokens, max(t) - min(t) AS duration_ms FROM e WHERE event_type <> 'error' GROUP BY 1, 2),
-r AS (SELECT slice, count(*) AS refusals FROM e WHERE event_type = 'error' GROUP BY 1),
-s AS (SELECT run, c.slice, CASE last WHEN 'purchase' THEN 'passed' WHEN 'signup' THEN 'rejected' ELSE 'failed' END AS verdict, CASE WHEN last = 'purchase' THEN true WHEN blamed THEN false END AS tests, attempts,
-  coalesce(refusals, 0) AS refusals, tokens, 0.0::DOUBLE AS cost, duration_ms, last = 'purchase' AS passed FROM c LEFT JOIN r USING (slice))
-SELECT *, round(40.0::DOUBLE * passed::INT + 20.0 * coalesce(tests, passed)::INT + 15.0 * (1.0::DOUBLE / (1 + refusals)) + 10.0 * (1.0::DOUBLE / greatest(attempts, 1)) + 10.0 * (CASE WHEN tokens = 0 THEN 0.5 ELSE 1.0::DOUBLE / (1 + tokens / 200000.0::DOUBLE) END)
-  + 5.0 * (1.0::DOUBLE / (1 + duration_ms / 1800000.0::DOUBLE)), 1) AS score FROM s""",
+    "ledger_seats": _SEATS_SQL,
+    "run_synopses": f"""WITH q AS ({_SEATS_SQL}),
+l AS (SELECT run, 0::BIGINT AS no, count(*) FILTER (passed) || ' of ' || count(*) || ' seats passed, score ' || printf('%.1f', round(avg(score), 1)) || CASE WHEN sum(tokens) > 0 THEN ', ' || sum(tokens) || CASE WHEN sum(tokens) = 1 THEN ' token' ELSE ' tokens' END ELSE '' END AS text FROM q GROUP BY 1
+UNION ALL SELECT run, row_number() OVER (PARTITION BY run ORDER BY slice), slice || ' ' || verdict || CASE WHEN attempts > 1 THEN ', ' || attempts || ' attempts' ELSE '' END
+  || CASE WHEN refusals > 0 THEN ', ' || refusals || CASE refusals WHEN 1 THEN ' refusal' ELSE ' refusals' END || ' by fences' ELSE '' END || CASE WHEN NOT coalesce(tests, true) THEN ', tests failed' ELSE '' END FROM q
+UNION ALL SELECT run, count(*) + 1, 'Fences held on ' || string_agg(CASE WHEN refusals > 0 THEN slice::VARCHAR END, ', ' ORDER BY slice) FROM q GROUP BY 1 HAVING sum(refusals) > 0)
+SELECT run, no, text FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY run ORDER BY no) - 1 AS upto FROM l) WHERE upto <= 300""",
     "declared_entries": """SELECT 'run' || n_nationkey AS symbol, 'n' || n_nationkey || '/tools/r' || n_nationkey || '.rs' AS file FROM nation UNION ALL SELECT 'plain' || n_nationkey, 'n' || n_nationkey || '/src/bin/plain' || n_nationkey || '.rs' FROM nation
 UNION ALL SELECT 'main' || s_suppkey, 's' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '/src/pkg/cli.py' ELSE '/pyproject.toml' END FROM supplier UNION ALL SELECT 'bare' || s_suppkey, 's' || s_suppkey || '/pyproject.toml' FROM supplier""",
     "guarded_edits": f"""WITH {_V} SELECT l_orderkey AS change, path, count(DISTINCT symbol) AS symbols, max(level) AS level, coalesce(arg_max(rule, level * 10 - CASE rule WHEN 'economy' THEN 0 WHEN 'bolts' THEN 1 WHEN 'first brands' THEN 2 WHEN 'tenth brands' THEN 3 ELSE 9 END), '-') AS rule
