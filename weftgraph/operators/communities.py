@@ -73,7 +73,7 @@ def communities(edges: DataFrame, most_rounds: int = MOST_ROUNDS, self_weight: f
     return state.select("id", "label", F.lit(rounds).alias("rounds"))
 
 
-def witness_loops(edges: DataFrame, components: DataFrame, most_steps: int = 200) -> DataFrame:
+def witness_loops(edges: DataFrame, components: DataFrame, most_steps: int = 10_000) -> DataFrame:
     """``component, loop``: the shortest loop of each component through its smallest node, the first of several; ``loop`` begins and ends with it.
 
     All components are walked side by side, a join a step; of the ways to a node only the first goes on. Loops of over ``most_steps`` raise.

@@ -21,7 +21,7 @@ def overlapping(spans: DataFrame, ranges: DataFrame, on: str, width: int = BIN)
     """``id, a, b, range_id`` of spans ``id, a, b`` that a range ``range_id, ra, rb`` of the same key touches.
 
     Both meet in the bins that they share, and a pair counts in the bin where the later of them begins, so each is
-    found once. A key with very many spans is dealt by bins. A span that ends before it begins is touched by what holds both its ends.
+    found once. A key with very many spans is dealt by bins. A span or range with a null end is in no bin and touches nothing. A span that ends before it begins is touched by what holds both its ends.
     """
     both = _binned(spans, "a", "b", width).join(_binned(ranges, "ra", "rb", width), [on, "_bin"])
     here = _bin(F.greatest(F.least("a", "b"), F.least("ra", "rb")), width) == F.col("_bin")

@@ -93,7 +93,7 @@ def label_propagation(edges: DataFrame, rounds: int, self_weight: float = 0.05)
     return labels
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """``id, component``: nodes on a cycle with the smallest node of their class of mutual reachability.
 
     Colouring: every node takes the smallest node that reaches it; those of a colour that reach its first node back are

@@ -89,7 +89,7 @@ def module_report(matrix: DataFrame) -> DataFrame:
     return both.select("module", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("depends_on", "used_by")])
 
 
-def reaches(edges: DataFrame, a: str, b: str, most_steps: int = 50) -> bool:
+def reaches(edges: DataFrame, a: str, b: str, most_steps: int = 10_000) -> bool:
     """Whether ``b`` can be reached from ``a``; a new edge b to a would then close a loop. Only the frontier is joined."""
     arcs = cut(edges.select("src", "dst").distinct().repartition("src"))
     seen = front = arcs.sparkSession.createDataFrame([(a,)], "id string")

@@ -12,6 +12,9 @@ from weftgraph.session import cut
 
 #: a plan has a slice a module; beyond so many it is refused
 MOST_SLICES = 10_000
+# How many areas a tree is cut into, and how many groups of folders there are, of which none should hold more than its share.
+ENOUGH_AREAS, MOST_AREAS = 18, 28
+MOST_GROUPS, GROUP_SHARE, EXTRA_GROUPS = 12, 0.3, 4
 
 
 def slices(hits: DataFrame, module_of: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def in_order(plan: DataFrame, most: int = MOST_SLICES) -> DataFrame:
     return plan.sparkSession.createDataFrame(list(enumerate(done)), "step int, id string")
 
 
-def territories(files: DataFrame, enough: int = 18, most: int = 28) -> DataFrame:
+def territories(files: DataFrame, enough: int = ENOUGH_AREAS, most: int = MOST_AREAS) -> DataFrame:
     """``area, files``: a tree of ``path`` cut into folders, the largest split into its children until there are ``enough``.
 
     A split that would give over ``most`` areas is not made. A file belongs to the deepest area that holds it; areas
@@ -100,7 +103,7 @@ def typed_links(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("kind in ('CALLS', 'IMPORTS')").join(a, "src").join(b, "dst").select("src", "dst", "src_file", "dst_file", base.alias("base"))
 
 
-def groups(files: DataFrame, most: int = 12, share: float = 0.3, extra: int = 4) -> DataFrame:
+def groups(files: DataFrame, most: int = MOST_GROUPS, share: float = GROUP_SHARE, extra: int = EXTRA_GROUPS) -> DataFrame:
     """``grp, files``: files ``path`` by folder, where a group with ``share`` of all files or more is split into its subfolders.
 
     At most ``most`` groups come of it. A folder without subfolders that still holds ``share`` is shown as its files, if these

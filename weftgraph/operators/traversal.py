@@ -45,16 +45,21 @@ def one_seed(edges: DataFrame, root: str) -> DataFrame:
     return edges.sparkSession.createDataFrame([(root, root)], "seed string, id string")
 
 
+# From how many hits, direct hits, groups, touched and affected nodes on a risk is high or medium.
+HIGH_HITS, HIGH_GROUPS, MEDIUM_DIRECT, MEDIUM_HITS = 40, 5, 5, 12
+HIGH_AFFECTED, MEDIUM_TOUCHED, MEDIUM_AFFECTED = 40, 10, 10
+
+
 def risk_of_hits(hits: Column, direct: Column, groups: Column) -> Column:
     """Risk of one root by how much it reaches."""
     return (
-        F.when((hits >= 40) | (groups >= 5), "high").when((direct >= 5) | (hits >= 12), "medium").when(hits == 0, "none").otherwise("low")
+        F.when((hits >= HIGH_HITS) | (groups >= HIGH_GROUPS), "high").when((direct >= MEDIUM_DIRECT) | (hits >= MEDIUM_HITS), "medium").when(hits == 0, "none").otherwise("low")
     )
 
 
 def risk_of_change(touched: Column, affected: Column) -> Column:
     """Risk of a set of changes."""
-    return F.when(affected >= 40, "high").when((touched >= 10) | (affected >= 10), "medium").when((touched == 0) & (affected == 0), "none").otherwise("low")
+    return F.when(affected >= HIGH_AFFECTED, "high").when((touched >= MEDIUM_TOUCHED) | (affected >= MEDIUM_AFFECTED), "medium").when((touched == 0) & (affected == 0), "none").otherwise("low")
 
 
 def impact_summary(hits: DataFrame, groups: DataFrame) -> DataFrame:

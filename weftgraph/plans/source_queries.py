@@ -54,6 +54,34 @@ def scoped_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoped.scoped_targets(calls.select("path", "asked"), files, defs, rust_paths.uses(files), rust_paths.declared_modules(files))
 
 
+def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file of each module of the crate, by its folder."""
+    files = _crate(spark, sf_dir)
+    return scoped.modules(files, rust_paths.declared_modules(files))
+
+
+_ENV = """# NO_%1$s=1
+NATION_%1$s=1
+ KEY_%2$s = x
+bad key=1
+
+BARE_%2$s
+"""
+
+
+def env_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An example of environment keys a supplier."""
+    s = read_table(spark, sf_dir, "supplier")
+    return code_files.env_example(s.select(_name("s%s/.env.example", "s_suppkey").alias("path"), _name(_ENV, "s_nationkey", "s_suppkey").alias("text")))
+
+
+def merged_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls: finished ones are proven, urgent ones inferred through an interface, and all have a guess by name."""
+    o = read_table(spark, sf_dir, "orders").withColumn("site", F.col("o_orderkey"))
+    named = o.select("site", F.col("o_orderpriority").alias("id"), F.lit(0.5).alias("weight"), F.lit(0).alias("tier"))
+    return resolution.merged_calls(o.where("o_orderstatus = 'F'").select("site", F.lit("proven").alias("id")), o.where("o_orderpriority = '1-URGENT'").select("site", F.lit("soft").alias("id")), named)
+
+
 _BRAND = """export class B%1$s {
   price() {
     return 1;
@@ -296,6 +324,11 @@ FROM lineitem JOIN v ON v.id = 'part:' || l_partkey GROUP BY 1, 2""",
     "ledger_copies": """WITH l AS (SELECT user_id AS id, event_type, max(event_id) AS ended FROM events GROUP BY 1, 2)
 SELECT id, event_type, ended FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY (event_type = 'click' AND id % 3 = 0) DESC, ended DESC, event_type DESC) = 1""",
     "used_models": """SELECT 'py/s' || s_suppkey || '.py' AS path, unnest(['listed', 'told', 'told']) AS symbol, unnest(['nation_' || s_nationkey, 'nation_' || s_nationkey, 'shop_' || s_suppkey]) AS "table", unnest([3, 5, 5])::INT AS line FROM supplier""",
+    "module_files": """SELECT 'k/src' AS base, 'k/src/lib.rs' AS file UNION ALL SELECT 'k/src/n' || n_nationkey, 'k/src/n' || n_nationkey || '.rs' FROM nation
+UNION ALL SELECT 'k/src/n' || n_nationkey || '/deep', 'k/src/n' || n_nationkey || '/deep.rs' FROM nation UNION ALL SELECT 'k/src/s' || s_suppkey, 'k/src/s' || s_suppkey || '.rs' FROM supplier""",
+    "env_templates": """SELECT 's' || s_suppkey || '/.env.example' AS path, unnest(['NATION_' || s_nationkey, 'KEY_' || s_suppkey, 'BARE_' || s_suppkey]) AS key, unnest([2, 3, 6])::BIGINT AS line FROM supplier""",
+    "merged_targets": """SELECT o_orderkey AS site, CASE WHEN o_orderstatus = 'F' THEN 'proven' WHEN o_orderpriority = '1-URGENT' THEN 'soft' ELSE o_orderpriority END AS id,
+  CASE WHEN o_orderstatus = 'F' OR o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.5 END::DOUBLE AS weight, CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS tier FROM orders""",
     "typed_calls": """WITH p AS (SELECT p_partkey AS k, regexp_extract(p_brand, '([0-9]+)$', 1) AS b, (p_size % 5 + 1)::VARCHAR || (p_partkey % 5 + 1)::VARCHAR AS c FROM part)
 SELECT 'web/p' || k || '.ts:3' AS site, 'web/b' || b || '.ts:B' || b AS id, 2 AS rule FROM p
 UNION ALL SELECT 'web/p' || k || '.ts:6', 'web/b' || b || '.ts:B' || b || '.price', 4 FROM p
