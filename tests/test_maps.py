@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
 from weftgraph.operators import intervals, levels, maps, naming, traversal
+from weftgraph.sources import projection
 
 
 def one(spark, column, *values):
@@ -79,6 +80,30 @@ def test_reach_counts_a_node_once_even_in_loops(spark):
     assert {r.entry: r.reach for r in traversal.flow_reach(edges).collect()} == {"f": 4}
 
 
+def test_reach_by_arrays_equals_reach_by_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    pairs = sorted({(f"n{rng.randrange(40):02d}", f"n{rng.randrange(8, 40):02d}") for _ in range(120)})
+    after = {a: {b for x, b in pairs if x == a} for a, _ in pairs}
+    want = {}
+    for entry in (a for a in after if len(after[a]) > 1 and all(b != a for _, b in pairs)):
+        met, front = set(), {entry}
+        for _ in range(4):
+            front = set().union(*(after.get(n, set()) for n in front))
+            met |= front
+        want[entry] = len(met)
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    assert len(want) > 3
+    for most in (10_000, 60, 0):  # arrays alone, both ways, pairs alone
+        assert {r.entry: r.reach for r in traversal.flow_reach(edges, most=most).collect()} == want
+
+
+def test_numbered_nodes_keep_their_names(spark):
+    rows = spark.createDataFrame([(4 * k + kind,) for k in (0, 7, -3) for kind in range(3)], "n long")
+    assert [r.id for r in rows.select(projection.named("n").alias("id")).collect()] == [f"{kind}:{k}" for k in (0, 7, -3) for kind in ("order", "part", "supplier")]
+
+
 def test_binned_intervals_find_each_pair_once(spark):
     import datetime as d
 
