@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import packages
 from weftgraph.operators.ranking import smallest_k
-from weftgraph.session import cut
+from weftgraph.session import cut, stored, wide
 
 
 def suffixes(path: Column) -> Column:
@@ -60,16 +60,17 @@ def link_names(sites: DataFrame, defs: DataFrame, imports: DataFrame, common: li
     """
     d = defs.select("id", F.col("path").alias("target"), "name", "family")
     few = d.groupBy("name", "family").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most_guesses).select("name", "family")
+    sites = stored(sites.select("site", "caller", "name", "path", "family"))
     free = sites.where(~F.col("name").isin(*common)) if common else sites
-    local = sites.join(d.withColumnRenamed("target", "path"), ["name", "family", "path"]).select("site", "caller", "id", F.lit(1).alias("rank"))
-    far = free.join(imports.distinct(), "path").join(d, ["name", "family", "target"]).select("site", "caller", "id", F.lit(2))
-    guess = free.join(few, ["name", "family"]).join(d, ["name", "family"]).select("site", "caller", "id", F.lit(3))
-    all_found = local.union(far).union(guess)
-    best = all_found.groupBy("site").agg(F.min("rank").alias("rank"))
-    kept = all_found.join(best, ["site", "rank"])
-    n = kept.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    local = sites.join(wide(d.withColumnRenamed("target", "path")), ["name", "family", "path"]).select("site", "caller", "id", F.lit(1).alias("rank"))
+    far = free.join(imports.distinct(), "path").join(wide(d), ["name", "family", "target"]).select("site", "caller", "id", F.lit(2))
+    guess = free.join(wide(few), ["name", "family"]).join(wide(d), ["name", "family"]).select("site", "caller", "id", F.lit(3))
+    found = stored(local.union(far).union(guess))
+    # how many a site's best rank has, told by counts alone
+    ranks = found.groupBy("site", "rank").agg(F.count(F.lit(1)).alias("n"))
+    best = ranks.groupBy("site").agg(F.min(F.struct("rank", "n")).alias("b")).select("site", "b.rank", "b.n")
     tier = F.when((F.col("n") > 1) | (F.col("rank") == 3), 0).otherwise(1)
-    return kept.join(n, "site").where("id <> caller").select("site", "id", F.round(1 / F.col("n"), 6).alias("weight"), tier.alias("tier"))
+    return found.join(wide(best), ["site", "rank"]).where("id <> caller").select("site", "id", F.round(1 / F.col("n"), 6).alias("weight"), tier.alias("tier"))
 
 
 def chase(aliases: DataFrame, most_steps: int = 5) -> DataFrame:
