@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators.linking import chase, inherited, suffixes
 from weftgraph.operators.ranking import smallest_k
-from weftgraph.session import cut
+from weftgraph.session import cut, stored, wide
 
 SCRIPTS = ("javascript", "typescript", "tsx")
 #: languages whose imports name no file
@@ -110,41 +110,41 @@ def import_files(
     All tails of stems are one table; each import meets it once, on its own keys. Tails with very many files are cut
     to the few that can be wanted before they meet the imports.
     """
-    known = files.select("path").distinct()
+    known = stored(files.select("path").distinct())
     exact = known.select(stem(F.col("path")).alias("key"), F.col("path").alias("target"))
     packages = smallest_k(known.select(F.concat(folder(F.col("path")), F.lit("/")).alias("key"), F.col("path").alias("target")), ["key"], ["target"], most_in_folder)
     tails = known.select(F.explode(suffixes(stem(F.col("path")))).alias("key"), F.col("path").alias("target")).where(F.col("key") != stem(F.col("target")))
-    tails = cut(tails.select("key", "target", crate(F.col("target")).alias("home"), F.array_contains(F.split("target", "/"), "tests").alias("test")))
+    tails = stored(tails.select("key", "target", crate(F.col("target")).alias("home"), F.array_contains(F.split("target", "/"), "tests").alias("test")))
     # the first few of a tail, of each crate, with and without tests, are all that any import takes
     anywhere = smallest_k(tails.select("key", "target"), ["key"], ["target"], most)
     in_crate = smallest_k(tails.select("key", "home", "target"), ["key", "home"], ["target"], most)
     abroad = smallest_k(tails.select("key", "test", "target"), ["key", "test"], ["target"], most).select("key", "target")
 
     asked = imports.select("site", "path", "lang", "raw", F.posexplode(import_keys(F.col("path"), F.col("lang"), F.col("raw"), go_module, aliases, base_url)).alias("rank", "k"))
-    asked = cut(asked.select("site", "lang", F.trim("raw").rlike("^[\"'`]*(crate|self|super)::").alias("anchored"), crate(F.col("path")).alias("home"), "rank", F.col("k.key").alias("key"), F.col("k.loose").alias("loose")))
+    asked = stored(asked.select("site", "lang", F.trim("raw").rlike("^[\"'`]*(crate|self|super)::").alias("anchored"), crate(F.col("path")).alias("home"), "rank", F.col("k.key").alias("key"), F.col("k.loose").alias("loose")))
     columns = ["site", "lang", "anchored", "home", "loose", "key", "rank", "target"]
-    sure = asked.join(exact.union(packages), "key").select(*columns, F.lit(True).alias("sure"))
-    missed = asked.where("loose").join(exact.select("key").distinct(), "key", "left_anti")
-    wide = missed.where("lang <> 'rust'").join(anywhere, "key").select(*columns, F.lit(False))
+    sure = asked.join(wide(exact.union(packages)), "key").select(*columns, F.lit(True).alias("sure"))
+    missed = asked.where("loose").join(wide(exact.select("key").distinct()), "key", "left_anti")
+    loose = missed.where("lang <> 'rust'").join(wide(anywhere), "key").select(*columns, F.lit(False))
     rust = missed.where("lang = 'rust'")
-    mine = rust.join(in_crate, ["key", "home"]).select(*columns, F.lit(False)).union(rust.join(abroad, "key").select(*columns, F.lit(False))).distinct()
-    found = cut(sure.union(wide).union(mine))
+    mine = rust.join(wide(in_crate), ["key", "home"]).select(*columns, F.lit(False)).union(rust.join(wide(abroad), "key").select(*columns, F.lit(False))).distinct()
+    found = stored(sure.union(loose).union(mine))
 
     # of a shortened path the name comes before the folder's own file, then crates are told apart
     level = F.when((F.col("lang") == "rust") & F.col("loose"), F.expr("rank div 2")).otherwise(F.col("rank"))
     found = found.withColumn("level", level)
     first = found.groupBy("site", "level").agg(F.min("rank").alias("rank"), F.max((F.col("lang") == "rust") & F.col("loose") & (crate(F.col("target")) == F.col("home"))).alias("any_home"))
-    found = found.join(first, ["site", "level", "rank"])
+    found = stored(found.join(wide(first), ["site", "level", "rank"]))
     hits = found.groupBy("site", "level").agg(F.count(F.lit(1)).alias("met"))
     stays = F.when((F.col("lang") != "rust") | ~F.col("loose"), True).when(F.col("any_home") | F.col("anchored"), crate(F.col("target")) == F.col("home")).otherwise(~F.array_contains(F.split("target", "/"), "tests"))
-    kept = cut(found.join(hits, ["site", "level"]).where(stays))
+    kept = stored(found.join(wide(hits), ["site", "level"]).where(stays))
     best = kept.groupBy("site").agg(F.min("level").alias("level"))
-    kept = kept.join(best, ["site", "level"])
+    kept = stored(kept.join(wide(best), ["site", "level"]))
     own = kept.where("lang = 'rust' and loose").withColumn("sure", F.col("sure") & (F.col("met") == 1))
     kept = kept.where("lang <> 'rust' or not loose").unionByName(smallest_k(own, ["site"], ["target"], most))
     several = kept.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     tier = F.when(F.col("sure"), 2).when((F.col("n") == 1) & F.col("key").contains("/"), 1).otherwise(0)
-    return kept.join(several, "site").select("site", "target", tier.alias("tier"))
+    return kept.join(wide(several), "site").select("site", "target", tier.alias("tier"))
 
 
 def _place(path: str, name: str) -> Column:

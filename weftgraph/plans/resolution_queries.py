@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import planning, resolution
-from weftgraph.session import read_table
+from weftgraph.session import read_table, wide
 from weftgraph.sources import table_scan
 from weftgraph.sources.projection import CALLS_SQL, calls, key
 
@@ -36,7 +36,7 @@ def import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_part = _name("web/b%s/p%s.ts", _brand_no(), "p_partkey")
     files = s.select(_name("py/n%s/s%s.py", "s_nationkey", "s_suppkey").alias("path")).union(n.select(_name("py/n%s/__init__.py", "n_nationkey"))).union(p.select(of_part))
     half = p.select(F.col("p_partkey").alias("half"), _name("'../b%s/p%s'", _brand_no(), "p_partkey").alias("raw"))
-    own = p.join(half, F.expr("p_partkey div 2") == F.col("half")).select(_name("t:%s", "p_partkey").alias("site"), of_part.alias("path"), F.lit("typescript").alias("lang"), "raw")
+    own = p.join(wide(half), F.expr("p_partkey div 2") == F.col("half")).select(_name("t:%s", "p_partkey").alias("site"), of_part.alias("path"), F.lit("typescript").alias("lang"), "raw")
     pairs = _supplied(spark, sf_dir).select("l_partkey", "l_suppkey", "s_nationkey").distinct()
     k = F.col("l_partkey") % 4
     raw = F.when(k == 0, _name("n%s.s%s", "s_nationkey", "l_suppkey")).when(k == 1, _name("s%s", "l_suppkey")).when(k == 2, _name(".n%s", "s_nationkey")).otherwise(_name("n%s", "s_nationkey"))
