@@ -35,3 +35,11 @@ def test_files_do_not_go_through_the_driver(spark, tmp_path):
     asked = kept(spark.range(9).select(F.col("id").alias("site"), F.lit("m.py").alias("path"), F.lit("python").alias("lang"), F.concat(F.lit("p"), F.col("id")).alias("raw")), tmp_path / "i")
     plans = planned(spark, lambda: resolution.import_files(asked, files).collect())
     assert plans and not [p for p in plans if "BroadcastHashJoin" in p.split("Initial Plan")[-1]]
+
+
+def test_sources_written_from_a_small_file_are_dealt_out(spark):
+    from weftgraph.plans import flow_queries, source_queries
+
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert flow_queries.declared_models(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * least
+    assert source_queries._web(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= least

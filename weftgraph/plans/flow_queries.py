@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import flowmap, planning, resolution
-from weftgraph.session import cut, read_table
+from weftgraph.session import cut, read_table, spread
 from weftgraph.sources import definitions, table_scan
 from weftgraph.sources.projection import key
 
@@ -154,6 +154,7 @@ _PRISMA = 'model Nation%1$s {\n  id Int\n  @@map("n_%2$s")\n}\nmodel Pet%1$s {\n
 
 def declared_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p, n = (read_table(spark, sf_dir, t) for t in ("supplier", "part", "nation"))
+    s, p = spread(s.select("s_suppkey", "s_nationkey")), spread(p.select("p_partkey", "p_brand"))
     brand = F.regexp_extract("p_brand", r"(\d+)$", 1)
 
     def written(df: DataFrame, path: str, lang: str, text: str, a: str, b: str | Column) -> DataFrame:
