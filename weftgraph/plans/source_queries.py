@@ -9,7 +9,7 @@ from weftgraph.operators import communities, ledger, levels, linking, policy, re
 from weftgraph.plans.graph_queries import _MATRIX
 from weftgraph.plans.policy_queries import _V, RULES
 from weftgraph.plans.resolution_queries import _NO, _name
-from weftgraph.session import cut, read_table
+from weftgraph.session import cut, read_table, spread
 from weftgraph.sources import bindings, code_files, definitions, rust_paths, table_use
 from weftgraph.sources.projection import nation_flows
 
@@ -111,7 +111,7 @@ function dark() {
 
 
 def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read_table(spark, sf_dir, "part")
+    part = spread(read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"))
     no = F.regexp_extract("p_brand", r"(\d+)$", 1)
     other = F.concat((F.col("p_size") % 5 + 1).cast("string"), (F.col("p_partkey") % 5 + 1).cast("string"))
     files = part.select(_name("web/b%s.ts", no).alias("path"), _name(_BRAND, no).alias("text")).distinct().union(part.select(_name("web/p%s.ts", "p_partkey"), _name(_PART, no, other)))
@@ -165,6 +165,7 @@ def noise(d, shop_%2$s):
 def used_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers use their nation's model and table and their own script's; customers have classes of the same name and use nothing."""
     s, n, c = (read_table(spark, sf_dir, t) for t in ("supplier", "nation", "customer"))
+    s, c = spread(s.select("s_suppkey", "s_nationkey")), spread(c.select("c_custkey", "c_nationkey"))
     files = n.select(_name("db/n%s.py", "n_nationkey").alias("path"), F.lit("python").alias("lang"), _name(_MODELS, "n_nationkey").alias("text"))
     files = files.union(s.select(_name("db/shop_%s.sql", "s_suppkey"), F.lit("sql"), _name("CREATE TABLE shop_%s (a int);", "s_suppkey")))
     files = files.union(s.select(_name("py/s%s.py", "s_suppkey"), F.lit("python"), _name(_USER, "s_nationkey", "s_suppkey")))
