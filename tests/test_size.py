@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import linking, resolution
+from weftgraph.operators import linking, maps, packs, resolution
 from weftgraph.session import cut
 
 
@@ -43,3 +43,20 @@ def test_sources_written_from_a_small_file_are_dealt_out(spark):
     least = 4 * spark.sparkContext.defaultParallelism
     assert flow_queries.declared_models(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * least
     assert source_queries._web(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= least
+
+
+def test_edges_stay_where_they_are_while_a_frontier_is_small(spark, tmp_path, monkeypatch):
+    edges = kept(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("x", "a")], "src string, dst string"), tmp_path / "e")
+    plans = planned(spark, lambda: maps.reaches(edges, "a", "x"))
+    assert plans and not [p for p in plans if "hashpartitioning(src" in p]
+    for most in (maps.MOST_SENT, 0):
+        monkeypatch.setattr(maps, "MOST_SENT", most)
+        assert maps.reaches(edges, "x", "c") and not maps.reaches(edges, "a", "x")
+
+
+def test_candidates_keep_the_best_relation(spark):
+    edges = spark.createDataFrame([("s", "a"), ("s", "b"), ("a", "b"), ("a", "c"), ("c", "s"), ("b", "s")], "src string, dst string")
+    tree = spark.createDataFrame([("t", "s"), ("a", "s")], "parent string, child string")
+    out = packs.candidates(edges, tree, spark.createDataFrame([("s",)], "seed string"))
+    assert "max_by" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: (r.why, r.score) for r in out.collect()} == {"s": ("seed", 1.0), "a": ("uses", 0.72), "b": ("uses", 0.72), "c": ("used by", 0.6), "t": ("container", 0.55)}

@@ -89,17 +89,27 @@ def module_report(matrix: DataFrame) -> DataFrame:
     return both.select("module", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("depends_on", "used_by")])
 
 
+#: nodes of a frontier that are sent to the edges; with more both are shuffled
+MOST_SENT = 100_000
+
+
 def reaches(edges: DataFrame, a: str, b: str, most_steps: int = 10_000) -> bool:
-    """Whether ``b`` can be reached from ``a``; a new edge b to a would then close a loop. Only the frontier is joined."""
-    arcs = cut(edges.select("src", "dst").distinct().repartition("src"))
-    seen = front = arcs.sparkSession.createDataFrame([(a,)], "id string")
+    """Whether ``b`` can be reached from ``a``; a new edge b to a would then close a loop.
+
+    Only the frontier is joined, and sent to the edges while it is small, so these stay where they are; ``edges`` should be stored.
+    """
+    seen = front = edges.sparkSession.createDataFrame([(a,)], "id string")
+    few = True
     for _ in range(most_steps):
-        step = front.join(arcs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        met = F.broadcast(front) if few else front
+        step = edges.select("src", "dst").join(met, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         front = cut(step.join(seen, "id", "left_anti"))
-        if front.isEmpty():
+        n = front.count()
+        if n == 0:
             return False
         if not front.where(F.col("id") == b).isEmpty():
             return True
+        few = n <= MOST_SENT
         seen = cut(seen.union(front))
     raise RuntimeError(f"paths of over {most_steps} steps")
 

@@ -15,7 +15,7 @@ from weftgraph.operators.ranking import smallest_k
 from weftgraph.plans import graph_queries as g
 from weftgraph.plans import policy_queries as p
 from weftgraph.plans import record_queries as r
-from weftgraph.session import cut, read_table
+from weftgraph.session import cut, read_table, stored
 from weftgraph.sources.projection import CALLS_SQL, FLOWS_SQL, calls, contains, key, nation_flows
 
 REFS = ("Customer#000000007", "BUILDING", "no such thing", "INDIA", "customer:3", "AUTOMOBILE:Customer#000000001")
@@ -276,7 +276,7 @@ def module_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def closes_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an edge from a part, and one from a region, to an order would close a loop."""
-    edges = cut(calls(spark, sf_dir))
+    edges = stored(calls(spark, sf_dir).select("src", "dst"))
     rows = [(b, maps.reaches(edges, "order:3", b)) for b in ("supplier:7", "region:1")]
     return spark.createDataFrame(rows, "target string, closes boolean")
 
