@@ -28,14 +28,18 @@ def candidates(edges: DataFrame, tree: DataFrame, seeds: DataFrame, most_second:
     Each used node adds the ``most_second`` smallest ids that it uses itself. ``tree``: ``parent, child``.
     """
     arcs = edges.select("src", "dst")
-    named = lambda df, node, rel: df.select("seed", F.col(node).alias("id"), F.lit(rel[0]).alias("why"), F.lit(rel[1]).alias("score"))
+    # a relation goes by its place, so that a row is two ids and a number until the best is known
+    kinds = (SEED, USES, USED_BY, CONTAINER, SECOND)
+    named = lambda df, node, rel: df.select("seed", F.col(node).alias("id"), F.lit(kinds.index(rel)).alias("kind"))
     uses = seeds.join(arcs, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("used"))
-    second = smallest_k(arcs, ["src"], ["dst"], most_second).select(F.col("src").alias("used"), F.col("dst").alias("id"))
+    second = smallest_k(arcs.join(uses.select(F.col("used").alias("src")).distinct(), "src", "left_semi"), ["src"], ["dst"], most_second).select(F.col("src").alias("used"), F.col("dst").alias("id"))
     found = named(seeds, "seed", SEED).unionByName(named(uses, "used", USES))
     found = found.unionByName(named(seeds.join(arcs, F.col("seed") == F.col("dst")), "src", USED_BY))
     found = found.unionByName(named(seeds.join(tree, F.col("seed") == F.col("child")), "parent", CONTAINER))
     found = found.unionByName(named(uses.join(second, "used"), "id", SECOND))
-    return found.groupBy("seed", "id").agg(F.max_by("why", "score").alias("why"), F.max("score").alias("score"))
+    best = found.groupBy("seed", "id").agg(F.min("kind").alias("kind"))
+    of = lambda part: F.element_at(F.array(*[F.lit(k[part]) for k in kinds]), F.col("kind") + 1)
+    return best.select("seed", "id", of(0).alias("why"), of(1).alias("score"))
 
 
 def budget_pack(rows: DataFrame, budget: int) -> DataFrame:

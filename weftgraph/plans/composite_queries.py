@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import scan, schedule
 from weftgraph.operators import gates, levels, packs, retention, triples
 from weftgraph.plans import policy_queries, record_queries
-from weftgraph.session import cut, read_table
+from weftgraph.session import cut, read_table, stored
 from weftgraph.sources.projection import CALLS_SQL, FLOWS_SQL, calls, contains, key, nation_flows
 
 BUDGET, CRON = 400, "*/15 8-17 1-15 * 1-5"
@@ -17,7 +17,7 @@ BUDGET, CRON = 400, "*/15 8-17 1-15 * 1-5"
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = contains(spark, sf_dir).where("child like 'order:%'")
     seeds = read_table(spark, sf_dir, "orders").select(key("order", "o_orderkey").alias("seed"))
-    return packs.candidates(cut(calls(spark, sf_dir)), tree, seeds)  # read five times
+    return packs.candidates(stored(calls(spark, sf_dir).select("src", "dst")), tree, seeds)  # read five times
 
 
 def context_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
