@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from weftgraph.operators import linking, maps, packs, resolution
+from weftgraph import session
+from weftgraph.operators import linking, maps, packs, resolution, triples
 from weftgraph.session import cut
+from weftgraph.sources import projection
 
 
 def planned(spark, run):
@@ -63,3 +65,18 @@ def test_candidates_keep_the_best_relation(spark):
     out = packs.candidates(edges, tree, spark.createDataFrame([("s",)], "seed string"))
     assert "max_by" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: (r.why, r.score) for r in out.collect()} == {"s": ("seed", 1.0), "a": ("uses", 0.72), "b": ("uses", 0.72), "c": ("used by", 0.6), "t": ("container", 0.55)}
+
+
+def test_lines_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 500)
+    lines = session.read_table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert projection.calls(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 2 * -(-lines // 500)
+
+
+def test_calls_that_stand_once_are_not_made_distinct_again(spark):
+    edges, tree = spark.createDataFrame([("a:1", "b:1"), ("a:2", "b:1")], "src string, dst string"), spark.createDataFrame([("c:1", "a:1"), ("c:1", "a:1")], "parent string, child string")
+    called = triples.pattern(triples.state(edges, tree, once=True), "?s", "calls", "?o")
+    assert "Aggregate" not in called._jdf.queryExecution().optimizedPlan().toString()
+    want = {("a:1", "calls", "b:1"), ("a:2", "calls", "b:1"), ("c:1", "contains", "a:1"), *((f"{k}:{n}", "a", k) for k, n in (("a", 1), ("a", 2), ("b", 1), ("c", 1)))}
+    for state in (triples.state(edges, tree, once=True), triples.state(edges.union(edges), tree)):
+        assert state.count() == len(want) and {tuple(r) for r in state.collect()} == want

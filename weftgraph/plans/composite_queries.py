@@ -97,7 +97,7 @@ def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples.state(calls(spark, sf_dir), contains(spark, sf_dir))
+    return triples.state(calls(spark, sf_dir), contains(spark, sf_dir), once=True)
 
 
 def triples_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
