@@ -195,3 +195,14 @@ def test_team(spark):
     got = {tuple(r) for r in planning.seat_scopes(scopes, files).collect()}
     assert got == {("s1", "src/x/1"), ("s1", "src/y"), ("s2", "doc"), ("s3", "src/x/1"), ("s3", "src/y"), ("s3", "z"), ("s4", "src/x/1")}
     assert {tuple(r) for r in planning.seat_scopes(scopes, files.where("false")).collect()} == {("s1", "src/"), ("s2", "doc"), ("s3", "."), ("s4", "src/x"), ("s4", "lib")}
+
+
+def test_lines_of_a_node_are_marked_once_for_all_of_its_calls(spark):
+    nodes = spark.createDataFrame([("s", 10, ["def f():", "    if ok:", "", "        a()", "    b()"])], "id string, first int, body array<string>")
+    calls = spark.createDataFrame([("s", x, x, 2) for x in "abc"] + [("t", "a", "a", 2)], "src string, dst string, name string, tier int")
+    found = flowmap.placed(calls, nodes)
+    assert {(r.src, r.dst): (r.site, r.branch) for r in found.collect()} == {("s", "a"): (13, "if"), ("s", "b"): (14, None), ("s", "c"): (0, None), ("t", "a"): (0, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Join")
+    # of the patterns only that of the name is matched for each call, and once
+    assert above.count("RLIKE") + above.count("regexp_like") <= 1 and "regexp_extract" not in above and "regexp_extract" in below

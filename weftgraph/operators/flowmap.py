@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -24,20 +24,30 @@ OPENERS = {
 KINDS = ("route", "main", "entry", "test")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it: within lambdas Spark doesn't see that they are the same."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def block_kind(line: Column) -> Column:
     """What kind of block a line opens; null if none."""
-    bare = F.regexp_replace(line, r"^\s*\}*\s*", "")
-    word, kind = F.regexp_extract(bare, r"^([\p{L}\p{N}_]*)", 1), F.lit(None).cast("string")
-    for name, words in OPENERS.items():
-        kind = F.when(word.isin(*words), name).otherwise(kind)
-    inline = F.when(bare.rlike(r"\.for(Each|_each)\("), "loop").when(bare.contains(" match ") & bare.endswith("{"), "match")
-    return F.coalesce(kind, inline)
+    kinds = F.create_map(*[F.lit(x) for name, words in OPENERS.items() for word in words for x in (word, name)])
+
+    def kind(bare: Column) -> Column:
+        inline = F.when(bare.rlike(r"\.for(Each|_each)\("), "loop").when(bare.contains(" match ") & bare.endswith("{"), "match")
+        return F.coalesce(F.try_element_at(kinds, F.regexp_extract(bare, r"^([\p{L}\p{N}_]*)", 1)), inline)
+
+    return _let(F.regexp_replace(line, r"^\s*\}*\s*", ""), kind)
 
 
 def indent(line: Column) -> Column:
     """Blanks before a line's text; a tab counts as four."""
-    blanks = F.regexp_extract(line, r"^(\s*)", 1)
-    return F.length(blanks) + 3 * (F.length(blanks) - F.length(F.replace(blanks, F.lit("\t"))))
+    return _let(F.regexp_extract(line, r"^(\s*)", 1), lambda blanks: F.length(blanks) + 3 * (F.length(blanks) - F.length(F.replace(blanks, F.lit("\t")))))
+
+
+def marks(body: Column) -> Column:
+    """``at, kind, blank`` of each line: how far it is indented, what block it opens, and whether nothing stands there."""
+    return F.transform(body, lambda line: F.struct(indent(line).alias("at"), block_kind(line).alias("kind"), (F.trim(line) == "").alias("blank")))
 
 
 def calls_name(line: Column, name: Column) -> Column:
@@ -46,32 +56,38 @@ def calls_name(line: Column, name: Column) -> Column:
     return F.when(name == "", False).otherwise(F.contains(line, name) & F.regexp_like(line, pattern))
 
 
-def call_site(body: Column, first: Column, name: Column) -> Column:
+def call_site(body: Column, first: Column, name: Column, marked: Column | None = None) -> Column:
     """``struct(site, branch)`` of the first line of ``body``, after its own first one, that calls a name; null if none does.
 
     ``body`` is an array of lines that starts at line ``first``. The branch is the kind of the innermost block around the
-    call, told by indentation; a call on the line that opens a block is a condition.
+    call, told by indentation; a call on the line that opens a block is a condition. ``marked`` has the body's :func:`marks` where they are known.
     """
     numbered = F.transform(body, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    hit = F.get(F.filter(numbered, lambda x: (x["i"] > 0) & calls_name(x["line"], name)), F.lit(0))
-    above = F.reverse(F.slice(body, 2, F.greatest(hit["i"] - 1, F.lit(0))))
-    base = indent(F.get(body, F.lit(0)))
-    start = F.struct(indent(hit["line"]).alias("at"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("done"))
+    hit = F.get(F.filter(numbered, lambda x: (x["i"] > 0) & calls_name(x["line"], name)), F.lit(0))["i"]
+    none = F.lit(None).cast("string").alias("kind")
+
+    def found(i: Column, lines: Column) -> Column:
+        above = F.reverse(F.slice(lines, 2, F.greatest(i - 1, F.lit(0))))
+        start = F.struct(F.get(lines, i)["at"].alias("at"), none, F.lit(False).alias("done"), F.get(lines, F.lit(0))["at"].alias("base"))
+
+        def step(s: Column, line: Column) -> Column:
+            outer = line["at"] < s["at"]
+            met = F.struct(F.when(outer, line["at"]).otherwise(s["at"]).alias("at"), F.when(outer, line["kind"]).alias("kind"), (outer & line["kind"].isNotNull()).alias("done"), s["base"].alias("base"))
+            outside = F.struct(s["at"].alias("at"), none, F.lit(True).alias("done"), s["base"].alias("base"))
+            return F.when(s["done"] | line["blank"], s).when(line["at"] <= s["base"], outside).otherwise(met)
 
-    def step(s: Column, line: Column) -> Column:
-        here, kind = indent(line), block_kind(line)
-        outer = here < s["at"]
-        met = F.struct(F.when(outer, here).otherwise(s["at"]).alias("at"), F.when(outer, kind).alias("kind"), (outer & kind.isNotNull()).alias("done"))
-        outside = F.struct(s["at"].alias("at"), F.lit(None).cast("string").alias("kind"), F.lit(True).alias("done"))
-        return F.when(s["done"] | (F.trim(line) == ""), s).when(here <= base, outside).otherwise(met)
+        return F.when(i.isNotNull(), F.struct((first + i).alias("site"), F.aggregate(above, start, step, lambda s: s["kind"]).alias("branch")))
 
-    return F.when(hit.isNotNull(), F.struct((first + hit["i"]).alias("site"), F.aggregate(above, start, step, lambda s: s["kind"]).alias("branch")))
+    return _let(hit, lambda i: _let(marks(body), lambda lines: found(i, lines)) if marked is None else found(i, marked))
 
 
 def placed(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``src, dst, name, tier, site, branch`` of ``src, dst, name, tier``; ``nodes`` has ``id, first, body``. Calls that no line shows have site 0."""
-    at = call_site(F.col("body"), F.col("first"), F.col("name"))
-    found = calls.join(nodes.select(F.col("id").alias("src"), "first", "body"), "src", "left").withColumn("at", at)
+    """``src, dst, name, tier, site, branch`` of ``src, dst, name, tier``; ``nodes`` has ``id, first, body``. Calls that no line shows have site 0.
+
+    A node's lines are marked once, before its calls meet them.
+    """
+    at = call_site(F.col("body"), F.col("first"), F.col("name"), F.col("marks"))
+    found = calls.join(nodes.select(F.col("id").alias("src"), "first", "body", marks(F.col("body")).alias("marks")), "src", "left").withColumn("at", at)
     return found.select("src", "dst", "name", "tier", F.coalesce("at.site", F.lit(0)).cast("long").alias("site"), F.col("at.branch").alias("branch"))
 
 

@@ -28,7 +28,7 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         x["l_returnflag"] == "A", F.array(F.lit("    if ok:"), F.concat(F.lit("        "), call(x), F.lit(" ()")))
     ).otherwise(F.array(F.lit("    for i in x:"), F.concat(F.lit("\t\t"), call(x), F.lit("::<T>(x)"))))
     nodes = lines.select(key("order", "l_orderkey").alias("id"), F.lit(10).alias("first"), F.concat(F.array(F.lit("def f():")), F.flatten(F.transform("all", text))).alias("body"))
-    calls = rows.select(key("order", "l_orderkey").alias("src"), key("part", "l_partkey").alias("dst"), _name("part_%s", "l_partkey").alias("name")).distinct()
+    calls = rows.select("l_orderkey", "l_partkey").distinct().select(key("order", "l_orderkey").alias("src"), key("part", "l_partkey").alias("dst"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name"))
     return flowmap.placed(calls.withColumn("tier", F.lit(2)), nodes).select("src", "dst", "site", "branch")
 
 
