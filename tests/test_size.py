@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from weftgraph import session
-from weftgraph.operators import linking, maps, packs, resolution, triples
+from weftgraph.operators import levels, linking, maps, packs, resolution, triples
 from weftgraph.session import cut
 from weftgraph.sources import projection
 
@@ -80,3 +80,10 @@ def test_calls_that_stand_once_are_not_made_distinct_again(spark):
     want = {("a:1", "calls", "b:1"), ("a:2", "calls", "b:1"), ("c:1", "contains", "a:1"), *((f"{k}:{n}", "a", k) for k, n in (("a", 1), ("a", 2), ("b", 1), ("c", 1)))}
     for state in (triples.state(edges, tree, once=True), triples.state(edges.union(edges), tree)):
         assert state.count() == len(want) and {tuple(r) for r in state.collect()} == want
+
+
+def test_commits_meet_what_they_touched_where_it_lies(spark):
+    rows = [("1", "a", 1), ("1", "b", 1), ("2", "a", 2), ("2", "b", 2), ("3", "b", 3)]
+    commits = spark.createDataFrame(rows, "sha string, path string, ts int")
+    touched = commits.select("sha", "path")
+    assert [tuple(r) for r in levels.co_change(commits, "a", touched=touched).collect()] == [("b", 2)] == [tuple(r) for r in levels.co_change(commits, "a").collect()]

@@ -53,13 +53,14 @@ def hotspots(edges: DataFrame, churn: DataFrame, k: int) -> DataFrame:
     return churn.join(degrees(edges), "id").withColumn("score", score).orderBy(F.desc("score"), "id").limit(k)
 
 
-def co_change(commits: DataFrame, path: str, newest: int = 150, most_files: int = 40, least: int = 2) -> DataFrame:
+def co_change(commits: DataFrame, path: str, newest: int = 150, most_files: int = 40, least: int = 2, touched: DataFrame | None = None) -> DataFrame:
     """``path, n``: what changed with a path in its newest commits, large commits aside.
 
-    ``commits`` has ``sha, path, ts``.
+    ``commits`` has ``sha, path, ts``; ``touched`` has ``sha, path`` of the same commits where these are known without a join, so that the few commits
+    meet them where they lie.
     """
     with_path = commits.where(F.col("path") == path).select("sha", "ts").distinct().orderBy(F.desc("ts"), F.desc("sha")).limit(newest)
-    files = commits.join(F.broadcast(with_path.select("sha")), "sha").select("sha", "path").distinct()
+    files = (commits if touched is None else touched).join(F.broadcast(with_path.select("sha")), "sha").select("sha", "path").distinct()
     small = files.groupBy("sha").count().where(F.col("count") <= most_files).select("sha")
     return files.join(small, "sha").where(F.col("path") != path).groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 

@@ -356,7 +356,7 @@ def edit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = read_table(spark, sf_dir, "part").where("p_type = 'SMALL'").select(key("part", "p_partkey").alias("id"))
     rows = hits.groupBy(F.concat(F.lit("depth "), F.col("depth").cast("string")).alias("what")).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.union(hits.join(tests, "id", "left_semi").agg(F.lit("tests"), F.count(F.lit(1))))
-    together = levels.co_change(g._commits(spark, sf_dir), g.ROOT).orderBy(F.desc("n"), "path").limit(6)
+    together = g.co_change(spark, sf_dir).orderBy(F.desc("n"), "path").limit(6)
     return rows.union(together.select(F.concat(F.lit("with "), "path"), "n"))
 
 
