@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from weftgraph import session
-from weftgraph.operators import levels, linking, maps, packs, resolution, triples
+from weftgraph.operators import diff, levels, linking, maps, packs, resolution, triples
 from weftgraph.session import cut
 from weftgraph.sources import projection
 
@@ -87,3 +87,12 @@ def test_commits_meet_what_they_touched_where_it_lies(spark):
     commits = spark.createDataFrame(rows, "sha string, path string, ts int")
     touched = commits.select("sha", "path")
     assert [tuple(r) for r in levels.co_change(commits, "a", touched=touched).collect()] == [("b", 2)] == [tuple(r) for r in levels.co_change(commits, "a").collect()]
+
+
+def test_bodies_of_both_snapshots_are_one_grouping(spark):
+    edges = lambda *rows: spark.createDataFrame(rows, "src string, dst string, weight double, tier int")
+    base, head = edges(("a", "b", 1.0, 2), ("a", "c", 1.0, 2), (None, "c", 1.0, 2)), edges(("a", "b", 2.0, 2), ("d", "c", 2.0, 2), (None, "a", 0.0, 2))
+    nodes = diff.diff_nodes(base, head)
+    assert "Join" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, nodes.collect()), key=str) == [("a", "same"), ("b", "modified"), ("c", "same"), ("d", "added"), (None, "added"), (None, "removed")]
+    assert {tuple(r) for parts in (None, 3) for r in diff.recheck(base, head, parts).collect()} == {("a", "b")}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import dealt
+
 
 def diff_edges(base: DataFrame, head: DataFrame) -> DataFrame:
     """``src, dst, status``: added, removed, changed (weight or tier) or same; one full outer join."""
@@ -14,23 +18,24 @@ def diff_edges(base: DataFrame, head: DataFrame) -> DataFrame:
     return b.join(h, ["src", "dst"], "full").select("src", "dst", status.alias("status"))
 
 
-def _bodies(edges: DataFrame, name: str) -> DataFrame:
-    ends = edges.select(F.col("src").alias("id"), "weight").union(edges.select("dst", "weight"))
-    return ends.groupBy("id").agg(F.sum("weight").alias(name))
-
-
 def diff_nodes(base: DataFrame, head: DataFrame) -> DataFrame:
-    """``id, status``: added, removed, modified (another body) or same; a node's body is its summed weight."""
-    both = _bodies(base, "b").join(_bodies(head, "h"), "id", "full")
+    """``id, status``: added, removed, modified (another body) or same; a node's body is its summed weight.
+
+    Both bodies are sums of one grouping; nodes without an id are never the same.
+    """
+    none = F.lit(None).cast("double")
+    ends = [edges.select(F.col(end).alias("id"), b.alias("b"), h.alias("h"), F.lit(side).alias("side")) for side, edges, b, h in ((0, base, F.col("weight"), none), (1, head, none, F.col("weight"))) for end in ("src", "dst")]
+    both = reduce(DataFrame.union, ends).groupBy("id", F.when(F.col("id").isNull(), F.col("side")).alias("side")).agg(F.sum("b").alias("b"), F.sum("h").alias("h"))
     return both.select("id", F.when(F.col("b").isNull(), "added").when(F.col("h").isNull(), "removed").when(F.col("b") != F.col("h"), "modified").otherwise("same").alias("status"))
 
 
-def recheck(base: DataFrame, head: DataFrame) -> DataFrame:
-    """``caller, callee``: unchanged callers of modified nodes."""
+def recheck(base: DataFrame, head: DataFrame, parts: int | None = None) -> DataFrame:
+    """``caller, callee``: unchanged callers of modified nodes; ``parts`` as from :func:`~weftgraph.session.parts_of`."""
     nodes = diff_nodes(base, head)
     same = nodes.where("status = 'same'").select(F.col("id").alias("src"))
     modified = nodes.where("status = 'modified'").select(F.col("id").alias("dst"))
-    return head.join(same, "src").join(modified, "dst").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
+    known = dealt(head.select("src", "dst"), parts, "src").join(dealt(same, parts, "src"), "src")
+    return dealt(known, parts, "dst").join(dealt(modified, parts, "dst"), "dst").select(F.col("src").alias("caller"), F.col("dst").alias("callee"))
 
 
 def dangling(base: DataFrame, head: DataFrame, floor: int = 1) -> DataFrame:
