@@ -41,3 +41,12 @@ def test_stream_equals_batch_over_a_restart(spark):
     want = key(liveness.settled_log(whole, "run", "state", 3_600_000, upto))
     assert got == want
     assert sum("'end'" in r for r in got) >= 3 and any(r.startswith("('d', 'end'") for r in got)
+
+
+def test_a_row_at_the_watermark_is_said_and_no_state_is_asked_for_key_by_key(spark):
+    base, at = tempfile.mkdtemp(prefix="spark-"), 1_700_000_000_000_000
+    rows = spark.createDataFrame([("a", at, 1, "run"), ("b", at + 600_000_000, 2, "run")], "run string, us long, event_id long, state string")
+    rows.coalesce(1).select("run", F.timestamp_micros("us").alias("ts"), "event_id", "state").write.parquet(f"{base}/in")
+    log = liveness.live_log(spark.readStream.schema("run string, ts timestamp, event_id long, state string").parquet(f"{base}/in"), "run", "state", late="10 minutes")
+    assert "TransformWithState" not in log._jdf.queryExecution().analyzed().toString()
+    assert [(r.key, r.kind, r.at, r.state) for r in liveness.run_live(log, f"{base}/log").collect()] == [("a", "change", at, "run")]

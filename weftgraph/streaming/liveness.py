@@ -8,77 +8,58 @@ state until the watermark is past them, and are then taken in order, so the stre
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftgraph.operators import ledger
 from weftgraph.session import cut
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = "key string, kind string, at long, started long, n long, before string, state string"
-
-
-class Liveness(StatefulProcessor):
-    """State of a key: rows that the watermark isn't past yet, the open session, and the last state said."""
-
-    def __init__(self, gap_ms: int) -> None:
-        self.gap = gap_ms * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event_id long, state string")
-        self.open = handle.getValueState("open", "started long, last long, n long")
-        self.said = handle.getValueState("said", "state string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(a), int(e), s) for df in rows for a, e, s in zip(df["at"], df["event_id"], df["state"], strict=True)]
-        self.waiting.appendList(new)
-        yield self._advanced(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._advanced(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advanced(self, key, watermark_ms: int) -> pd.DataFrame:
-        """What is certain at a watermark; timers are set for what isn't."""
-        upto, out = watermark_ms * 1000, []
-        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
-        past, rest = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
-        now = tuple(self.open.get()) if self.open.exists() else None
-        said = self.said.get()[0] if self.said.exists() else None
-
-        def ended() -> None:
-            out.append((key[0], "end", now[1], now[0], now[2], None, None))
-
-        for at, _, state in past:
-            if now and at - now[1] > self.gap:
-                ended()
-                now = None
-            now = (now[0], at, now[2] + 1) if now else (at, at, 1)
-            if state != said:
-                out.append((key[0], "change", at, None, None, said, state))
-                said = state
-        if now and now[1] + self.gap < upto:
+#: of a key: rows that the watermark isn't past yet, the open session, and the last state said
+_KEPT = "waiting array<struct<at: long, event_id: long, state: string>>, started long, last long, n long, said string"
+
+
+def _advance(gap_us: int, key: tuple, new: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+    """What is certain of a key at the watermark; a timer is set for what isn't. The state comes and goes with the rows, many keys at a time."""
+    watermark_ms, out = kept.getCurrentWatermarkMs(), []
+    upto = watermark_ms * 1000
+    waiting, *session, said = kept.get if kept.exists else (None, None, None, None, None)
+    now = tuple(session) if session[0] is not None else None
+    rows = [tuple(r) for r in waiting or []]
+    rows += [(int(a), int(e), s) for df in new for a, e, s in zip(df["at"], df["event_id"], df["state"], strict=True)]
+    rows.sort(key=lambda r: r[:2])
+    past, rest = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
+
+    def ended() -> None:
+        out.append((key[0], "end", now[1], now[0], now[2], None, None))
+
+    for at, _, state in past:
+        if now and at - now[1] > gap_us:
             ended()
             now = None
-        if past:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if now:
-            self.open.update(now)
-        elif self.open.exists():
-            self.open.clear()
-        if said is not None:
-            self.said.update((said,))
-        due = [rest[0][0]] if rest else []
-        due += [now[1] + self.gap] if now else []
-        if due:
-            self.handle.registerTimer(max(watermark_ms, min(due) // 1000) + 1)
-        return pd.DataFrame(out, columns=["key", "kind", "at", "started", "n", "before", "state"]).astype({"at": "Int64", "started": "Int64", "n": "Int64"})
-
-    def close(self) -> None:
-        pass
+        now = (now[0], at, now[2] + 1) if now else (at, at, 1)
+        if state != said:
+            out.append((key[0], "change", at, None, None, said, state))
+            said = state
+    if now and now[1] + gap_us < upto:
+        ended()
+        now = None
+    if rest or now or said is not None:
+        kept.update((rest, *(now or (None, None, None)), said))
+    elif kept.exists:
+        kept.remove()
+    # a timer fires once the watermark is greater
+    due = [-(-rest[0][0] // 1000) - 1] if rest else []
+    due += [(now[1] + gap_us) // 1000] if now else []
+    if due:
+        kept.setTimeoutTimestamp(max(watermark_ms, 1, min(due)))
+    if out:
+        yield pd.DataFrame(out, columns=["key", "kind", "at", "started", "n", "before", "state"]).astype({"at": "Int64", "started": "Int64", "n": "Int64"})
 
 
 def live_log(events: DataFrame, key: str, state: str, silence_ms: int = 3_600_000, late: str = "10 minutes") -> DataFrame:
@@ -89,7 +70,7 @@ def live_log(events: DataFrame, key: str, state: str, silence_ms: int = 3_600_00
     within that delay.
     """
     rows = events.withWatermark("ts", late).select(F.col(key).cast("string").alias("key"), "ts", F.unix_micros("ts").alias("at"), "event_id", F.col(state).alias("state"))
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Liveness(silence_ms), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("key").applyInPandasWithState(partial(_advance, silence_ms * 1000), _OUT, _KEPT, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def settled_log(events: DataFrame, key: str, state: str, silence_ms: int, upto_us: int) -> DataFrame:
