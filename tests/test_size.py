@@ -96,3 +96,10 @@ def test_bodies_of_both_snapshots_are_one_grouping(spark):
     assert "Join" not in nodes._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, nodes.collect()), key=str) == [("a", "same"), ("b", "modified"), ("c", "same"), ("d", "added"), (None, "added"), (None, "removed")]
     assert {tuple(r) for parts in (None, 3) for r in diff.recheck(base, head, parts).collect()} == {("a", "b")}
+
+
+def test_nodes_and_containment_are_dealt_out(spark):
+    edges, tree = spark.createDataFrame([("a:1", "b:1"), ("a:2", "b:1")], "src string, dst string").coalesce(1), spark.createDataFrame([("c:1", "a:1"), ("c:1", "a:1"), ("c:1", None)], "parent string, child string")
+    dealt = triples.state(edges, tree, once=True, parts=7)
+    assert dealt.rdd.getNumPartitions() == 1 + 7 + 7
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, triples.state(edges, tree).collect()), key=str)

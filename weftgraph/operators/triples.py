@@ -7,19 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import cut
+from weftgraph.session import cut, dealt
 
 
-def state(edges: DataFrame, tree: DataFrame, once: bool = False) -> DataFrame:
+def state(edges: DataFrame, tree: DataFrame, once: bool = False, parts: int | None = None) -> DataFrame:
     """``s, p, o`` of calls and containment and of every node's kind, each once.
 
     Predicates tell the parts apart, so each is made distinct for itself; with ``once`` no pair stands twice in ``edges``, which then stay as they are.
+    With ``parts`` nodes and containment are dealt into so many parts before they are made distinct.
     """
     called = edges.select("src", "dst")
-    parts = [(called if once else called.distinct()).select(F.col("src").alias("s"), F.lit("calls").alias("p"), F.col("dst").alias("o")), tree.select("parent", "child").distinct().select("parent", F.lit("contains"), "child")]
-    ids = reduce(DataFrame.union, [edges.select("src"), edges.select("dst"), tree.select("parent"), tree.select("child")]).distinct().toDF("s")
-    parts.append(ids.select("s", F.lit("a"), F.substring_index("s", ":", 1)))
-    return reduce(DataFrame.union, parts).toDF("s", "p", "o")
+    within = dealt(tree.select("parent", "child"), parts, "parent", "child").distinct()
+    found = [(called if once else called.distinct()).select(F.col("src").alias("s"), F.lit("calls").alias("p"), F.col("dst").alias("o")), within.select("parent", F.lit("contains"), "child")]
+    ids = reduce(DataFrame.union, [edges.select("src"), edges.select("dst"), tree.select("parent"), tree.select("child")]).toDF("s")
+    ids = dealt(ids, parts, "s").distinct()
+    found.append(ids.select("s", F.lit("a"), F.substring_index("s", ":", 1)))
+    return reduce(DataFrame.union, found).toDF("s", "p", "o")
 
 
 def pattern(triples: DataFrame, s: str, p: str, o: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import scan, schedule
 from weftgraph.operators import gates, levels, packs, retention, triples
 from weftgraph.plans import policy_queries, record_queries
-from weftgraph.session import cut, read_table, stored
+from weftgraph.session import cut, parts_of, read_table, stored
 from weftgraph.sources.projection import CALLS_SQL, FLOWS_SQL, calls, contains, key, nation_flows
 
 BUDGET, CRON = 400, "*/15 8-17 1-15 * 1-5"
@@ -97,7 +97,7 @@ def missing_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples.state(calls(spark, sf_dir), contains(spark, sf_dir), once=True)
+    return triples.state(calls(spark, sf_dir), contains(spark, sf_dir), once=True, parts=parts_of(read_table(spark, sf_dir, "lineitem")))
 
 
 def triples_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:

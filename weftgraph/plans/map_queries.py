@@ -15,7 +15,7 @@ from weftgraph.operators.ranking import smallest_k
 from weftgraph.plans import graph_queries as g
 from weftgraph.plans import policy_queries as p
 from weftgraph.plans import record_queries as r
-from weftgraph.session import cut, read_table, stored
+from weftgraph.session import cut, parts_of, read_table, stored
 from weftgraph.sources.projection import CALLS_SQL, FLOWS_SQL, calls, contains, key, nation_flows
 
 REFS = ("Customer#000000007", "BUILDING", "no such thing", "INDIA", "customer:3", "AUTOMOBILE:Customer#000000001")
@@ -248,7 +248,7 @@ def changed_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 def triples_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of containment without those of hidden nations."""
     hidden = read_table(spark, sf_dir, "nation").where("n_regionkey = 2").select(key("nation", "n_nationkey").alias("id"))
-    return triples.without(triples.state(calls(spark, sf_dir, src="order:3"), contains(spark, sf_dir)), hidden).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return triples.without(triples.state(calls(spark, sf_dir, src="order:3"), contains(spark, sf_dir), parts=parts_of(read_table(spark, sf_dir, "orders"))), hidden).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
 def selector_union(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators import intervals, ledger, search, triples
-from weftgraph.session import read_table, shared_dir
+from weftgraph.session import parts_of, read_table, shared_dir
 from weftgraph.sources.projection import CALLS_SQL, calls, contains
 from weftgraph.streaming import events as streams
 from weftgraph.streaming import liveness
@@ -74,7 +74,7 @@ def scorer_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples.state(calls(spark, sf_dir), contains(spark, sf_dir), once=True)
+    return triples.state(calls(spark, sf_dir), contains(spark, sf_dir), once=True, parts=parts_of(read_table(spark, sf_dir, "lineitem")))
 
 
 def triples_most_called(spark: SparkSession, sf_dir: str) -> DataFrame:
