@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from weftgraph import session
-from weftgraph.operators import diff, levels, linking, maps, packs, resolution, triples
+from weftgraph.operators import diff, levels, linking, maps, packs, resolution, traversal, triples
 from weftgraph.session import cut
 from weftgraph.sources import projection
 
@@ -103,3 +103,14 @@ def test_nodes_and_containment_are_dealt_out(spark):
     dealt = triples.state(edges, tree, once=True, parts=7)
     assert dealt.rdd.getNumPartitions() == 1 + 7 + 7
     assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, triples.state(edges, tree).collect()), key=str)
+
+
+def test_no_row_of_a_summary_stands_for_one_hit(spark):
+    edges = spark.createDataFrame([("p:1", "s:1", 2), ("p:2", "s:1", 0), ("p:2", "s:2", 1), ("p:3", "s:2", 1), ("p:4", "s:3", 2)], "src string, dst string, tier int")
+    seeds = spark.createDataFrame([(f"s:{k}", f"s:{k}") for k in (1, 2, 3)], "seed string, id string")
+    groups = spark.createDataFrame([("p:1", "x"), ("p:2", "x"), ("p:3", "y"), ("p:3", "z")], "id string, group string")
+    hits = traversal.impact(edges, seeds, True, 1, parts=7)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, traversal.impact(edges, seeds, True, 2).collect()))
+    out = traversal.impact_summary(hits, groups)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("s:1", 2, 2, 1, 0, 1, 1, "low"), ("s:2", 2, 2, 0, 2, 0, 3, "low"), ("s:3", 1, 1, 0, 0, 1, 0, "low")]
