@@ -114,3 +114,16 @@ def test_no_row_of_a_summary_stands_for_one_hit(spark):
     out = traversal.impact_summary(hits, groups)
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [("s:1", 2, 2, 1, 0, 1, 1, "low"), ("s:2", 2, 2, 0, 2, 0, 3, "low"), ("s:3", 1, 1, 0, 0, 1, 0, "low")]
+
+
+def test_calls_are_lifted_as_numbers_and_by_parts(spark):
+    sf = "/root/testdata/sf0.001"
+    calls = projection.tiered_calls(spark, sf, 5)
+    assert dict(calls.dtypes)["src"] == "bigint" and calls.rdd.getNumPartitions() == 5
+    want = {(r.src, r.dst, r.tier) for r in projection.calls(spark, sf).collect()}
+    assert {tuple(r) for r in calls.select(projection.named("src"), projection.named("dst"), "tier").collect()} == want and calls.count() == len(want)
+    edges = spark.createDataFrame([(1, 2, 0), (1, 3, 1), (2, 3, 2), (3, 1, 1)], "src long, dst long, tier int")
+    members = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y")], "id long, owner string")
+    lifted = levels.lift(edges.repartition(5, "src"), members, 5)
+    assert lifted.rdd.getNumPartitions() == 5
+    assert sorted(map(tuple, lifted.collect())) == [("x", "y", 2, 1), ("y", "x", 1, 1)] == sorted(map(tuple, levels.lift(edges, members).collect()))

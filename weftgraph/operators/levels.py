@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.session import cut
+from weftgraph.session import cut, dealt, wide
 
 
-def lift(edges: DataFrame, member_of: DataFrame) -> DataFrame:
-    """Edges between owners: ``src, dst, n, tier``; ``member_of`` has ``id, owner``. Own loops drop out."""
+def lift(edges: DataFrame, member_of: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edges between owners: ``src, dst, n, tier``; ``member_of`` has ``id, owner``. Own loops drop out.
+
+    With ``parts`` edges lie in so many parts by ``src`` already; they are dealt by ``dst`` and then by owners, and meet members where these are sent.
+    """
     a = member_of.select(F.col("id").alias("src"), F.col("owner").alias("a"))
     b = member_of.select(F.col("id").alias("dst"), F.col("owner").alias("b"))
-    both = edges.join(a, "src").join(b, "dst").where("a <> b")
-    return both.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("n"), F.max("tier").alias("tier"))
+    if parts:
+        a, b = wide(dealt(a, parts, "src")), wide(dealt(b, parts, "dst"))
+    both = dealt(edges.join(a, "src").select("dst", "a", "tier"), parts, "dst").join(b, "dst").where("a <> b").select("a", "b", "tier")
+    return dealt(both, parts, "a", "b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("n"), F.max("tier").alias("tier"))
 
 
 def matrix(edges: DataFrame) -> DataFrame:
