@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from weftgraph import session
-from weftgraph.operators import diff, levels, linking, maps, packs, resolution, traversal, triples
+from weftgraph.operators import diff, ledger, levels, linking, maps, packs, resolution, traversal, triples
 from weftgraph.session import cut
 from weftgraph.sources import projection
 
@@ -127,3 +127,26 @@ def test_calls_are_lifted_as_numbers_and_by_parts(spark):
     lifted = levels.lift(edges.repartition(5, "src"), members, 5)
     assert lifted.rdd.getNumPartitions() == 5
     assert sorted(map(tuple, lifted.collect())) == [("x", "y", 2, 1), ("y", "x", 1, 1)] == sorted(map(tuple, levels.lift(edges, members).collect()))
+
+
+def test_no_row_of_a_changelog_stands_for_one_touch(spark):
+    seats = spark.createDataFrame([(1, "a", True), (1, "a", True), (1, "b", False), (2, "a", True), (3, "a", False)], "run long, seat string, passed boolean")
+    files = spark.createDataFrame([(1, "a", "p"), (1, "a", "p"), (1, "b", "q"), (2, "a", "p"), (2, "a", "r"), (2, "a", None), (3, "a", "s"), (4, "a", "p"), (1, "a", "t")], "run long, seat string, path string")
+    domains = spark.createDataFrame([("p", "x"), ("p", "x"), ("p", "y"), ("q", "x"), ("t", None), ("t", "outside"), ("u", "z")], "path string, domain string")
+    out = ledger.changelog(seats, files, domains)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("outside", 2, 2), ("x", 1, 2), ("y", 1, 2)] == sorted(map(tuple, ledger.changelog(seats, files, domains, 7).collect()))
+    # without seats a run is done when one of its seats passed
+    assert sorted(map(tuple, ledger.changelog(seats, files.drop("seat"), domains, 7).collect())) == [("outside", 2, 2), ("x", 2, 2), ("y", 1, 2)]
+
+
+def test_a_changelog_is_dealt_out_by_the_number_of_lines(spark, monkeypatch):
+    from weftgraph.plans import record_queries
+
+    monkeypatch.setattr(session, "PART_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    parts = -(-session.read_table(spark, sf, "lineitem").count() // 500)
+    plan = record_queries.run_changelog(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    shuffled = re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan)
+    assert "BroadcastExchange" not in plan and len(shuffled) == 8
+    assert {n for keys, n in shuffled if not re.fullmatch(r"domain#\d+", keys)} == {str(parts)}

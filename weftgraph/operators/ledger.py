@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators.ranking import smallest_k
+from weftgraph.session import dealt, wide
 
 #: fixed values: share of each part in a seat's score of 100
 WEIGHTS = {"gate": 40.0, "tests": 20.0, "refusals": 15.0, "retries": 10.0, "cost": 10.0, "duration": 5.0}
@@ -84,13 +85,20 @@ def trends(seats: DataFrame, key: str, last: int = 20) -> DataFrame:
     return sums.join(newest.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["s"].cast("string")), " ").alias("scores")), key)
 
 
-def changelog(seats: DataFrame, files: DataFrame, domains: DataFrame) -> DataFrame:
+def changelog(seats: DataFrame, files: DataFrame, domains: DataFrame, parts: int | None = None) -> DataFrame:
     """``domain, files, runs`` of what passed seats touched; a path without a domain is ``outside``.
 
-    ``files``: ``run, seat, path``; ``domains``: ``path, domain``.
+    ``files``: ``run, seat, path``, or ``run, path`` where a run has one seat; ``domains``: ``path, domain``. The first row of a path stands for it,
+    so one grouping by domain and run counts both: distinct counts of two columns would make two rows of each. With ``parts`` rows are dealt
+    into so many parts for each step; files follow the seats there, as Spark asks what a semi-join keeps before it deals.
     """
-    done = files.join(seats.where("passed").select("run", "seat"), ["run", "seat"]).join(domains, "path", "left")
-    return done.groupBy(F.coalesce("domain", F.lit("outside")).alias("domain")).agg(F.count_distinct("path").alias("files"), F.count_distinct("run").alias("runs"))
+    on, outside = [c for c in ("run", "seat") if c in files.columns], F.lit("outside")
+    done = files.join(wide(dealt(seats.where("passed").select(*on), parts, *on)), on, "left_semi").select("run", "path")
+    named = dealt(domains.select("path", F.coalesce("domain", outside).alias("domain")), parts, "path").distinct()
+    first = F.col("path").isNotNull() & (F.row_number().over(Window.partitionBy("path").orderBy("run")) == 1)
+    done = dealt(done, parts, "path").withColumn("first", first).join(wide(named), "path", "left").select(F.coalesce("domain", outside).alias("domain"), "run", "first")
+    each = dealt(done, parts, "domain", "run").groupBy("domain", "run").agg(F.count_if("first").alias("files"))
+    return each.groupBy("domain").agg(F.sum("files").alias("files"), F.count("run").alias("runs"))
 
 
 def ready(slices: DataFrame, deps: DataFrame) -> DataFrame:
