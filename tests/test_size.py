@@ -150,3 +150,19 @@ def test_a_changelog_is_dealt_out_by_the_number_of_lines(spark, monkeypatch):
     shuffled = re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan)
     assert "BroadcastExchange" not in plan and len(shuffled) == 8
     assert {n for keys, n in shuffled if not re.fullmatch(r"domain#\d+", keys)} == {str(parts)}
+
+
+def test_scopes_and_definitions_do_not_go_through_the_driver(spark, tmp_path, monkeypatch):
+    from weftgraph.plans import source_queries
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    for module in (resolution, source_queries):
+        monkeypatch.setattr(module, "stored", seen)
+    out = source_queries.typed_calls(spark, "/root/testdata/sf0.001")
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert len(plans) > 4 and not [p for p in plans if "BroadcastHashJoin" in p]

@@ -101,7 +101,7 @@ def inherited(members: DataFrame, bases: DataFrame, most_steps: int = 5) -> Data
     own = members.select("owner", "name", "id")
     reach, found = up.withColumnRenamed("base", "at"), own.withColumn("steps", F.lit(0))
     for step in range(1, most_steps + 1):
-        found = found.unionByName(reach.join(own.withColumnRenamed("owner", "at"), "at").select("owner", "name", "id", F.lit(step).alias("steps")))
+        found = found.unionByName(reach.join(wide(own.withColumnRenamed("owner", "at")), "at").select("owner", "name", "id", F.lit(step).alias("steps")))
         reach = cut(reach.join(up.select(F.col("owner").alias("at"), "base"), "at").select("owner", F.col("base").alias("at")).distinct())
         if reach.isEmpty():
             break

@@ -158,9 +158,9 @@ def exports(defs: DataFrame, reexports: DataFrame, most_steps: int = 5) -> DataF
     A file's own definition comes first; names with several meanings, or whose re-exports run in a circle, have none.
     """
     own = defs.where("owner is null").groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    own = cut(own.select(_place("path", "name").alias("at"), "path", "name", "n", "id"))
-    links = reexports.select(_place("path", "name").alias("name"), _place("target", "exported").alias("target")).join(own.select(F.col("at").alias("name")), "name", "left_anti")
-    ends = chase(links, most_steps).join(own.where("n = 1").select(F.col("at").alias("target"), "id"), "target")
+    own = stored(own.select(_place("path", "name").alias("at"), "path", "name", "n", "id"))
+    links = reexports.select(_place("path", "name").alias("name"), _place("target", "exported").alias("target")).join(wide(own.select(F.col("at").alias("name"))), "name", "left_anti")
+    ends = chase(links, most_steps).join(wide(own.where("n = 1").select(F.col("at").alias("target"), "id")), "target")
     only = ends.groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
     far = only.select(F.split("name", "\x1f")[0].alias("path"), F.split("name", "\x1f")[1].alias("name"), "id")
     return own.where("n = 1").select("path", "name", "id").unionByName(far)
@@ -175,24 +175,24 @@ def structured_calls(calls: DataFrame, defs: DataFrame, bindings: DataFrame, bas
     member of an imported module, 4 of the class of a local variable, 5 of a class called by its name. Inherited
     members count. Two meanings prove nothing.
     """
-    given = cut(exports(defs, reexports))
-    members = cut(inherited(defs.where("owner is not null").groupBy("owner", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).select("owner", "name", F.when(F.col("n") == 1, F.col("id")).alias("id")), bases))
+    given = stored(exports(defs, reexports))
+    members = stored(inherited(defs.where("owner is not null").groupBy("owner", "name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).select("owner", "name", F.when(F.col("n") == 1, F.col("id")).alias("id")), bases))
     members = members.where("id is not null").select("owner", "name", "id")
-    named = bindings.where("exported is not null").join(given.withColumnsRenamed({"path": "target", "name": "exported"}), ["target", "exported"]).select("path", "local", "id")
+    named = bindings.where("exported is not null").join(wide(given.withColumnsRenamed({"path": "target", "name": "exported"})), ["target", "exported"]).select("path", "local", "id")
     # names of classes that a file can see
     seen = given.select("path", F.col("name").alias("local"), "id").union(named).distinct().withColumnRenamed("id", "class")
 
-    own = calls.where("receiver in ('self', 'this', 'cls')").join(members, ["owner", "name"]).select("site", "id", F.lit(1).alias("rule"))
-    direct = calls.where("receiver is null").select("site", "path", F.col("name").alias("local")).join(named, ["path", "local"]).select("site", "id", F.lit(2))
+    own = calls.where("receiver in ('self', 'this', 'cls')").join(wide(members), ["owner", "name"]).select("site", "id", F.lit(1).alias("rule"))
+    direct = calls.where("receiver is null").select("site", "path", F.col("name").alias("local")).join(wide(named), ["path", "local"]).select("site", "id", F.lit(2))
     through = calls.where("receiver not in ('self', 'this', 'cls')").select("site", "path", "scope", F.col("receiver").alias("local"), "name")
-    module = through.join(bindings.select("path", "local", "target"), ["path", "local"]).join(given.withColumnRenamed("path", "target"), ["target", "name"]).select("site", "id", F.lit(3))
-    typed = through.join(types, ["path", "scope", "local"]).drop("local").join(seen.withColumnRenamed("local", "type"), ["path", "type"])
-    typed = typed.join(members.withColumnRenamed("owner", "class"), ["class", "name"]).select("site", "id", F.lit(4))
-    bare = through.join(types.select("path", "local").distinct(), ["path", "local"], "left_anti").join(seen, ["path", "local"])
-    bare = bare.join(members.withColumnRenamed("owner", "class"), ["class", "name"]).select("site", "id", F.lit(5))
-    found = cut(own.union(direct).union(module).union(typed).union(bare).distinct())
+    module = through.join(wide(bindings.select("path", "local", "target")), ["path", "local"]).join(wide(given.withColumnRenamed("path", "target")), ["target", "name"]).select("site", "id", F.lit(3))
+    typed = through.join(wide(types), ["path", "scope", "local"]).drop("local").join(wide(seen.withColumnRenamed("local", "type")), ["path", "type"])
+    typed = typed.join(wide(members.withColumnRenamed("owner", "class")), ["class", "name"]).select("site", "id", F.lit(4))
+    bare = through.join(wide(types.select("path", "local").distinct()), ["path", "local"], "left_anti").join(wide(seen), ["path", "local"])
+    bare = bare.join(wide(members.withColumnRenamed("owner", "class")), ["class", "name"]).select("site", "id", F.lit(5))
+    found = stored(own.union(direct).union(module).union(typed).union(bare).distinct())
     best = found.groupBy("site").agg(F.min("rule").alias("rule"))
-    only = found.join(best, ["site", "rule"]).groupBy("site", "rule").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    only = found.join(wide(best), ["site", "rule"]).groupBy("site", "rule").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
     return only.where("n = 1").select("site", "id", "rule")
 
 
@@ -204,7 +204,7 @@ def visible_types(uses: DataFrame, bound: DataFrame) -> DataFrame:
     """
     per_scope = bound.groupBy("path", "scope", "local").agg(F.count_distinct("type").alias("n"), F.max(F.col("type").isNull()).alias("dark"), F.min("type").alias("type"))
     asked = uses.select("path", "scope", "local", "chain").distinct().select("path", F.col("scope").alias("at"), "local", F.posexplode("chain").alias("far", "scope"))
-    met = asked.join(per_scope, ["path", "scope", "local"])
+    met = asked.join(wide(per_scope), ["path", "scope", "local"])
     near = met.groupBy("path", "at", "local").agg(F.min_by(F.struct("n", "dark", "type"), "far").alias("t"))
     return near.where("t.n = 1 and not t.dark").select("path", F.col("at").alias("scope"), "local", F.col("t.type").alias("type"))
 

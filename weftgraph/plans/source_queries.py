@@ -9,7 +9,7 @@ from weftgraph.operators import communities, ledger, levels, linking, policy, re
 from weftgraph.plans.graph_queries import _MATRIX
 from weftgraph.plans.policy_queries import _V, RULES
 from weftgraph.plans.resolution_queries import _NO, _name
-from weftgraph.session import cut, read_table, spread
+from weftgraph.session import cut, read_table, spread, stored, wide
 from weftgraph.sources import bindings, code_files, definitions, rust_paths, table_use
 from weftgraph.sources.projection import nation_flows
 
@@ -121,15 +121,15 @@ def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of locals whose type the nearest scope tells: the part's brand, or another one that a parameter has; and the class itself."""
     files = _web(spark, sf_dir)
-    found = cut(definitions.definitions(files))
+    found = stored(definitions.definitions(files).select("path", "kind", "name", "owner"))
     whole = lambda name: F.concat("path", F.lit(":"), name)
     defs = found.select(whole(F.concat_ws(".", F.when(F.col("kind") == "method", F.col("owner")), F.col("name"))).alias("id"), "path", "name", F.when(F.col("kind") == "method", whole(F.col("owner"))).alias("owner"))
-    scopes = cut(definitions.line_scopes(files))
-    named = bindings.named_imports(files).withColumn("site", F.concat_ws("|", "path", "raw"))
+    scopes = stored(definitions.line_scopes(files))
+    named = stored(bindings.named_imports(files).withColumn("site", F.concat_ws("|", "path", "raw")))
     targets = resolution.import_files(named.select("site", "path", "lang", "raw").distinct(), files.select("path"))
-    bound = named.join(targets, "site").select("path", "local", "target", "exported")
-    calls = cut(_sites(files, scopes))
-    locals_ = bindings.bound_locals(files).join(scopes.select("path", "line", "scope"), ["path", "line"]).select("path", "scope", "local", "type")
+    bound = named.join(wide(targets), "site").select("path", "local", "target", "exported")
+    calls = stored(_sites(files, scopes))
+    locals_ = bindings.bound_locals(files).join(wide(scopes.select("path", "line", "scope")), ["path", "line"]).select("path", "scope", "local", "type")
     types = resolution.visible_types(calls.where("receiver is not null").select("path", "scope", "chain", F.col("receiver").alias("local")), locals_)
     bases, again = spark.createDataFrame([], "owner string, base string"), spark.createDataFrame([], "path string, name string, target string, exported string")
     return resolution.structured_calls(calls, defs, bound, bases, types, again)
@@ -138,7 +138,7 @@ def typed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sites(files: DataFrame, scopes: DataFrame) -> DataFrame:
     """Calls with their scopes."""
     calls = definitions.call_names(files).withColumnRenamed("name", "called")
-    rows = calls.join(scopes, ["path", "line"])
+    rows = calls.join(wide(scopes), ["path", "line"])
     owner = F.when(F.col("owner").isNotNull(), F.concat("path", F.lit(":"), "owner"))
     return rows.select(F.concat_ws(":", "path", "line").alias("site"), "path", "scope", "chain", owner.alias("owner"), "receiver", F.col("called").alias("name"))
 
