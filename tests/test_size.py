@@ -166,3 +166,15 @@ def test_scopes_and_definitions_do_not_go_through_the_driver(spark, tmp_path, mo
     out = source_queries.typed_calls(spark, "/root/testdata/sf0.001")
     plans.append(out._jdf.queryExecution().sparkPlan().toString())
     assert len(plans) > 4 and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_candidates_are_made_where_they_are_told_apart(spark):
+    rows = [("s", "a"), ("s", "b"), ("s", None), ("a", "b"), ("a", "c"), ("a", "c"), ("c", "s"), ("b", "s"), ("x", "y"), ("y", None)]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    tree, seeds = spark.createDataFrame([("t", "s"), ("a", "s"), ("t", "q")], "parent string, child string"), spark.createDataFrame([("s",), ("s",), ("y",), ("z",)], "seed string")
+    want = {("s", "s", "seed"), ("s", "a", "uses"), ("s", "b", "uses"), ("s", None, "uses"), ("s", "c", "used by"), ("s", "t", "container"), ("y", "y", "seed"), ("y", None, "uses"), ("y", "x", "used by"), ("z", "z", "seed")}
+    for parts in (None, 3):
+        out = packs.around(edges, edges, edges, tree, seeds, parts=parts)
+        assert sorted(((r.seed, r.id, r.why) for r in out.collect()), key=str) == sorted(want, key=str)
+    few = packs.around(edges, edges, edges, tree, seeds, 1, text=lambda c: F.translate(c, "bc", "cb"), parts=3)
+    assert {r.id: r.why for r in few.where("seed = 's'").collect()}["c"] == "used by"

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.operators.ranking import smallest_k
+from weftgraph.session import dealt, wide
 
 #: tokens that an item costs besides its text, and the relevance of each relation
 ITEM_TOKENS = 24
 SEED, USES, USED_BY, CONTAINER, SECOND = ("seed", 1.0), ("uses", 0.72), ("used by", 0.6), ("container", 0.55), ("2nd-order", 0.34)
+#: a row by its used node becomes several candidates, so rows are dealt into this many times as many parts by seed
+FINER = 4
 PACK = "seed string, id string, why string, position long, signature_only boolean, used long"
 
 
@@ -28,15 +30,35 @@ def candidates(edges: DataFrame, tree: DataFrame, seeds: DataFrame, most_second:
     Each used node adds the ``most_second`` smallest ids that it uses itself. ``tree``: ``parent, child``.
     """
     arcs = edges.select("src", "dst")
+    return around(arcs, arcs, arcs, tree, seeds, most_second)
+
+
+def around(leaving: DataFrame, onward: DataFrame, entering: DataFrame, tree: DataFrame, seeds: DataFrame, most_second: int = 6, text: Callable[[str], Column] = F.col, parts: int | None = None) -> DataFrame:
+    """``candidates`` of edges that may leave seeds, leave used nodes and enter seeds, each ``src, dst``; what doesn't is passed over.
+
+    ``text`` tells what an id reads as, where ids are numbers. A used node brings its own few as one array, so an edge is shuffled
+    by its used node and by its seed, in as many ``parts``, and candidates are made where they are told apart.
+    """
     # a relation goes by its place, so that a row is two ids and a number until the best is known
     kinds = (SEED, USES, USED_BY, CONTAINER, SECOND)
-    named = lambda df, node, rel: df.select("seed", F.col(node).alias("id"), F.lit(kinds.index(rel)).alias("kind"))
-    uses = seeds.join(arcs, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("used"))
-    second = smallest_k(arcs.join(uses.select(F.col("used").alias("src")).distinct(), "src", "left_semi"), ["src"], ["dst"], most_second).select(F.col("src").alias("used"), F.col("dst").alias("id"))
-    found = named(seeds, "seed", SEED).unionByName(named(uses, "used", USES))
-    found = found.unionByName(named(seeds.join(arcs, F.col("seed") == F.col("dst")), "src", USED_BY))
-    found = found.unionByName(named(seeds.join(tree, F.col("seed") == F.col("child")), "parent", CONTAINER))
-    found = found.unionByName(named(uses.join(second, "used"), "id", SECOND))
+    kind = lambda of: F.lit(kinds.index(of)).alias("kind")
+    side = lambda df, key, parts=parts: wide(dealt(df, parts, key)) if parts else df
+    few = dealt(onward.select(F.col("src").alias("used"), F.col("dst").alias("id")).where("used is not null"), parts, "used").distinct()
+    at = F.row_number().over(Window.partitionBy("used").orderBy(text("id").asc_nulls_last()))
+    nth = [F.max(F.when(F.col("at") == k + 1, F.col("id"))) for k in range(most_second)]
+    few = few.withColumn("at", at).where(F.col("at") <= most_second).groupBy("used").agg(F.slice(F.array(*nth), F.lit(1), F.count(F.lit(1)).cast("int")).alias("few"))
+    uses = side(leaving.select(F.col("src").alias("seed"), F.col("dst").alias("used")), "used").join(wide(few) if parts else few, "used", "left")
+
+    rows = uses.select("seed", F.col("used").alias("id"), kind(USES), "few")
+    for more, seed, node, why in ((entering, "dst", "src", USED_BY), (tree, "child", "parent", CONTAINER)):
+        rows = rows.union(more.select(F.col(seed).alias("seed"), node, kind(why), F.lit(None).cast(few.schema["few"].dataType)))
+    # a seed without rows stays, and each of its rows tells of it
+    finer = parts and FINER * parts
+    met = side(rows, "seed", finer).join(dealt(seeds.select("seed"), finer, "seed").distinct(), "seed", "right")
+    item = lambda id_, no: F.struct(id_.alias("id"), no.alias("kind"))
+    items = F.array(item(F.col("seed"), kind(SEED)), item(F.col("id"), F.col("kind")))
+    second = F.transform(F.coalesce("few", F.array().cast(few.schema["few"].dataType)), lambda x: item(x, kind(SECOND)))
+    found = met.select("seed", F.inline(F.filter(F.concat(items, second), lambda x: x["kind"].isNotNull())))
     best = found.groupBy("seed", "id").agg(F.min("kind").alias("kind"))
     of = lambda part: F.element_at(F.array(*[F.lit(k[part]) for k in kinds]), F.col("kind") + 1)
     return best.select("seed", "id", of(0).alias("why"), of(1).alias("score"))

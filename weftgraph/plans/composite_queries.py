@@ -8,27 +8,32 @@ from pyspark.sql import functions as F
 from weftgraph.functions import scan, schedule
 from weftgraph.operators import gates, levels, packs, retention, triples
 from weftgraph.plans import policy_queries, record_queries
-from weftgraph.session import cut, parts_of, read_table, stored
-from weftgraph.sources.projection import CALLS_SQL, FLOWS_SQL, calls, contains, key, nation_flows
+from weftgraph.session import cut, parts_of, read_table
+from weftgraph.sources.projection import CALLS_SQL, FLOWS_SQL, calls, contains, key, named, nation_flows, number
 
 BUDGET, CRON = 400, "*/15 8-17 1-15 * 1-5"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = contains(spark, sf_dir).where("child like 'order:%'")
-    seeds = read_table(spark, sf_dir, "orders").select(key("order", "o_orderkey").alias("seed"))
-    return packs.candidates(stored(calls(spark, sf_dir).select("src", "dst")), tree, seeds)  # read five times
+    """Nodes are numbers; calls lead from orders to parts and from parts to suppliers, so none enters an order."""
+    orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    calls_of = lambda a, b: lines.select(number("l_" + a[0], a[1]).alias("src"), number("l_" + b[0], b[1]).alias("dst"))
+    order, part, supplier = ("orderkey", "order"), ("partkey", "part"), ("suppkey", "supplier")
+    leaving, onward = calls_of(order, part), calls_of(part, supplier)
+    entering = leaving.union(onward).where(F.pmod("dst", F.lit(4)) == 0)
+    tree = orders.select(number("o_custkey", "customer").alias("parent"), number("o_orderkey", "order").alias("child"))
+    return packs.around(leaving, onward, entering, tree, orders.select(number("o_orderkey", "order").alias("seed")), text=named, parts=parts_of(lines))
 
 
 def context_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What surrounds each order: its parts, their suppliers, its customer."""
-    return _candidates(spark, sf_dir)
+    return _candidates(spark, sf_dir).select(named("seed").alias("seed"), named("id").alias("id"), "why", "score")
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pack for every order; an item is as long as its id says, some 60 to 400 characters."""
     chars = F.length("id") * F.when(F.col("why") == "uses", 40).otherwise(10)
-    sized = _candidates(spark, sf_dir).withColumn("span", chars)
+    sized = context_candidates(spark, sf_dir).withColumn("span", chars)
     short = packs.tokens(F.least("span", F.lit(60))) + packs.ITEM_TOKENS
     return packs.budget_pack(sized.withColumns({"cost": packs.tokens(F.col("span")) + packs.ITEM_TOKENS, "short": short}), BUDGET)
 
