@@ -178,3 +178,22 @@ def test_candidates_are_made_where_they_are_told_apart(spark):
         assert sorted(((r.seed, r.id, r.why) for r in out.collect()), key=str) == sorted(want, key=str)
     few = packs.around(edges, edges, edges, tree, seeds, 1, text=lambda c: F.translate(c, "bc", "cb"), parts=3)
     assert {r.id: r.why for r in few.where("seed = 's'").collect()}["c"] == "used by"
+
+
+def test_a_pack_shuffles_numbers_once_by_used_node_and_once_by_seed(spark, monkeypatch):
+    from weftgraph.plans import composite_queries
+
+    monkeypatch.setattr(session, "PART_ROWS", 500)
+    sf = "/root/testdata/sf0.001"
+    parts = -(-session.read_table(spark, sf, "lineitem").count() // 500)
+    for query in (composite_queries.context_candidates, composite_queries.context_pack):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        shuffled = re.findall(r"hashpartitioning\((.*?)#\d+L, (\d+)\)", plan)
+        assert sorted(shuffled) == sorted([("used", str(parts))] * 2 + [("seed", str(packs.FINER * parts))] * 2) and plan.count("Exchange") == 4
+
+
+def test_a_pack_of_rows_that_are_dealt_is_the_same(spark):
+    rows = spark.sql("select id % 7 as seed, concat('n', id) as id, if(id % 3 = 0, '2nd-order', 'uses') as why, (id % 5) / 5D as score, id % 11 as span, if(id = 9, null, 30 + id % 50) as cost, 28 + id % 9 as short from range(300)")
+    told = packs.budget_pack(rows, 400)
+    both = [sorted(map(tuple, told.collect())), sorted(map(tuple, packs.budget_pack(rows.repartition(3, "seed"), 400, dealt_by_seed=True).collect()))]
+    assert both[0] == both[1] and len(both[0]) > 7 and dict(told.dtypes)["seed"] == "bigint"

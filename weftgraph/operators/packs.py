@@ -64,38 +64,43 @@ def around(leaving: DataFrame, onward: DataFrame, entering: DataFrame, tree: Dat
     return best.select("seed", "id", of(0).alias("why"), of(1).alias("score"))
 
 
-def budget_pack(rows: DataFrame, budget: int) -> DataFrame:
+def budget_pack(rows: DataFrame, budget: int, dealt_by_seed: bool = False) -> DataFrame:
     """The items of each seed's pack, taken greedily by score, then size, then id, while they fit.
 
     ``rows``: ``seed, id, why, score, span, cost, short``. What doesn't fit whole is taken as its
     signature (``short``), unless it is of second order; what doesn't fit either way is skipped and
     smaller ones may still follow, so this is no running sum. As an item that is refused means that
     all later ones of at least its least cost are, only the first ``budget / ITEM_TOKENS`` of each
-    least cost can matter: the window drops the others, mostly before the shuffle. The rest is read
-    in order, one counter per seed. An empty pack has no rows.
+    least cost can matter: the window drops the others, mostly before the shuffle; rows that are dealt by
+    seed already aren't shuffled, and skip it. The rest is read in order, one counter per seed. An empty pack has no rows.
     """
-    least = F.when(F.col("why") == SECOND[0], F.col("cost")).otherwise(F.least("cost", "short"))
     order = [F.desc("score"), F.asc("span"), F.asc("id")]
-    rank = F.row_number().over(Window.partitionBy("seed", "_least").orderBy(*order))
+    least = F.when(F.col("why") == SECOND[0], F.col("cost")).otherwise(F.least("cost", "short"))
     rows = rows.withColumn("_least", least).where(F.col("_least") <= budget)
-    rows = rows.withColumn("_r", rank).where(F.col("_r") <= budget // ITEM_TOKENS + 1)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(parts, "seed").sortWithinPartitions("seed", *order).select("seed", "id", "why", "cost", "short")
+    if not dealt_by_seed:
+        rank = F.row_number().over(Window.partitionBy("seed", "_least").orderBy(*order))
+        rows = rows.withColumn("_r", rank).where(F.col("_r") <= budget // ITEM_TOKENS + 1)
+    # the window asks that a seed's rows lie together in order, whether they are dealt already or not
+    at = F.row_number().over(Window.partitionBy("seed").orderBy(*order))
+    ordered = rows.select("seed", "id", "why", (F.col("why") == SECOND[0]).alias("late"), "cost", "short", at.alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, used, position = None, 0, 0
+        used, position = 0, 0
         for batch in batches:
+            taken: list[int] = []
             out: list[tuple] = []
-            for seed, node, why, cost, short in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if seed != now:
-                    now, used, position = seed, 0, 0
+            for k, (late, cost, short, at) in enumerate(zip(*(batch[c].to_pylist() for c in ("late", "cost", "short", "at")), strict=True)):
+                if at == 1:
+                    used, position = 0, 0
                 whole = used + cost <= budget
-                if not whole and (why == SECOND[0] or used + short > budget):
+                if not whole and (late or used + short > budget):
                     continue
                 used, position = used + (cost if whole else short), position + 1
-                out.append((seed, node, why, position, not whole, used))
+                taken.append(k)
+                out.append((position, not whole, used))
             if out:
-                types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["seed", "id", "why", "position", "signature_only", "used"])
+                own = batch.select(["seed", "id", "why"]).take(pa.array(taken))
+                told = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.bool_(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *told], [*own.schema.names, "position", "signature_only", "used"])
 
-    return ordered.mapInArrow(run, PACK)
+    return ordered.mapInArrow(run, PACK.replace("seed string", f"seed {dict(rows.dtypes)['seed']}"))

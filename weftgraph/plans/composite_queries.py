@@ -33,9 +33,10 @@ def context_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pack for every order; an item is as long as its id says, some 60 to 400 characters."""
     chars = F.length("id") * F.when(F.col("why") == "uses", 40).otherwise(10)
-    sized = context_candidates(spark, sf_dir).withColumn("span", chars)
+    sized = _candidates(spark, sf_dir).withColumn("id", named("id")).withColumn("span", chars)
     short = packs.tokens(F.least("span", F.lit(60))) + packs.ITEM_TOKENS
-    return packs.budget_pack(sized.withColumns({"cost": packs.tokens(F.col("span")) + packs.ITEM_TOKENS, "short": short}), BUDGET)
+    rows = sized.withColumns({"cost": packs.tokens(F.col("span")) + packs.ITEM_TOKENS, "short": short})
+    return packs.budget_pack(rows, BUDGET, dealt_by_seed=True).withColumn("seed", named("seed"))
 
 
 def slice_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
