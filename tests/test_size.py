@@ -197,3 +197,55 @@ def test_a_pack_of_rows_that_are_dealt_is_the_same(spark):
     told = packs.budget_pack(rows, 400)
     both = [sorted(map(tuple, told.collect())), sorted(map(tuple, packs.budget_pack(rows.repartition(3, "seed"), 400, dealt_by_seed=True).collect()))]
     assert both[0] == both[1] and len(both[0]) > 7 and dict(told.dtypes)["seed"] == "bigint"
+
+
+def test_what_a_name_means_is_found_once_for_all_its_sites(spark, monkeypatch):
+    kept_frames = []
+
+    def seen(df):
+        kept_frames.append(cut(df))
+        return kept_frames[-1]
+
+    monkeypatch.setattr(linking, "stored", seen)
+    sites = spark.createDataFrame([(f"s{k}", "-", "n", "p", "f") for k in range(50)], "site string, caller string, name string, path string, family string")
+    defs = spark.createDataFrame([(f"d{k}", "n", "p", "f") for k in range(3)], "id string, name string, path string, family string")
+    out = linking.link_names(sites, defs, spark.createDataFrame([], "path string, target string"), [])
+    assert {(r.site, r.id, r.weight, r.tier) for r in out.collect()} == {(f"s{k}", f"d{i}", 0.333333, 0) for k in range(50) for i in range(3)}
+    assert [df.count() for df in kept_frames if "id" in df.columns] == [6]  # three in their own file, the same three as guesses
+
+
+def test_sites_of_several_rows_or_without_a_path_are_linked_as_one_by_one(spark):
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    one = lambda *many: rng.choice(many)
+    sites = [(f"s{rng.randrange(30)}", one("c", "d1", "d2"), one("n", "m", "hot", None), one("p", "q", "r", None), one("f", "g")) for _ in range(45)]
+    defs = [(f"d{k}", one("n", "m", "hot", None), one("p", "q", "r", "t", None), one("f", "g")) for k in range(16)]
+    imports = [("p", "q"), ("p", "q"), ("p", "t"), ("q", "r"), ("r", None), (None, "p")]
+    found = []
+    for (site, caller, name, path, family), (id_, n, at, fam) in itertools.product(sites, defs):
+        if name is None or (name, family) != (n, fam):
+            continue
+        k = sum(d[1] == name and d[3] == family for d in defs)
+        ranks = [1] * (path is not None and path == at) + ([2] * (path is not None and at is not None and (path, at) in imports) + [3] * (k <= 3) if name != "hot" else [])
+        found += [(site, caller, id_, rank) for rank in ranks]
+    best = {s: min(r for x, _, _, r in found if x == s) for s, *_ in found}
+    n = {s: sum(x == s and r == best[s] for x, _, _, r in found) for s in best}
+    want = [(s, i, round(1 / n[s], 6), 0 if n[s] > 1 or r == 3 else 1) for s, c, i, r in found if r == best[s] and i != c]
+    frames = spark.createDataFrame(sites, "site string, caller string, name string, path string, family string"), spark.createDataFrame(defs, "id string, name string, path string, family string"), spark.createDataFrame(imports, "path string, target string")
+    assert sorted(map(tuple, linking.link_names(*frames, ["hot"]).collect())) == sorted(want) and len(want) > 20
+
+
+def test_sites_are_numbers_until_they_are_linked(spark, monkeypatch):
+    from weftgraph.plans import policy_queries
+
+    kept_types = []
+
+    def seen(df):
+        kept_types.append(dict(df.dtypes))
+        return cut(df)
+
+    monkeypatch.setattr(linking, "stored", seen)
+    policy_queries.name_linker_priority(spark, "/root/testdata/sf0.001")
+    assert [t for t in kept_types if "caller" in t] == [{"caller": "bigint", "word": "bigint", "path": "int", "nowhere": "boolean", "rows": "bigint"}]

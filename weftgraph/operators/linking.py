@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftgraph.functions import packages
 from weftgraph.operators.ranking import smallest_k
-from weftgraph.session import cut, stored, wide
+from weftgraph.session import cut, dealt, stored, wide
 
 
 def suffixes(path: Column) -> Column:
@@ -55,22 +56,47 @@ def link_names(sites: DataFrame, defs: DataFrame, imports: DataFrame, common: li
     ``sites``: ``site, caller, name, path, family``; ``defs``: ``id, name, path, family``; ``imports``: ``path, target``.
     Definitions of the caller's own file come first, then those of imported files, then at most three of the family.
     A name in ``common`` only links within its file. Several targets share a weight of 1 and are guesses.
-    The number of definitions of a name is counted before the join, so a frequent name meets only its own and
-    imported files.
+    Which definitions a name means in a file is found once for all its sites there.
     """
-    d = defs.select("id", F.col("path").alias("target"), "name", "family")
-    few = d.groupBy("name", "family").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most_guesses).select("name", "family")
-    sites = stored(sites.select("site", "caller", "name", "path", "family"))
-    free = sites.where(~F.col("name").isin(*common)) if common else sites
-    local = sites.join(wide(d.withColumnRenamed("target", "path")), ["name", "family", "path"]).select("site", "caller", "id", F.lit(1).alias("rank"))
-    far = free.join(imports.distinct(), "path").join(wide(d), ["name", "family", "target"]).select("site", "caller", "id", F.lit(2))
-    guess = free.join(wide(few), ["name", "family"]).join(wide(d), ["name", "family"]).select("site", "caller", "id", F.lit(3))
-    found = stored(local.union(far).union(guess))
-    # how many a site's best rank has, told by counts alone
-    ranks = found.groupBy("site", "rank").agg(F.count(F.lit(1)).alias("n"))
-    best = ranks.groupBy("site").agg(F.min(F.struct("rank", "n")).alias("b")).select("site", "b.rank", "b.n")
+    d = defs.select("id", F.col("path").alias("target"), "name", "family", *([F.col("name").isin(*common).alias("common")] if common else [F.lit(False).alias("common")]))
+    return link_keyed(sites.select("site", "caller", "name", "path", "family"), d, imports, ["site"], ["name", "family"], most_guesses).select("site", "id", "weight", "tier")
+
+
+def link_keyed(sites: DataFrame, defs: DataFrame, imports: DataFrame, site: list[str], keys: list[str], most_guesses: int = 3, parts: int | None = None) -> DataFrame:
+    """``link_names`` where columns ``keys`` stand for name and family, and columns ``site`` for the site; further columns of ``defs`` stay.
+
+    ``sites``: ``caller, path``, site and keys; ``defs``: ``id, target, common`` and keys. Sites of one path that have the same keys mean the same, so
+    definitions meet those classes, and each site takes its class's answer: a site is shuffled once, and what it means isn't counted
+    for it. A site of several rows (it may have several paths or keys) has its ranks counted by itself. With ``parts`` sites are dealt by ``site`` already.
+    """
+    more = [c for c in defs.columns if c not in ("id", "target", "common", *keys)]
+    # a site without a path still has guesses: it is of a class beside all paths
+    nowhere, path = F.col("path").isNull().alias("nowhere"), F.coalesce("path", F.lit(0).cast(sites.schema["path"].dataType)).alias("path")
+    rows = F.count(F.lit(1)).over(Window.partitionBy(*site))
+    sites = stored(sites.select(*dict.fromkeys(["caller", *site, *keys]), path, nowhere).withColumn("rows", rows))
+    at = [*keys, "path", "nowhere"]
+    side = lambda df, *by: wide(dealt(df, parts, *by))
+    classes = stored(sites.select(*at).distinct())
+    free, somewhere = defs.where("not common"), classes.where("not nowhere")
+    few = free.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most_guesses).select(*keys)
+    hit = lambda df, rank: df.select(*at, "id", *more, F.lit(rank).alias("rank"))
+    local = hit(somewhere.join(wide(defs.withColumnRenamed("target", "path")), [*keys, "path"]), 1)
+    far = hit(somewhere.join(imports.distinct(), "path").join(wide(free), [*keys, "target"]), 2)
+    guess = hit(classes.join(wide(few), keys).join(wide(free), keys), 3)
+    hits = stored(local.union(far).union(guess))
+
+    ranks = stored(hits.groupBy(*at, "rank").agg(F.count(F.lit(1)).alias("n")))
+    first = lambda df, by: df.groupBy(*by).agg(F.min(F.struct("rank", "n")).alias("b")).select(*by, "b.rank", "b.n")
+    told = hits.join(wide(first(ranks, at)), [*at, "rank"])
+    lone = side(sites.where("rows = 1"), *at).join(side(told, *at), at)
+    several = sites.where("rows > 1")
+    counted = several.join(wide(ranks), at).groupBy(*site, "rank").agg(F.sum("n").alias("n"))
+    several = several.join(wide(hits), at).join(wide(first(counted, site)), [*site, "rank"])
+    out = dict.fromkeys([*site, "id", *more])
+    columns = ["caller", *(c for c in out if c != "caller"), "rank", "n"]
+    found = lone.select(*columns).union(several.select(*columns)).where("id <> caller")
     tier = F.when((F.col("n") > 1) | (F.col("rank") == 3), 0).otherwise(1)
-    return found.join(wide(best), ["site", "rank"]).where("id <> caller").select("site", "id", F.round(1 / F.col("n"), 6).alias("weight"), tier.alias("tier"))
+    return found.select(*out, F.round(1 / F.col("n"), 6).alias("weight"), tier.alias("tier"))
 
 
 def chase(aliases: DataFrame, most_steps: int = 5) -> DataFrame:
