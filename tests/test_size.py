@@ -263,3 +263,9 @@ def test_a_key_of_two_parts_stands_for_two_names(spark, tmp_path):
         kept(rows, tmp_path / f"{name}.parquet")
     out = policy_queries.name_linker_priority(spark, str(tmp_path))
     assert sorted(map(tuple, out.collect())) == [("5/a/T 1", "part:1", 1.0, 1), ("5/b/T 1", "part:1", 0.5, 0), ("5/b/T 1", "part:2", 0.5, 0)]
+
+
+def test_an_item_without_a_size_is_taken_as_its_signature(spark):
+    rows = [("s", "a", "uses", 0.7, 40, 34, 30), ("s", None, "uses", 0.7, None, None, 39), ("s", None, "2nd-order", 0.3, None, None, 39)]
+    told = packs.budget_pack(spark.createDataFrame(rows, "seed string, id string, why string, score double, span long, cost long, short long"), 100, dealt_by_seed=True)
+    assert [tuple(r) for r in told.collect()] == [("s", "a", "uses", 1, False, 34), ("s", None, "uses", 2, True, 73)]

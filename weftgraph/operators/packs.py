@@ -74,7 +74,7 @@ def budget_pack(rows: DataFrame, budget: int, dealt_by_seed: bool = False) -> Da
     least cost can matter: the window drops the others, mostly before the shuffle; rows that are dealt by
     seed already aren't shuffled, and skip it. The rest is read in order, one counter per seed. An empty pack has no rows.
     """
-    order = [F.desc("score"), F.asc("span"), F.asc("id")]
+    order = [F.desc("score"), F.asc_nulls_last("span"), F.asc_nulls_last("id")]
     least = F.when(F.col("why") == SECOND[0], F.col("cost")).otherwise(F.least("cost", "short"))
     rows = rows.withColumn("_least", least).where(F.col("_least") <= budget)
     if not dealt_by_seed:
@@ -92,7 +92,7 @@ def budget_pack(rows: DataFrame, budget: int, dealt_by_seed: bool = False) -> Da
             for k, (late, cost, short, at) in enumerate(zip(*(batch[c].to_pylist() for c in ("late", "cost", "short", "at")), strict=True)):
                 if at == 1:
                     used, position = 0, 0
-                whole = used + cost <= budget
+                whole = cost is not None and used + cost <= budget  # what has no size is taken as its signature at most
                 if not whole and (late or used + short > budget):
                     continue
                 used, position = used + (cost if whole else short), position + 1
